@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     n = len(texts)
     if not n:
         return
-    size = np.frombuffer(pa.compute.binary_length(texts).fill_null(0).cast(pa.int64()).buffers()[1], np.int64)[:n]
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(size), 0
     while start < n:
         base = ends[start - 1] if start else 0

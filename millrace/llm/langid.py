@@ -7,7 +7,8 @@ top-order arrays are merged into one sorted hash array with a probability per la
 character costs one binary search; n-grams that no language has seen take the exact recursion.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected when that
-cross-entropy lies further above the language's mean than held-out texts of the same length do.
+cross-entropy is above the language's limit, which is calibrated on held-out texts: half way between
+those of the language itself and those of the other languages, wider for short texts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import bounded_rows, code_points, segment_sums, slices
 ORDER = 4
 #: Labelled texts of each language that are fitted on, at most about this many.
 TRAIN_PER_LANGUAGE = 400
-#: Share of a language's own held-out texts that the calibrated threshold may reject.
+#: Share of held-out texts left out at either side when a limit is calibrated.
 FALSE_REJECTION = 0.001
 SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -164,22 +165,22 @@ class LanguageModels:
         self.models = [KneserNey(keys[name], order, alphabet) for name in self.names]
         union = np.unique(np.concatenate([np.unique(k) for k in keys.values()])) if keys else np.zeros(0, np.uint64)
         self.joint = HashArray.of(union, self._log(union).astype(np.float32))
-        self.mean = np.zeros(len(self.names))
-        self.spread = np.ones((len(self.names), 2))
+        # limits: half way between what the language's own held-out texts need at most and what the
+        # other languages' held-out texts need at least; short texts are allowed their larger spread
         self.limit = np.full(len(self.names), np.inf)
-        for i, name in enumerate(self.names):
-            h, n = self.entropies(held[name])
-            h, n = h[n > 0, i], n[n > 0]
+        self.spread = np.zeros(len(self.names))
+        scored = [self.entropies(held[name]) for name in self.names]
+        scored = [(h[n > 0], n[n > 0]) for h, n in scored]
+        for i in range(len(self.names)):
+            h, n = scored[i][0][:, i], scored[i][1]
             if not len(h):
                 continue
-            self.mean[i] = np.average(h, weights=np.sqrt(n))
-            r2 = (h - self.mean[i]) ** 2
-            b = max(np.median(r2 * n) * 2, 1e-3)
-            a = max(np.average(r2 - b / n, weights=np.sqrt(n)), 1e-4)
-            self.spread[i] = a, b
-            z = np.sort((h - self.mean[i]) / np.sqrt(a + b / n))
-            # the quantile wanted, and half as much again for what the sample is too small to show
-            self.limit[i] = 1.5 * max(z[min(len(z) - 1, int(np.ceil((1 - false_rejection) * len(z))))], 2.0)
+            mean = np.average(h, weights=np.sqrt(n))
+            self.spread[i] = np.sqrt(np.mean((h - mean) ** 2 * n))
+            own = np.quantile(h - 3 * self.spread[i] / np.sqrt(n), 1 - false_rejection)
+            others = [g[:, i] for j, (g, _) in enumerate(scored) if j != i and len(g)]
+            other = np.quantile(np.concatenate(others), false_rejection) if others else 0.0
+            self.limit[i] = (max(own, mean) + other) / 2 if other > max(own, mean) else 1.5 * max(own, mean)
 
     def _log(self, keys: np.ndarray) -> np.ndarray:
         return np.stack([np.log2(m.probability(keys)) for m in self.models], 1) if self.models else np.zeros((len(keys), 0))
@@ -204,8 +205,8 @@ class LanguageModels:
         h, n = self.entropies(texts)
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
-        z = (low - self.mean[best]) / np.sqrt(self.spread[best, 0] + self.spread[best, 1] / np.maximum(n, 1))
-        return [self.names[b] if k else None for b, k in zip(best, n)], np.where(n > 0, low, np.nan), (n > 0) & (z <= self.limit[best])
+        limit = self.limit[best] + 3 * self.spread[best] / np.sqrt(np.maximum(n, 1))
+        return [self.names[b] if k else None for b, k in zip(best, n)], np.where(n > 0, low, np.nan), (n > 0) & (low <= limit)
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, order: int = ORDER) -> LanguageModels:
