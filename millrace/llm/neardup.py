@@ -28,7 +28,7 @@ SHINGLE, PERMUTATIONS, ROWS = 3, 64, 4
 VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
 #: Least share of equal signature values of a pair.
-SIMILAR = 0.45
+SIMILAR = 0.48
 SLICE_BYTES = 1 << 18
 _CACHE = 300_000
 
