@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, neardup, quality
+from . import bpe, chat, langid, mixing, mkv, neardup, quality, sitetree, topk, urls
 from .common import table
 
 
@@ -22,21 +22,43 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mkv.document_packets(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.expand(table(spark, sf_dir, "conversations"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality, op5_bpe, op10_near_duplicates)
+    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality, op4_matroska, op5_bpe, op6_html_extraction, op7_chat, op8_top_k, op9_url_filter, op10_near_duplicates)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in mixing.TARGET_WEIGHTS.items()) + f" ELSE {mixing.DEFAULT_WEIGHT} END"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_chat": chat.SQL,
+    "op8_top_k": topk.SQL,
     "op2_mixing": f"""
 WITH sized AS (
   SELECT doc_id, coalesce(source, '') AS source,
