@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: A branch is cut when no node in it is more important than this.
-THRESHOLD = 0.4
+THRESHOLD = 0.8
 #: Weight of an element's own styles against what lies below, to the power of its number of styles.
 GAMMA = 0.9
 #: A node seen on fewer pages says nothing about the site and is kept.
-LEAST_PAGES = 5
+LEAST_PAGES = 10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<[a-zA-Z/!?][^>]*>|[^<]+|<", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -231,7 +231,7 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, main_text, branches_cut) for every row of pages.
 
     Pages whose URL has no host are sites of their own, of which nothing is cut, and so is whatever a host
-    shows on fewer than five pages. A null page has null main_text and branches_cut; an empty one an empty text. Pages repeated
+    shows on fewer than ten pages. A null page has null main_text and branches_cut; an empty one an empty text. Pages repeated
     within a host count as often as they come, so what they share loses importance. Broken markup is read as far as
     it goes and deep nesting is flattened at 200. Other columns are ignored, whatever their names; an
     empty table gives an empty result.
