@@ -32,6 +32,7 @@ SHRINK = 10
 #: A document is rejected when its calibrated probability of being good is below this.
 KEEP_FROM = 0.3
 SLICE_BYTES = 1 << 20
+GATHERED = 50_000
 _CACHE = 200_000
 
 
@@ -90,8 +91,7 @@ class QualityModel:
         self.held_accuracy = float(np.mean((z > 0) == y))
 
     def _vectors(self, texts: list[str]) -> None:
-        words = [t.split() for t in texts]
-        count = Counter(w for ws in words for w in ws)
+        count = Counter(w for t in texts for w in t.split())
         known = sorted(w for w, n in count.items() if n >= LEAST_COUNT)
         shapes = sorted({s for s, n in Counter(shape(w) for w in count).items() if n >= LEAST_COUNT})
         self.words = {w: i + 1 for i, w in enumerate(known)}
@@ -101,7 +101,8 @@ class QualityModel:
         for w, i in self.words.items():
             index[i] += index[self.shapes.get(shape(w), 0)]
         ids, context, seen = _Ids(self.words, self.shapes), np.zeros(index.shape, np.float64), np.zeros(len(index))
-        for ws in words:
+        for t in texts:
+            ws = t.split()
             v = np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws))
             around = np.zeros((len(v), DIM), np.float32)
             for d in range(1, WINDOW + 1):
@@ -116,15 +117,21 @@ class QualityModel:
     def pooled(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
         """Number of words, and pooled mean, mean square and share of words equal to the one before them."""
         ids = ids or _Ids(self.words, self.shapes)
-        n, again, flat = np.zeros(len(texts)), np.zeros(len(texts)), []
-        for i, t in enumerate(texts):
-            ws = t.split()
-            n[i] = len(ws)
-            again[i] = sum(map(eq, ws, islice(ws, 1, None)))
-            flat.append(np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws)))
-        at = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        rows = segment_sums(self.table[at], np.cumsum(n).astype(np.int64))
-        return np.concatenate([n[:, None], np.concatenate([rows, again[:, None]], 1) / np.maximum(n, 1)[:, None]], 1)
+        out, a = np.zeros((len(texts), 2 + 2 * DIM)), 0
+        while a < len(texts):
+            # some texts at a time: the rows gathered for them stay small
+            flat, n, b = [], [], a
+            while b < len(texts) and sum(n) < GATHERED:
+                ws = texts[b].split()
+                n.append(len(ws))
+                out[b, 0] = len(ws)
+                out[b, -1] = sum(map(eq, ws, islice(ws, 1, None)))
+                flat.append(np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws)))
+                b += 1
+            out[a:b, 1:-1] = segment_sums(self.table[np.concatenate(flat)], np.cumsum(n))
+            a = b
+        out[:, 1:] /= np.maximum(out[:, :1], 1)
+        return out
 
     def _inputs(self, pooled: np.ndarray) -> np.ndarray:
         """Standardised, and drawn to the centre where few words were pooled."""
