@@ -31,7 +31,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 SLICE_BYTES = 1 << 18
 #: Words remembered in a partition; beyond it the memory starts anew, which changes no result.
 REMEMBERED = 400_000
-MERGED_AT_ONCE = 300_000
+MERGED_AT_ONCE = 200_000
+DECODED_AT_ONCE = 300_000
+MERGES_REMEMBERED = 250_000
 
 
 class Vocabulary:
@@ -58,7 +60,7 @@ class Vocabulary:
         found = self._merge.get(pair)
         if found is None:
             found = self.ids.get(self.bytes[pair >> 32] + self.bytes[pair & 0xFFFFFFFF], -1)
-            if len(self._merge) < 4_000_000:
+            if len(self._merge) < MERGES_REMEMBERED:
                 self._merge[pair] = found
         return found
 
@@ -206,25 +208,48 @@ def decode(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[bytes]:
     """Bytes of each of the token lists that lie one after another."""
     if len(ids) and (ids.min() < 0 or ids.max() >= v.size):
         raise ValueError("a token id is not in the vocabulary")
-    size = v.length[ids]
-    upto = np.concatenate(([0], np.cumsum(size)))
-    flat = v.flat[np.arange(upto[-1]) + np.repeat(v.start[ids] - upto[:-1], size)].tobytes()
-    ends = upto[np.cumsum(counts)] if len(counts) else []
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-
-
-def encoded(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
-    """text -> array<int> of token ids; null for null."""
+    out: list[bytes] = []
+    last = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    a = 0
+    while a < len(counts):
+        # some texts at a time: the gathered places take eight times the text
+        b = max(a + 1, int(np.searchsorted(last, last[a] + DECODED_AT_ONCE, side="right")) - 1)
+        some = ids[last[a] : last[b]]
+        size = v.length[some]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        flat = v.flat[np.arange(upto[-1]) + np.repeat(v.start[some] - upto[:-1], size)].tobytes()
+        ends = upto[last[a + 1 : b + 1] - last[a]]
+        out += [flat[x:y] for x, y in zip([0, *ends[:-1]], ends)]
+        a = b
+    return out
+
+
+def _encoding(path: str, pattern: str, check: bool):
+    """An Arrow UDF text -> token ids, with ``check`` -> struct(ids, same): whether decoding gives the text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary(path), pattern)
+        v = vocabulary(path)
+        encoder = Encoder(v, pattern)
         for texts in batches:
             ids, n = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()] for a, b in slices(texts, SLICE_BYTES))
             at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(at), pa.array(ids), mask=texts.is_null())
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids), mask=texts.is_null())
+            if not check:
+                yield lists
+                continue
+            same = np.zeros(len(texts), bool)
+            for a, b in slices(texts, SLICE_BYTES):
+                own = [(t or "").encode("utf-8") for t in texts.slice(a, b - a).to_pylist()]
+                same[a:b] = [x == y for x, y in zip(own, decode(ids[at[a] : at[b]], n[a:b], v))]
+            yield pa.StructArray.from_arrays([lists, pa.array(same, mask=texts.is_null().to_numpy(zero_copy_only=False))], ["ids", "same"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>")(text)
+    return F.arrow_udf(run, "struct<ids array<int>, same boolean>" if check else "array<int>")
+
+
+def encoded(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
+    """text -> array<int> of token ids; null for null."""
+    return _encoding(path, pattern, False)(text)
 
 
 def decoded(ids: Column, path: str = VOCABULARY) -> Column:
@@ -250,9 +275,9 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     rows with a null doc_id are encoded like others. Other columns of docs are ignored, whatever
     their names; an empty table gives an empty result.
     """
-    got = docs.select("doc_id", "text", encoded(F.col("text"), path).alias("token_ids"))
-    size = F.when(F.col("token_ids").isNotNull(), F.size("token_ids"))
-    return got.select("doc_id", "token_ids", size.alias("n_tokens"), (decoded(F.col("token_ids"), path) == F.col("text")).alias("round_trip"))
+    got = docs.select("doc_id", _encoding(path, PATTERN, True)(F.col("text")).alias("r"))
+    size = F.when(F.col("r.ids").isNotNull(), F.size("r.ids"))
+    return got.select("doc_id", F.col("r.ids").alias("token_ids"), size.alias("n_tokens"), F.col("r.same").alias("round_trip"))
 
 
 def with_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
