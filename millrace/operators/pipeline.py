@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArg, ItemError
-from ..functions.kernel import BYTES, SPARK_TYPE, STR
+from ..functions.kernel import ANY, BYTES, SPARK_TYPE, STR
 from ..plans import STAGES, Compiled, Stage, compile_plan, settled_columns
 from ..plans.compile import strict
 from ..sources import Files, item_kind, items_frame, paths_frame, read_file
@@ -208,7 +208,11 @@ class Pipeline:
         return json.dumps(self.to_plan(terminal))
 
     def compiled(self, terminal: dict | None = None) -> Compiled:
-        return compile_plan(self.to_plan(terminal))
+        try:
+            first = self.stages[0].kernel().takes if self.stages else ANY
+        except InvalidArg:
+            first = ANY  # compile_plan says which stage is wrong
+        return compile_plan(self.to_plan(terminal), {BYTES: "bytes", STR: "str"}.get(first, "either"))
 
     def _ready(self, terminal: dict | None = None) -> Compiled:
         if not self.stages:

@@ -1,0 +1,127 @@
+"""JSON on raw text, CSV and JSON lines."""
+
+import csv
+import io
+import json
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace import InvalidArg, ItemError, batch
+from millrace.errors import Fault
+from millrace.functions import KERNELS, jsonpath
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(max_size=4), c, max_size=4), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.booleans(), st.integers(0, 30), st.sampled_from(list('{}[],:"0e-.tn \\')))
+def test_validity_is_that_of_a_strict_reader(value, ascii_only, at, char):
+    text = json.dumps(value, ensure_ascii=ascii_only)
+    assert jsonpath.valid(text.encode())
+    for broken in (text[:at] + char + text[at:], text[:at] + text[at + 1 :]):
+
+        def refuse(_):
+            raise ValueError
+
+        try:
+            json.loads(broken, parse_constant=refuse)
+            want = True
+        except ValueError:
+            want = False
+        assert jsonpath.valid(broken.encode()) == want, broken
+
+
+def test_validity_at_depth_and_in_bytes(spark):
+    deep = "[" * 10_000
+    assert batch("jsonValidate", [deep + "]" * 10_000, deep, '"\\ud800"', b"\xff", b" 1 ", "", "01", '{"a":1,"a":2}'], spark=spark) == [True, False, True, False, True, False, False, True]
+
+
+def test_plucking(spark):
+    doc = '{"user":{"email":"a@b.c","tags":["x","y"],"we.ird":1},"n":null,"list":[{"v":1},{"v":2},{}],"t":true,"s":"\\u00e9\\n"}'
+    paths = {"user.email": "a@b.c", "user.tags.1": "y", "user.tags": '["x","y"]', "user.we\\.ird": "1", "n": "null", "list.#": "3", "list.#.v": "[1,2]", "t": "true", "s": "é\n", "user.em*": "a@b.c", "missing": None, "user.tags.9": None, "t.x": None}
+    for path, want in paths.items():
+        assert KERNELS["jsonPluck"](path).item(doc) == want, path
+    assert batch("jsonPluck", [doc, b"\xff", "{}"], "user.email", spark=spark) == ["a@b.c", None, None]
+    with pytest.raises(InvalidArg):
+        KERNELS["jsonPluck"]("")
+    for path in ("a|b", "a.#(b==1)", "@reverse"):
+        with pytest.raises(InvalidArg, match="not supported"):
+            KERNELS["jsonPluck"](path)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), JSON, min_size=1, max_size=4))
+def test_plucked_raw_text_means_the_same(value):
+    text = json.dumps(value, ensure_ascii=False, indent=1)
+    for key, want in value.items():
+        assert json.loads(jsonpath.get(text, jsonpath.parse_path(key))) == want
+
+
+CELLS = st.text(st.characters(codec="utf-8", exclude_characters="\0\r"), max_size=6)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda n: st.lists(st.lists(CELLS, min_size=n, max_size=n), min_size=1, max_size=5)))
+def test_csv_of_a_writer_is_read_back(rows):
+    rows = [[c or "-" for c in r] for r in rows]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows(rows)
+    got = KERNELS["csvToNdjson"](has_header=False).item(out.getvalue())
+    assert [list(json.loads(line).values()) for line in got.split("\n")] == rows
+
+
+def test_csv_forms():
+    convert = lambda s, **o: KERNELS["csvToNdjson"](**o).item(s)
+    assert convert("k,v\r\none,1\r\n\r\ntwo,2\r\n") == '{"k":"one","v":"1"}\n{"k":"two","v":"2"}'
+    assert convert("k;v\n'a;b';c", delimiter=";", quote="'") == '{"k":"a;b","v":"c"}'
+    assert convert("p,q\n1,2", has_header=False, select=["col1"]) == '{"col1":"q"}\n{"col1":"2"}'
+    assert convert("a,b,c\n1,2,3", select=["c", "a"]) == '{"c":"3","a":"1"}'
+    assert convert('a\n"x ""y"" \tz"') == '{"a":"x \\"y\\" \\tz"}'
+    assert convert("") == convert("a,b\n") == convert("", has_header=False) == convert("", select=["a"]) == ""
+    assert convert(b"\xc3\xa9\n\xe2\x82\xac") == '{"é":"€"}'
+    for text, options in (("a,b\n1", {}), (b"a\n\xff", {}), ("a\n1", {"select": ["z"]})):
+        with pytest.raises(Fault):
+            convert(text, **options)
+
+
+@pytest.mark.parametrize("options", [{"delimiter": ",,"}, {"delimiter": ""}, {"delimiter": "é"}, {"quote": "''"}, {"select": []}])
+def test_csv_options(options):
+    with pytest.raises(InvalidArg, match="csvToNdjson"):
+        KERNELS["csvToNdjson"](**options)
+
+
+ROWS = '{"who":"ann","age":30,"town":"ulm"}\n\n{"who":"bo","age":"7"}\r\n   \n{"who":null,"age":41.5}\n'
+
+
+@pytest.mark.parametrize(
+    ("filter", "want"),
+    [
+        ({"path": "who", "op": "eq", "value": "bo"}, ["bo"]),
+        ({"path": "who", "op": "ne", "value": "bo"}, ["ann", None]),
+        ({"path": "age", "op": "gt", "value": 7}, ["ann", None]),
+        ({"path": "age", "op": "lt", "value": "8"}, ["bo"]),
+        ({"path": "town", "op": "exists"}, ["ann"]),
+        ({"path": "town", "op": "ne", "value": "ulm"}, ["bo", None]),
+        ({"path": "town", "op": "gt", "value": -1}, ["ann"]),
+        ({"path": "age", "op": "eq", "value": 30.0}, ["ann"]),
+        ({"path": "who", "op": "eq", "value": ""}, [None]),
+    ],
+)
+def test_line_filters(filter, want):
+    out = KERNELS["ndjsonTransform"](filter=[filter]).item(ROWS)
+    assert [json.loads(line)["who"] for line in out.split("\n") if line] == want
+
+
+def test_projection_keeps_raw_text(spark):
+    doc = '{"u":{"mail":"A@b","tags":["x", 1.0e5]},"n":3}'
+    assert batch("ndjsonTransform", [doc, doc.encode(), ""], project=["u.mail", "u.none", "n", "u.tags"], spark=spark) == ['{"mail":"A@b","none":null,"n":3,"tags":["x", 1.0e5]}'] * 2 + [""]
+    with pytest.raises(ItemError, match="item 1: ndjsonTransform: line 2: invalid JSON"):
+        batch("ndjsonTransform", [doc, doc + "\nnope"], project=["n"], spark=spark)
+
+
+@pytest.mark.parametrize("config", [{}, {"filter": []}, {"filter": [{"path": "a", "op": "like", "value": 1}]}, {"filter": [{"path": "a", "op": "eq"}]}, {"filter": [{"path": "a", "op": "gt", "value": "x"}]}, {"filter": [{"path": "", "op": "exists"}]}, {"project": [""]}])
+def test_line_options(config):
+    with pytest.raises(InvalidArg, match="ndjsonTransform"):
+        KERNELS["ndjsonTransform"](**config)

@@ -1,0 +1,185 @@
+"""Chains, modes, terminals, sources, plans and streaming."""
+
+import gzip
+import hashlib
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import InvalidArg, ItemError, compile_plan, expand_glob, files, pipeline, run_collect, run_count, run_settled, run_stream, run_write_files, thread_count
+from millrace.functions import KERNELS
+from millrace.operators.batch import configure_threads
+from millrace.plans import STAGES
+from millrace.streaming import write_parquet
+
+MAILS = ["Ann@Example.ORG", "bo@x.y", "CARL@z.dev"]
+PACKED = [gzip.compress(json.dumps({"id": i, "user": {"mail": m}}).encode()) for i, m in enumerate(MAILS)]
+FLAGSHIP = pipeline().gunzip().json_pluck("user.mail").lowercase().sha256_hex()
+WANT = [hashlib.sha256(m.lower().encode()).hexdigest() for m in MAILS]
+
+
+def test_flagship(spark):
+    assert FLAGSHIP.run(PACKED, spark) == WANT and FLAGSHIP.count(PACKED, spark) == 3
+    assert sorted((r["index"], r["value"]) for r in FLAGSHIP.stream(PACKED, spark)) == list(enumerate(WANT))
+    assert FLAGSHIP.run([], spark) == [] and FLAGSHIP.count([], spark) == 0 and list(FLAGSHIP.stream([], spark)) == []
+
+
+def test_the_lowest_failing_item_is_named(spark):
+    bad = [PACKED[0], b"no", PACKED[1], b"nor this"]
+    for call in (FLAGSHIP.run, FLAGSHIP.count):
+        with pytest.raises(ItemError, match="^item 1: gunzip: ") as e:
+            call(bad, spark)
+        assert e.value.index == 1
+    with pytest.raises(ItemError):
+        list(FLAGSHIP.stream(bad, spark))
+
+
+def test_settled(spark):
+    chain = FLAGSHIP.settled()
+    out = chain.run([PACKED[0], b"no", gzip.compress(b"{}")], spark)
+    assert out[0] == {"ok": True, "value": WANT[0]}
+    assert out[1]["error"].startswith("item 1: gunzip: ") and out[2]["error"] == "item 2: jsonPluck: path not found: user.mail"
+    assert chain.count([PACKED[0], b"no"], spark) == 1
+    assert {r["index"]: r["ok"] for r in chain.stream([PACKED[0], b"no"], spark)} == {0: True, 1: False}
+
+
+def test_counting_evaluates_native_and_python_stages(spark):
+    assert pipeline().regex_extract("[0-9]").settled().count(["a1", "zz", "b2", "yy"], spark) == 2
+    assert pipeline().hex_decode().settled().count(["00", "0", "zz"], spark) == 1
+    with pytest.raises(ItemError, match="item 1: hexDecode"):
+        pipeline().hex_decode().count(["00", "0"], spark)
+
+
+def test_kinds_are_checked_as_stages_are_added():
+    for chain, op in ((pipeline().gunzip(), "lowercase"), (pipeline().trim(), "gunzip"), (pipeline().sha256_hex(), "utf8"), (pipeline().bytes(), "trim")):
+        with pytest.raises(InvalidArg, match=rf"stage 1 \({op}\) expects"):
+            chain.stage(op)
+    with pytest.raises(InvalidArg, match=r"stage 0 \(gzip\): level must be 0-9, got 12"):
+        pipeline().gzip(12)
+    with pytest.raises(InvalidArg, match="unknown op"):
+        pipeline().stage("rot13")
+    with pytest.raises(InvalidArg):
+        pipeline().run(["a"])
+
+
+def test_items_are_checked(spark):
+    for items in (["a", b"b"], [1], "text"):
+        with pytest.raises(InvalidArg):
+            pipeline().sha256_hex().run(items, spark)
+    with pytest.raises(InvalidArg, match="receives Str"):
+        FLAGSHIP.run(["text"], spark)
+    with pytest.raises(InvalidArg, match="receives Bytes"):
+        pipeline().trim().run(files(["x"]), spark)
+
+
+def test_pipelines_are_immutable(spark):
+    base = pipeline().trim()
+    a, b = base.lowercase(), base.uppercase()
+    assert (base.run([" xY "], spark), a.run([" xY "], spark), b.run([" xY "], spark)) == (["xY"], ["xy"], ["XY"])
+    assert base.settled().mode == "settled" and base.mode == "failFast"
+
+
+def test_files_and_globs(spark, tmp_path):
+    for name in ("a.txt", "b.md", "sub/c.txt", "sub/e.log", "sub/deep/d.txt", ".hidden.txt"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(name)
+    os.symlink(tmp_path / "a.txt", tmp_path / "link.txt")
+    os.symlink(tmp_path / "sub", tmp_path / "loop")
+    at = str(tmp_path)
+    names = lambda *patterns: [p.removeprefix(at + "/") for p in expand_glob([f"{at}/{q}" for q in patterns])]
+    assert names("*.txt") == [".hidden.txt", "a.txt", "link.txt"]
+    assert names("**/*.txt") == [".hidden.txt", "a.txt", "link.txt", "sub/c.txt", "sub/deep/d.txt"]
+    assert names("sub/*") == ["sub/c.txt", "sub/e.log"] and names("?.{md,txt}", "a.txt", "ghost") == ["a.txt", "b.md", "ghost"]
+    assert names("[!a].*") == ["b.md"] and names("sub/**") == ["sub/c.txt", "sub/deep/d.txt", "sub/e.log"] and names("no/*.x") == []
+    for bad in ("[a", "{a,b", "a}*"):
+        with pytest.raises(InvalidArg, match="invalid pattern"):
+            expand_glob([bad])
+    chain = pipeline().utf8().uppercase()
+    assert chain.run(files({"glob": f"{at}/sub/**/*.txt"}), spark) == ["SUB/C.TXT", "SUB/DEEP/D.TXT"]
+    with pytest.raises(ItemError, match=f"item 1: readFile '{at}/ghost'"):
+        chain.run(files([f"{at}/a.txt", f"{at}/ghost"]), spark)
+    assert [r["ok"] for r in chain.settled().run(files([f"{at}/ghost", f"{at}/b.md"]), spark)] == [False, True]
+
+
+def test_written_files(spark, tmp_path):
+    at = str(tmp_path / "out")
+    assert pipeline().gzip().write_files([b"x", b"y"], at, ".gz", spark=spark) == [f"{at}/0.gz", f"{at}/1.gz"]
+    assert gzip.decompress((tmp_path / "out/1.gz").read_bytes()) == b"y"
+    some = str(tmp_path / "some")
+    assert pipeline().hex_decode().settled().write_files(["00", "x", "0f"], some, spark=spark) == [f"{some}/0", f"{some}/2"]
+    assert sorted(os.listdir(some)) == ["0", "2"]
+    with pytest.raises(ItemError, match="item 1"):
+        pipeline().hex_decode().write_files(["00", "x"], some, spark=spark)
+    with pytest.raises(InvalidArg):
+        pipeline().trim().write_files(["a"], "", spark=spark)
+
+
+def test_plans_as_json(spark):
+    plan = json.dumps({"stages": [{"op": "hexDecode"}, {"op": "utf8"}]})
+    compiled = compile_plan(plan, "str")
+    assert compiled.output_kind == "Str" and run_collect(compiled, ["6869"], spark) == ["hi"] and run_count(compile_plan(plan), ["6869"], spark) == 1
+    assert compile_plan({"stages": [{"op": "sha256Hex"}]}).input_kind == "Either" and compile_plan({"stages": []}).input_kind == "Either"
+    assert run_collect(compile_plan({"stages": []}), ["same"], spark) == ["same"]
+    assert run_settled(compile_plan({"stages": [{"op": "hexDecode"}], "mode": "settled"}), ["x"], spark)[0]["ok"] is False
+    assert list(run_stream(compile_plan(plan), ["6869"], spark)) == [{"index": 0, "value": "hi"}]
+    for bad in ("{", "[]", '{"stages":[{"op":"rot13"}]}', '{"stages":[],"mode":"slow"}', '{"stages":[{"op":"gzip","level":"x"}]}', '{"stages":[{"op":"jsonPluck"}]}', '{"stages":[{"op":"trim"},{"op":"gunzip"}]}'):
+        with pytest.raises(InvalidArg):
+            compile_plan(bad)
+    with pytest.raises(InvalidArg, match="inputKind"):
+        compile_plan(plan, "text")
+    with pytest.raises(InvalidArg, match="writeFiles"):
+        run_write_files(compiled, ["00"], spark)
+
+
+def test_every_stage_has_a_method():
+    assert len(STAGES) == 34 and all(hasattr(pipeline(), "".join(f"_{c.lower()}" if c.isupper() else c for c in op)) for op in STAGES)
+
+
+def test_a_fused_run_crosses_to_python_once(spark):
+    df = spark.createDataFrame([(0, b"x")], "item_index bigint, value binary")
+    out = pipeline().gzip().gunzip().utf8().lowercase().normalize("NFC").trim().settled().to_df(df).where("error is null").select("value")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_native_chains_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(0, "x")], "item_index bigint, value string")
+    plan = pipeline().lowercase().trim().sha256_hex().to_df(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_nulls_and_other_columns_pass(spark):
+    df = spark.createDataFrame([(0, None, "k"), (1, "A", "l")], "item_index bigint, value string, error_code string")
+    rows = pipeline().normalize("NFC").lowercase().settled().to_df(df).orderBy("item_index").collect()
+    assert [(r["value"], r["error"], r["error_code"]) for r in rows] == [(None, None, "k"), ("a", None, "l")]
+    for op, k in KERNELS.items():
+        if op in ("sha256Hex", "gzip", "lowercase", "jsonValidate", "byteLen", "hexDecode", "crc32Hex"):
+            from millrace.functions.kernel import column
+
+            kind = "binary" if k().takes == "Bytes" else "string"
+            assert spark.range(1).select(column(k(), F.lit(None).cast(kind)).alias("v")).first()["v"] is None
+
+
+def test_fail_fast_frames_fail_when_read(spark):
+    df = pipeline().hex_decode().to_df(["00", "zz"], spark)
+    with pytest.raises(Exception, match="item 1: hexDecode: invalid hex"):
+        df.collect()
+
+
+def test_streams(spark, tmp_path):
+    spark.createDataFrame([("AB",), ("zz",)], "value string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("value string").parquet(str(tmp_path / "in"))
+    write_parquet(stream, pipeline().hex_decode().hex_encode().settled(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert {(r["value"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("ab", None), (None, "hexDecode: invalid hex")}
+
+
+def test_threads(spark):
+    assert thread_count() == spark.sparkContext.defaultParallelism
+    with pytest.raises(RuntimeError, match="already initialized"):
+        configure_threads(2)
+    for bad in (0, 1025, 1.5):
+        with pytest.raises(InvalidArg):
+            configure_threads(bad)
