@@ -26,6 +26,7 @@ from .common import bounded_rows, segment_sums, slices
 DIM, NONZERO, WINDOW, HIDDEN = 32, 8, 2, 24
 #: Labelled documents of each class that are fitted on, at most about this many.
 TRAIN_PER_CLASS = 1500
+#: Documents of the sample that a word must be in to have a vector of its own.
 LEAST_COUNT = 3
 #: Pooled values of a text of this many words are drawn half way to the average text's.
 SHRINK = 10
@@ -91,7 +92,8 @@ class QualityModel:
         self.held_accuracy = float(np.mean((z > 0) == y))
 
     def _vectors(self, texts: list[str]) -> None:
-        count = Counter(w for t in texts for w in t.split())
+        # by documents, not by times: else the repetitive texts of the sample would know their words, and no others
+        count = Counter(w for t in texts for w in set(t.split()))
         known = sorted(w for w, n in count.items() if n >= LEAST_COUNT)
         shapes = sorted({s for s, n in Counter(shape(w) for w in count).items() if n >= LEAST_COUNT})
         self.words = {w: i + 1 for i, w in enumerate(known)}

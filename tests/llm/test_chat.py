@@ -21,7 +21,7 @@ def test_sql_says_the_same(spark):
 
 def test_only_the_reply_is_trained(spark):
     rows = chat.expand(spark.createDataFrame(ROWS, DDL)).collect()
-    assert len(rows) == 12
+    assert len(rows) == 11
     for r in rows:
         whole = r["prompt"] + r["target"]
         assert whole[r["train_from"] : r["train_to"]] == r["target"] and r["target"].endswith(chat.END)
