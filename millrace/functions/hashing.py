@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from .kernel import ANY, Kernel, as_bytes
 
 
-def _hex_kernel(op: str, digest, native=None) -> Kernel:
-    return Kernel(op, ANY, "string", lambda v: digest(as_bytes(v)), native)
+def _hex_kernel(op: str, digest, native=None, batch=None) -> Kernel:
+    return Kernel(op, ANY, "string", lambda v: digest(as_bytes(v)), native, batch=batch)
 
 
 def sha256() -> Kernel:
@@ -40,52 +40,91 @@ _ROUNDS = _schedules()
 _LANES = ((0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15), (0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14))
 
 
-def _compress(cv: tuple[int, ...], words: tuple[int, ...], counter: int, size: int, flags: int) -> tuple[int, ...]:
-    v = [*cv, *_IV[:4], counter & _M, counter >> 32, size, flags]
+#: Bytes hashed at a time.
+_AT_ONCE = 4 << 20
+
+
+def _rotated(x: np.ndarray, n: int, spare: np.ndarray) -> None:
+    """x rotated right by n bits, in place."""
+    np.left_shift(x, np.uint32(32 - n), out=spare)
+    np.right_shift(x, np.uint32(n), out=x)
+    np.bitwise_or(x, spare, out=x)
+
+
+def _compress(cv: np.ndarray, words: np.ndarray, counter: np.ndarray, size: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Chaining values (8, n) of n blocks of words (16, n)."""
+    n = cv.shape[1]
+    v = np.empty((16, n), np.uint32)
+    v[:8] = cv
+    v[8:12] = np.array(_IV[:4], np.uint32)[:, None]
+    v[12], v[13] = counter & _M, counter >> 32
+    v[14], v[15] = size, flags
+    spare = np.empty(n, np.uint32)
     for order in _ROUNDS:
         for lane, (a, b, c, d) in enumerate(_LANES):
             va, vb, vc, vd = v[a], v[b], v[c], v[d]
-            va = (va + vb + words[order[2 * lane]]) & _M
-            vd ^= va
-            vd = (vd >> 16 | vd << 16) & _M
-            vc = (vc + vd) & _M
-            vb ^= vc
-            vb = (vb >> 12 | vb << 20) & _M
-            va = (va + vb + words[order[2 * lane + 1]]) & _M
-            vd ^= va
-            vd = (vd >> 8 | vd << 24) & _M
-            vc = (vc + vd) & _M
-            vb ^= vc
-            v[a], v[b], v[c], v[d] = va, (vb >> 7 | vb << 25) & _M, vc, vd
-    return tuple(v[i] ^ v[i + 8] for i in range(8))
-
-
-def _chunk(data: bytes, number: int, root: int) -> tuple[int, ...]:
-    cv, blocks = _IV, [data[i : i + 64] for i in range(0, len(data), 64)] or [b""]
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        flags = (_CHUNK_START if i == 0 else 0) | ((_CHUNK_END | root) if last else 0)
-        cv = _compress(cv, struct.unpack("<16I", block.ljust(64, b"\0")), number, len(block), flags)
-    return cv
-
-
-def blake3_digest(data: bytes) -> str:
-    """Hex of the 32-byte BLAKE3 hash: chunks of 1 KiB are the leaves of a left-full binary tree."""
-    if len(data) <= 1024:
-        return struct.pack("<8I", *_chunk(data, 0, _ROOT)).hex()
-    level = [_chunk(data[i : i + 1024], i // 1024, 0) for i in range(0, len(data), 1024)]
-
-    def tree(a: int, b: int, root: int) -> tuple[int, ...]:
-        if b - a == 1:
-            return level[a]
-        left = 1 << ((b - a - 1).bit_length() - 1)
-        return _compress(_IV, tree(a, a + left, 0) + tree(a + left, b, 0), 0, 64, _PARENT | root)
-
-    return struct.pack("<8I", *tree(0, len(level), _ROOT)).hex()
+            for word, (r1, r2) in ((order[2 * lane], (16, 12)), (order[2 * lane + 1], (8, 7))):
+                va += vb
+                va += words[word]
+                vd ^= va
+                _rotated(vd, r1, spare)
+                vc += vd
+                vb ^= vc
+                _rotated(vb, r2, spare)
+    return v[:8] ^ v[8:]
+
+
+def blake3_digests(items: list[bytes]) -> list[str]:
+    """Hex of the 32-byte BLAKE3 hash of each item.
+
+    Chunks of 1 KiB are the leaves of a left-full binary tree; the chunks of all items, and then the parents
+    of each level, are compressed side by side.
+    """
+    out: list[str] = []
+    a = 0
+    while a < len(items):
+        b, room = a, _AT_ONCE
+        while b < len(items) and (b == a or room > 0):
+            room -= max(1024, len(items[b]))
+            b += 1
+        out += _digests(items[a:b])
+        a = b
+    return out
+
+
+def _digests(items: list[bytes]) -> list[str]:
+    chunks = np.array([max(1, -(-len(b) // 1024)) for b in items])
+    data = np.frombuffer(b"".join(b.ljust(int(n) * 1024, b"\0") for b, n in zip(items, chunks)), "<u4").reshape(-1, 16, 16)
+    total = int(chunks.sum())
+    first = np.concatenate(([0], np.cumsum(chunks)[:-1]))
+    number = np.arange(total) - np.repeat(first, chunks)
+    size = np.full(total, 1024)
+    size[first + chunks - 1] = [len(b) - 1024 * (int(n) - 1) for b, n in zip(items, chunks)]
+    blocks = np.maximum(1, -(-size // 64))
+    alone = np.repeat(np.where(chunks == 1, _ROOT, 0), chunks)
+    cv = np.repeat(np.array(_IV, np.uint32)[:, None], total, 1)
+    for j in range(int(blocks.max())):
+        on = np.flatnonzero(blocks > j)
+        last = blocks[on] == j + 1
+        flags = np.where(j == 0, _CHUNK_START, 0) | np.where(last, _CHUNK_END | alone[on], 0)
+        cv[:, on] = _compress(cv[:, on], np.ascontiguousarray(data[on, j].T), number[on], np.minimum(64, size[on] - 64 * j), flags)
+    # neighbours are joined level by level, an odd one out goes up as it is: the same tree
+    counts = chunks
+    while counts.max() > 1:
+        first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        place = np.arange(cv.shape[1]) - np.repeat(first, counts)
+        mate = (place % 2 == 0) & (place + 1 < np.repeat(counts, counts))
+        left = np.flatnonzero(mate)
+        flags = np.where(np.repeat(counts, counts)[left] == 2, _PARENT | _ROOT, _PARENT)
+        iv = np.repeat(np.array(_IV, np.uint32)[:, None], len(left), 1)
+        cv[:, left] = _compress(iv, np.concatenate([cv[:, left], cv[:, left + 1]]), np.zeros(len(left), np.int64), np.full(len(left), 64), flags)
+        cv = cv[:, place % 2 == 0]
+        counts = (counts + 1) // 2
+    return [row.tobytes().hex() for row in np.ascontiguousarray(cv.T).astype("<u4")]
 
 
 def blake3() -> Kernel:
-    return _hex_kernel("blake3Hex", blake3_digest)
+    return _hex_kernel("blake3Hex", lambda b: blake3_digests([b])[0], batch=lambda vs: blake3_digests([as_bytes(v) for v in vs]))
 
 
 def xxh3() -> Kernel:
@@ -100,22 +139,40 @@ def crc32() -> Kernel:
     return _hex_kernel("crc32Hex", lambda b: f"{zlib.crc32(b):08x}", lambda c: (F.lower(F.lpad(F.hex(F.crc32(c.cast("binary"))), 8, "0")), None))
 
 
-def _castagnoli() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        out.append(n)
+#: Bytes of a CRC-32C block, for each of whose places there is a table.
+_BLOCK = 2048
+
+
+def _castagnoli() -> np.ndarray:
+    """[k, b]: what byte b does to the state, k bytes before the end of a block."""
+    out = np.empty((_BLOCK, 256), np.uint32)
+    n = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        n = n >> np.uint32(1) ^ np.where(n & np.uint32(1), np.uint32(0x82F63B78), np.uint32(0))
+    out[0] = n
+    for k in range(1, _BLOCK):
+        out[k] = out[k - 1] >> np.uint32(8) ^ out[0][out[k - 1] & np.uint32(0xFF)]
     return out
 
 
-_CRC32C = _castagnoli()
+_CRC32C: list[np.ndarray] = []
 
 
 def crc32c_value(data: bytes) -> int:
-    crc, t = _M, _CRC32C
-    for b in data:
-        crc = crc >> 8 ^ t[(crc ^ b) & 0xFF]
+    """The bytes' contributions are independent of each other, so a block is one gather and one reduction."""
+    if not _CRC32C:
+        _CRC32C.append(_castagnoli())
+    table, crc = _CRC32C[0], _M
+    places = np.arange(_BLOCK - 1, -1, -1)
+    for i in range(0, len(data), _BLOCK):
+        block = np.frombuffer(data[i : i + _BLOCK], np.uint8)
+        if len(block) < 4:
+            for b in block.tolist():
+                crc = crc >> 8 ^ int(table[0][(crc ^ b) & 0xFF])
+            continue
+        block = block.copy()
+        block[:4] ^= np.frombuffer(crc.to_bytes(4, "little"), np.uint8)
+        crc = int(np.bitwise_xor.reduce(table[places[-len(block) :], block]))
     return crc ^ _M
 
 

@@ -30,6 +30,7 @@ class Kernel:
     item: Callable
     native: Callable[..., tuple[Column, Column | None]] | None = None
     arity: int = 1
+    batch: Callable[[list], list] | None = None  # the item function over a list, where that is faster; cannot fail
     config: dict = field(default_factory=dict, compare=False)
 
     @property
@@ -52,21 +53,25 @@ def as_text(v: bytes | str) -> str:
 
 
 def run_items(kernels: list[Kernel], *columns: list) -> tuple[list, list]:
-    """Values and errors ("op: cause") of rows of values, each through all kernels; null in, null out."""
-    values, errors = [], []
-    for row in zip(*columns):
-        value, error = None, None
-        if all(v is not None for v in row):
-            args, op = row, ""
+    """Values and errors ("op: cause") of rows of values, all rows through one kernel after another; null in, null out."""
+    n = len(columns[0])
+    values: list = [None] * n
+    errors: list[str | None] = [None] * n
+    live = [i for i, row in enumerate(zip(*columns)) if all(v is not None for v in row)]
+    for step, k in enumerate(kernels):
+        if step:
+            live = [i for i in live if values[i] is not None]
+        args = [[c[i] for i in live] for c in (columns if step == 0 else (values,))]
+        if k.batch is not None:
+            for i, v in zip(live, k.batch(*args)):
+                values[i] = v
+            continue
+        item = k.item
+        for i, row in zip(live, zip(*args)):
             try:
-                for k in kernels:
-                    op = k.op
-                    value = k.item(*args)
-                    args = (value,)
+                values[i] = item(*row)
             except Fault as e:
-                value, error = None, f"{op}: {e}"
-        values.append(value)
-        errors.append(error)
+                values[i], errors[i] = None, f"{k.op}: {e}"
     return values, errors
 
 

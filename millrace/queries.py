@@ -62,11 +62,11 @@ _chain("flagship_pluck_lower_sha256", "events", "event_id", "props", lambda: pip
 # -- kinds, hashes, checksums ----------------------------------------------------------------------
 _chain("utf8_of_bytes", *_docs, lambda: pipeline().bytes().utf8(), "text")
 _each("sha256_hex", *_docs, lambda c: M.sha256_hex(c), "sha256(text)")
-_each("blake3_hex", "part", "p_partkey", "p_name", lambda c: M.blake3_hex(c))
+_each("blake3_hex", *_docs, lambda c: M.blake3_hex(c))
 _each("xxh3_hex", *_docs, lambda c: M.xxh3_hex(c))
 _each("xxh64_hex", *_docs, lambda c: M.xxh64_hex(c))
 _each("crc32_hex", *_docs, lambda c: M.crc32_hex(c))
-_each("crc32c_hex", "part", "p_partkey", "p_name", lambda c: M.crc32c_hex(c))
+_each("crc32c_hex", *_docs, lambda c: M.crc32c_hex(c))
 
 # -- compression and encodings: the way there and back gives the text -------------------------------
 _chain("gzip_gunzip", *_docs, lambda: pipeline().bytes().gzip(6).gunzip().utf8(), "text")

@@ -118,3 +118,23 @@ def test_encodings_invert(data):
 def test_long_base64_has_no_line_breaks(spark):
     data = bytes(500)
     assert batch("base64Encode", [data], spark=spark) == [base64.b64encode(data).decode()]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=5000), max_size=5))
+def test_many_at_once_equal_one_by_one(items):
+    from millrace.functions import hashing
+
+    assert hashing.blake3_digests(items) == [hashing.blake3_digests([b])[0] for b in items]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=3000), st.integers(2040, 2060))
+def test_crc32c_by_blocks_equals_bytes(data, more):
+    from millrace.functions import hashing
+
+    data += bytes(i * 7 % 256 for i in range(more))
+    table, crc = [int(t) for t in hashing._castagnoli()[0]], 0xFFFFFFFF
+    for b in data:
+        crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
+    assert hashing.crc32c_value(data) == crc ^ 0xFFFFFFFF
