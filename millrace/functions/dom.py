@@ -332,7 +332,7 @@ def parse(source: str, fragment: bool = False) -> Element:
     return b.root
 
 
-# -- writing ---------------------------------------------------------------------------------------
+# -- writing
 
 
 def escape_text(s: str) -> str:

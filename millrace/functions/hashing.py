@@ -20,7 +20,7 @@ def sha256() -> Kernel:
     return _hex_kernel("sha256Hex", lambda b: hashlib.sha256(b).hexdigest(), lambda c: (F.sha2(c.cast("binary"), 256), None))
 
 
-# -- BLAKE3 (one-shot hash of the published specification) -----------------------------------------
+# -- BLAKE3 (one-shot hash of the published specification)
 
 _IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
 _ORDER = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)

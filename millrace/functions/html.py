@@ -11,7 +11,10 @@ from . import dom, selectors
 from .codecs import integer
 from .kernel import ANY, STR, Kernel, as_text
 
-# -- extraction ------------------------------------------------------------------------------------
+# -- extraction
+
+
+EXTRACTS = ("text", "html", "{attr}")
 
 
 class _Select:
@@ -40,12 +43,12 @@ def html_extract(selector: str, extract: str | Mapping[str, str] = "text", all:
         attr = extract.get("attr")
         if not isinstance(attr, str) or not attr:
             raise InvalidArg("htmlExtract: attr must not be empty")
-    elif extract not in ("text", "html"):
-        raise InvalidArg(f"htmlExtract: extract must be 'text', 'html', or {{attr}}, got '{extract}'")
+    elif extract not in EXTRACTS[:2]:
+        raise InvalidArg(f"htmlExtract: extract must be one of {EXTRACTS}, got '{extract}'")
     try:
         select = _Select(selector)
-    except selectors.BadSelector as e:
-        raise InvalidArg(f"htmlExtract: invalid selector '{selector}': {e}") from None
+    except selectors.BadSelector as why:
+        raise InvalidArg(f"htmlExtract: invalid selector '{selector}': {why}") from None
 
     def one(e: dom.Element) -> str | None:
         return e.attrs.get(attr.lower()) if attr else e.text() if extract == "text" else dom.outer_html(e)
@@ -60,7 +63,7 @@ def html_extract(selector: str, extract: str | Mapping[str, str] = "text", all:
     return Kernel("htmlExtract", ANY, "string", run)
 
 
-# -- sanitizing ------------------------------------------------------------------------------------
+# -- sanitizing
 
 TAGS = frozenset(
     "a abbr acronym area article aside b bdi bdo blockquote br caption center cite code col colgroup data dd del details dfn div dl dt em figcaption "
@@ -144,7 +147,7 @@ def sanitize_html(allowed_tags: Sequence[str] | None = None, allowed_attrs: Mapp
     return Kernel("sanitizeHtml", STR, "string", run)
 
 
-# -- plain text ------------------------------------------------------------------------------------
+# -- plain text
 
 _GONE = frozenset("head script style noscript template title iframe svg math object".split())
 _BLOCKS = frozenset(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from ..errors import Fault, InvalidArg
 from .kernel import ANY, Kernel, as_text
 
-_NUMBER = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[Ee][-+]?\d+)?")
 _STRING = re.compile(rb'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
 _SPACE = re.compile(rb"[ \t\n\r]*")
 _WORDS = {0x74: b"true", 0x66: b"false", 0x6E: b"null"}
@@ -82,7 +82,7 @@ def _utf8(s: str) -> bytes:
     return s.encode("utf-8", "replace")
 
 
-# -- paths -----------------------------------------------------------------------------------------
+# -- paths
 
 
 @dataclass(frozen=True)

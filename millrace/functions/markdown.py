@@ -87,7 +87,7 @@ def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" "))
 
 
-# -- blocks ----------------------------------------------------------------------------------------
+# -- blocks
 
 
 class Parser:
@@ -385,7 +385,7 @@ def _cells(line: str) -> list[str]:
     return [p.strip().replace("\\|", "|") for p in parts]
 
 
-# -- inlines ---------------------------------------------------------------------------------------
+# -- inlines
 
 
 class Inline:
@@ -713,7 +713,7 @@ def _dashes(m: re.Match) -> str:
     return "—" * em + "–" * en
 
 
-# -- rendering -------------------------------------------------------------------------------------
+# -- rendering
 
 
 class Renderer:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArg
 from .kernel import STR, Kernel
 
-METRICS = ("jaro", "jaroWinkler", "sorensenDice", "normalizedLevenshtein", "normalizedDamerau")
-
 
 def distance(a: str, b: str) -> int:
     """Edit distance over code points."""
@@ -96,17 +94,26 @@ def _normal(measure):
     return lambda a, b: 1.0 - measure(a, b) / max(len(a), len(b)) if a or b else 1.0
 
 
+_MEASURES = {
+    "jaro": jaro,
+    "jaroWinkler": jaro_winkler,
+    "sorensenDice": sorensen_dice,
+    "normalizedLevenshtein": _normal(distance),
+    "normalizedDamerau": _normal(damerau),
+}
+METRICS = tuple(_MEASURES)
+
+
 def similarity(metric: str) -> Kernel:
-    measures = dict(zip(METRICS, (jaro, jaro_winkler, sorensen_dice, _normal(distance), _normal(damerau))))
-    if metric not in measures:
+    if metric not in _MEASURES:
         raise InvalidArg(f"unknown metric '{metric}' (expected {'|'.join(METRICS)})")
     native = None
     if metric == "normalizedLevenshtein":
         native = lambda a, b: (F.coalesce(1 - F.levenshtein(a, b) / F.nullif(F.greatest(F.char_length(a), F.char_length(b)), F.lit(0)), F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0))), None)
-    return Kernel("similarity", STR, "double", measures[metric], native, arity=2)
+    return Kernel("similarity", STR, "double", _MEASURES[metric], native, arity=2)
 
 
-# -- unified diff ----------------------------------------------------------------------------------
+# -- unified diff
 
 
 def _snake_edits(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import Fault, InvalidArg
 from .kernel import STR, Kernel
 
-# -- literal patterns ------------------------------------------------------------------------------
+# -- literal patterns
 
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -57,7 +57,7 @@ def _checked(op: str, patterns: Sequence[str]) -> None:
         raise InvalidArg(f"{op}: patterns must not be empty")
     for i, p in enumerate(patterns):
         if not p:
-            raise InvalidArg(f"{op}: patterns[{i}] must not be empty")
+            raise InvalidArg(f"{op}: pattern {i} is empty: every pattern needs a character")
 
 
 #: Lists up to this long become one native alternation when all matches share a replacement.
@@ -106,7 +106,7 @@ def multi_find(patterns: Sequence[str], case_insensitive: bool | None = None, li
     return Kernel("multiFind", STR, "string", run)
 
 
-# -- regular expressions ---------------------------------------------------------------------------
+# -- regular expressions
 
 #: Constructs that other engines know and this dialect does not.
 _FOREIGN = re.compile(r"""\\. | \[(?:\\.|[^\]\\])*\] | (?P<bad>\(\?(?:[=!>|(&R+\-0-9]|<[=!]|P[=>]) | [*+?}]\+)""", re.X | re.S)

@@ -19,7 +19,7 @@ def quoted(s: str) -> str:
     return '"' + _ESCAPED.sub(lambda m: _NAMED.get(m[0]) or f"\\u{ord(m[0]):04x}", s) + '"'
 
 
-# -- CSV -------------------------------------------------------------------------------------------
+# -- CSV
 
 
 def records(s: str, delimiter: str, quote: str):
@@ -106,7 +106,7 @@ def csv_to_ndjson(delimiter: str | None = None, quote: str | None = None, has_he
     return Kernel("csvToNdjson", ANY, "string", run)
 
 
-# -- JSON lines ------------------------------------------------------------------------------------
+# -- JSON lines
 
 _OPS = ("eq", "ne", "gt", "lt", "exists")
 
@@ -126,7 +126,7 @@ def _filter(i: int, f: dict):
     where = f"ndjsonTransform: filter[{i}]"
     op, path, value = f.get("op"), f.get("path", ""), f.get("value")
     if op not in _OPS:
-        raise InvalidArg(f"{where}: unknown op '{op}' (expected eq|ne|gt|lt|exists)")
+        raise InvalidArg(f"{where}: unknown op '{op}' (expected {'|'.join(_OPS)})")
     if not path:
         raise InvalidArg(f"{where}: path must not be empty")
     parts = jsonpath.parse_path(path)
@@ -158,8 +158,9 @@ def ndjson_transform(filter: Sequence[dict] | None = None, project: Sequence[str
     filters = [_filter(i, f) for i, f in enumerate(filter or ())]
     fields = []
     for i, path in enumerate(project or ()):
+        where = f"ndjsonTransform: project[{i}]"
         if not path:
-            raise InvalidArg(f"ndjsonTransform: project[{i}]: path must not be empty")
+            raise InvalidArg(f"{where}: path must not be empty")
         fields.append((quoted(path.rpartition(".")[2]), jsonpath.parse_path(path)))
 
     def run(v: bytes | str) -> str:

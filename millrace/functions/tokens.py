@@ -28,6 +28,7 @@ _O200K = "|".join(
 #: Folder of rank files ``<encoding>.tiktoken``; the environment's name for it, and the folder it has by default.
 FOLDER_VARIABLE, FOLDER = "MILLRACE_ENCODINGS", "/opt/tokenizers"
 #: cl100k_base and o200k_base need their rank files in the folder; they are never stood in for by others.
+KEEP = ("start", "end")
 PATTERNS = {"cl100k_base": _CL100K, "o200k_base": _O200K, "byte_bpe_50k": _GPT2, "byte_bpe_multi_50k": _GPT2}
 
 
@@ -69,8 +70,8 @@ def truncate_tokens(encoding: str, max_tokens: int, keep: str | None = None) ->
     _known("truncateTokens", encoding)
     most = _whole("truncateTokens", "maxTokens", max_tokens, 1)
     keep = "start" if keep is None else keep
-    if keep not in ("start", "end"):
-        raise InvalidArg(f"truncateTokens: keep must be 'start' or 'end', got '{keep}'")
+    if keep not in KEEP:
+        raise InvalidArg(f"truncateTokens: keep must be {' or '.join(map(repr, KEEP))}, got '{keep}'")
 
     def run(s: str) -> str:
         enc = encoder(encoding)

@@ -124,7 +124,7 @@ def run_write_files(plan: Compiled, source: Source, spark: SparkSession | None =
     A file is written under another name first, so that a task may run twice.
     """
     if plan.terminal.get("kind") != "writeFiles":
-        raise InvalidArg('runPipelineWriteFiles requires plan terminal {"kind": "writeFiles", "dir": ..., "ext": ...}')
+        raise InvalidArg("runPipelineWriteFiles needs a plan whose terminal is writeFiles, with a dir")
     folder, ext = plan.terminal["dir"], plan.terminal.get("ext", "")
     try:
         os.makedirs(folder, exist_ok=True)

@@ -13,6 +13,7 @@ from ..functions.kernel import ANY, BYTES, SPARK_TYPE, STR, Kernel, settled_udf
 from .stages import Stage
 
 MODES = ("failFast", "settled")
+INPUT_KINDS = {"bytes": (BYTES,), "str": (STR,), "either": (BYTES, STR)}
 
 
 @dataclass(frozen=True)
@@ -61,13 +62,13 @@ def compile_plan(plan: str | dict | Compiled, input_kind: str = "either") -> Com
         raise InvalidArg(f"invalid plan JSON: unknown terminal {terminal}")
     stages = [Stage(s["op"], {k: v for k, v in s.items() if k != "op"}) for s in plan["stages"]]
     found, first = {}, None
-    for kind in {"bytes": (BYTES,), "str": (STR,), "either": (BYTES, STR)}.get(input_kind, ()):
+    for kind in INPUT_KINDS.get(input_kind, ()):
         try:
             found[kind] = _checked(stages, kind)
         except InvalidArg as e:
             first = first or e
-    if input_kind not in ("bytes", "str", "either"):
-        raise InvalidArg(f"inputKind must be 'bytes', 'str', or 'either', got '{input_kind}'")
+    if input_kind not in INPUT_KINDS:
+        raise InvalidArg(f"inputKind must be one of {', '.join(INPUT_KINDS)}, got '{input_kind}'")
     if not found:
         raise first
     kind = next(iter(found))

@@ -56,10 +56,10 @@ def _chain(name: str, table: str, key: str, col: str, chain: Callable[[], Pipeli
 _binary = lambda c: c.cast("binary")
 _docs = ("documents", "doc_id", "text")
 
-# -- flagship --------------------------------------------------------------------------------------
+# -- flagship
 _chain("flagship_pluck_lower_sha256", "events", "event_id", "props", lambda: pipeline().json_pluck("k").lowercase().sha256_hex(), "sha256(lower(json_extract_string(props, '$.k')))")
 
-# -- kinds, hashes, checksums ----------------------------------------------------------------------
+# -- kinds, hashes, checksums
 _chain("utf8_of_bytes", *_docs, lambda: pipeline().bytes().utf8(), "text")
 _each("sha256_hex", *_docs, lambda c: M.sha256_hex(c), "sha256(text)")
 _each("blake3_hex", *_docs, lambda c: M.blake3_hex(c))
@@ -68,7 +68,7 @@ _each("xxh64_hex", *_docs, lambda c: M.xxh64_hex(c))
 _each("crc32_hex", *_docs, lambda c: M.crc32_hex(c))
 _each("crc32c_hex", *_docs, lambda c: M.crc32c_hex(c))
 
-# -- compression and encodings: the way there and back gives the text -------------------------------
+# -- compression and encodings: the way there and back gives the text
 _chain("gzip_gunzip", *_docs, lambda: pipeline().bytes().gzip(6).gunzip().utf8(), "text")
 _chain("zstd_compress_decompress", *_docs, lambda: pipeline().bytes().zstd_compress(3).zstd_decompress().utf8(), "text")
 _chain("brotli_compress_decompress", *_docs, lambda: pipeline().bytes().brotli_compress(5).brotli_decompress().utf8(), "text")
@@ -77,7 +77,7 @@ _chain("base64_decode", *_docs, lambda: pipeline().base64_encode().base64_decode
 _each("hex_encode", *_docs, lambda c: M.hex_encode(c), "lower(hex(text))")
 _chain("hex_decode", *_docs, lambda: pipeline().hex_encode().hex_decode().utf8(), "text")
 
-# -- strings ---------------------------------------------------------------------------------------
+# -- strings
 _each("lowercase", *_docs, lambda c: M.lowercase(c), "lower(text)")
 _each("uppercase", "part", "p_partkey", "p_name", lambda c: M.uppercase(c), "upper(p_name)")
 _each("uppercase_documents", *_docs, lambda c: M.uppercase(c))
@@ -87,7 +87,7 @@ for _form in ("NFD", "NFKC", "NFKD"):
     _each(f"normalize_{_form.lower()}", *_docs, lambda c, form=_form: M.normalize(c, form))
 _each("byte_len", *_docs, lambda c: M.byte_len(c), "CAST(strlen(text) AS INTEGER)")
 
-# -- JSON, CSV, JSON lines -------------------------------------------------------------------------
+# -- JSON, CSV, JSON lines
 _each("json_validate", "events", "event_id", "props", lambda c: M.json_validate(c), "json_valid(props)")
 _each("json_pluck", "events", "event_id", "props", lambda c: M.json_pluck(c, "k"), "json_extract_string(props, '$.k')")
 _chain("json_pluck_stage", "events", "event_id", "props", lambda: pipeline().json_pluck("k"), "json_extract_string(props, '$.k')")
@@ -142,7 +142,7 @@ _each(
     "CASE WHEN json_exists(props, '$.k') THEN props ELSE '' END",
 )
 
-# -- search and regular expressions ----------------------------------------------------------------
+# -- search and regular expressions
 _WORDS = ["the", "and", "over", "er"]
 _each("multi_replace", *_docs, lambda c: M.multi_replace(c, _WORDS, "#"), "regexp_replace(text, 'over|the|and|er', '#', 'g')")
 _each(
@@ -167,7 +167,7 @@ def regex_extract_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline().regex_extract("[0-9]+").settled().to_df(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))).select("doc_id", "value", "error")
 
 
-# -- HTML and Markdown -----------------------------------------------------------------------------
+# -- HTML and Markdown
 _pages = ("pages", "page_id", "html")
 _each("sanitize_html", *_pages, lambda c: M.sanitize_html(c))
 _each("sanitize_html_policy", *_pages, lambda c: M.sanitize_html(c, allowed_tags=["p", "a"], allowed_attrs={"a": ["href"]}, url_schemes=["https"]))
@@ -181,14 +181,14 @@ _each("markdown_to_html", *_docs, lambda c: M.markdown_to_html(c))
 _each("markdown_to_html_all", *_docs, lambda c: M.markdown_to_html(c, footnotes=True, smart_punct=True, unsafe=True))
 _each("markdown_heading", "nation", "n_nationkey", "n_name", lambda c: M.markdown_to_html(F.concat(F.lit("# *"), c, F.lit("*"))), "'<h1><em>' || n_name || '</em></h1>' || chr(10)")
 
-# -- tokens ----------------------------------------------------------------------------------------
+# -- tokens
 _each("count_tokens", *_docs, lambda c: M.count_tokens(c, ENCODING))
 _each("truncate_tokens", *_docs, lambda c: M.truncate_tokens(c, ENCODING, 64))
 _each("truncate_tokens_end", *_docs, lambda c: M.truncate_tokens(c, ENCODING, 64, "end"))
 _each("chunk_by_tokens", *_docs, lambda c: M.chunk_by_tokens(c, ENCODING, 128, 16))
 _each("chunk_by_tokens_joined", *_docs, lambda c: F.array_join(M.json_list(M.chunk_by_tokens(c, ENCODING, 128)), ""), "text")
 
-# -- pairs -----------------------------------------------------------------------------------------
+# -- pairs
 _PAIR_SQL = "FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
 
 
@@ -223,7 +223,7 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", M.diff("a", "b", 3).alias("value"))
 
 
-# -- sorts: the rank in the total order -------------------------------------------------------------
+# -- sorts: the rank in the total order
 
 
 def _ranked(df: DataFrame, key: Column, *cols: str) -> DataFrame:
@@ -248,7 +248,7 @@ def sort_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(_table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
-# -- sources, terminals, modes ---------------------------------------------------------------------
+# -- sources, terminals, modes
 
 
 @query("count_settled", "SELECT count(*) FILTER (regexp_matches(text, '[0-9]')) AS n FROM documents")

