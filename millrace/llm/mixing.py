@@ -4,14 +4,16 @@ Every source's documents are shuffled by a hash. A document's virtual finish tim
 token count of its source, divided by the source's target weight; in the order of finish times the
 sources advance in proportion to their weights until the total budget is spent.
 
-No source is ordered in one task: the hash splits it into buckets, whose token sums give each bucket
-its offset, and running sums are taken inside buckets. The cut is found in the same way over
-intervals of finish time. Within a source finish times ascend with the hash, so the chosen
+No source is ordered in one task: the hash splits it into as many buckets as each holds documents (the
+root of their number), whose token sums give each bucket its offset, and running sums are taken inside
+buckets. The cut is found in the same way over intervals of finish time. Within a source finish times ascend with the hash, so the chosen
 documents of a source are those up to one last hash, and the texts never move.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ TARGET_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 DEFAULT_WEIGHT = 1.0
 #: Total budget as a share of the input's tokens, used when no number of tokens is given.
 BUDGET_SHARE = 0.8
-#: About as many documents lie in a bucket of the running sums.
-PER_BUCKET = 2000
 SEED = "mix"
 
 
@@ -57,7 +57,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default_w
         raise ValueError("weights must not be negative")
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"), shuffle_key(F.col("doc_id"), F.col("text")).alias("shuffle_key"))
     rows = written(rows.where((F.col("n_tokens") > 0) & (weight_of(F.col("source"), weights, default_weight) > 0)), "lengths")
-    sizes = rows.groupBy("source").agg(F.ceil(F.count("*") / PER_BUCKET).alias("buckets"))
+    sizes = rows.groupBy("source").agg(F.ceil(F.sqrt(F.count("*"))).alias("buckets"))
     rows = rows.join(sizes, "source").withColumn("bucket", _bucket(F.col("shuffle_key"), F.col("buckets"))).drop("buckets")
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -72,7 +72,7 @@ def _chosen(docs: DataFrame, weights: dict[str, float] | None, default_weight: f
     plan = written(schedule(docs, weights, default_weight), "finish")
     n, total, last = plan.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.max("virtual_finish"), F.lit(0.0))).first()
     budget = int(total * budget_share) if budget_tokens is None else budget_tokens
-    spans = max(1, n // PER_BUCKET)
+    spans = max(1, math.isqrt(n))
     span = F.least(F.floor(F.col("virtual_finish") * F.lit(spans / last if last else 0.0)), F.lit(spans - 1)).cast("bigint")
     by_span = plan.groupBy(span.alias("span")).agg(F.sum("n_tokens").alias("t"))
     cut = by_span.select("span", F.sum("t").over(Window.orderBy("span")).alias("upto")).where(F.col("upto") > budget).agg(F.min(F.struct("span", "upto")).alias("m")).first()["m"]

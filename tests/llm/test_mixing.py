@@ -13,8 +13,7 @@ def rows():
     return out + out[:20] + [(1, "other text", "en", "src1")] * 3
 
 
-def test_sql_says_the_same(spark, rows, monkeypatch):
-    monkeypatch.setattr(mixing, "PER_BUCKET", 50)
+def test_sql_says_the_same(spark, rows):
     table = pa.table(list(map(list, zip(*documents(rows)))), schema=DOCS)
     got = mixing.mix(crowded(frame(spark, rows)))
     assert same_rows(dicts(got), duck(queries.ORACLE_SQL["op2_mixing"], documents=table))
