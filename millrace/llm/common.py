@@ -84,7 +84,7 @@ def bounded_rows(df: DataFrame, key: str, by: str, most: int, seed: int = 0) ->
     return df.where(unit_hash(F.col(key), seed=seed) < share[F.col(by)])
 
 
-# -- Arrow text buffers ------------------------------------------------------------------------
+# -- Arrow text buffers
 
 
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:

@@ -195,7 +195,7 @@ def _block(b: bytes, at: int, end: int, time: int, key: bool | None, where: int,
         out.append((track, begin + i * step, offset, size, key, LACINGS[kind], where))
 
 
-# -- writing -----------------------------------------------------------------------------------
+# -- writing
 
 
 def write_id(name: int) -> bytes:
@@ -268,7 +268,7 @@ def mux(frames: list[bytes], step_ms: int = 1000, per_block: int = 4, blocks_per
     return head + (write_id(SEGMENT) + b"\x01" + b"\xff" * 7 + inner if unknown_sizes else element(SEGMENT, inner))
 
 
-# -- columns -----------------------------------------------------------------------------------
+# -- columns
 
 _PACKET = "track bigint, timestamp_ns bigint, byte_offset bigint, byte_size bigint, key_frame boolean, lacing string, cluster_offset bigint, cued boolean, payload_md5 string"
 _FIELDS = [f.split()[0] for f in _PACKET.split(", ")]

@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
         tree = BallTree(pdf["vec_id"].to_numpy(), _matrix(pdf["embedding"]))
         return _search(pdf, tree, k, np.full(len(pdf), -np.inf))
 
-    def away(key, queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def away(key: tuple, queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(own):
             return _rows(np.zeros(0, np.int64), 0, np.zeros((0, k)), np.zeros((0, k), np.int64))
         tree = BallTree(own["vec_id"].to_numpy(), _matrix(own["embedding"]))
