@@ -172,9 +172,13 @@ _pages = ("pages", "page_id", "html")
 _each("sanitize_html", *_pages, lambda c: M.sanitize_html(c))
 _each("sanitize_html_policy", *_pages, lambda c: M.sanitize_html(c, allowed_tags=["p", "a"], allowed_attrs={"a": ["href"]}, url_schemes=["https"]))
 _each("html_to_text", *_pages, lambda c: M.html_to_text(c, 60))
-_each("html_extract_html", *_pages, lambda c: M.html_extract(c, "article > h1", "html"))
-_each("html_extract_text", *_pages, lambda c: M.html_extract(c, "footer", "text"))
-_each("html_extract_attr", *_pages, lambda c: M.html_extract(c, "nav a", {"attr": "href"}, all=True))
+_PLAIN = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_each("html_extract_html", *_pages, lambda c: M.html_extract(c, "article > h1", "html"), "regexp_extract(html, '<h1>.*?</h1>')")
+_each("html_extract_text", *_pages, lambda c: M.html_extract(c, "footer", "text"), _PLAIN.format("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"))
+_each(
+    "html_extract_attr", *_pages, lambda c: M.html_extract(c, "nav a", {"attr": "href"}, all=True),
+    "'[' || array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1), lambda h: '\"' || " + _PLAIN.format("h") + " || '\"'), ',') || ']'",
+)
 _each("html_extract_lang", *_pages, lambda c: M.html_extract(c, "html", {"attr": "lang"}), "regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)")
 _each("html_extract_count", *_pages, lambda c: F.size(M.json_list(M.html_extract(c, "nav li", "text", all=True))), "CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER)")
 _each("markdown_to_html", *_docs, lambda c: M.markdown_to_html(c))
