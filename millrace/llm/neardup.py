@@ -111,6 +111,7 @@ def _signature_column(text):
             nodes, kept, ok = [np.zeros(0, np.int64)], [], [np.zeros(0, bool)]
             for a, b in slices(texts, SLICE_BYTES):
                 sig, some = signatures([t or "" for t in texts.slice(a, b - a).to_pylist()], known)
+                sig = sig.astype(np.uint16)  # two values agree by chance once in 65536 times
                 nodes.append(_node(sig))
                 kept += map(np.ndarray.tobytes, sig)
                 ok.append(some)
@@ -123,7 +124,7 @@ def _signature_column(text):
 
 def _bands_column(sig):
     def run(sigs: pa.Array) -> pa.Array:
-        flat = np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(-1, VALUES)
+        flat = np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, VALUES)
         return pa.ListArray.from_arrays(np.arange(0, (len(sigs) + 1) * BANDS, BANDS, dtype=np.int32), pa.array(_band_hashes(flat).ravel()))
 
     run.__annotations__ = {"sigs": pa.Array, "return": pa.Array}
@@ -134,8 +135,8 @@ def _agreement(a, b):
     """Share of equal values of two signatures."""
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        u = np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, VALUES)
-        v = np.frombuffer(b"".join(y.to_pylist()), np.uint32).reshape(-1, VALUES)
+        u = np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, VALUES)
+        v = np.frombuffer(b"".join(y.to_pylist()), np.uint16).reshape(-1, VALUES)
         return pa.array((u == v).mean(1))
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
@@ -167,25 +168,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree, with their similarity; only signatures of nodes in pairs move."""
-    some = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    some = some.groupBy("node").agg(F.first("sig").alias("sig"))
-    both = pairs.join(some.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    """The pairs (a, b) whose signatures agree, with their similarity."""
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     return both.select("a", "b", _agreement(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(key, node, root) of every row of docs that has words and a partner, and all rows' (key, node).
-
-    key is the pair (doc_id, hash of the text), which equal rows share.
-    """
+def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, h, node, root) of every row of docs that has words; h is a hash of the text, equal roots are a group."""
     key = docs.select("doc_id", F.xxhash64("text").alias("h"), _signature_column(F.col("text")).alias("s"))
     rows = written(key.select("doc_id", "h", "s.node", "s.sig"), "signatures").where("node is not null")
     bands = rows.select("node", F.explode(_bands_column(F.col("sig"))).alias("band"))
     full = bands.groupBy("band").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
     full = written(full.select("band", F.array_min("nodes").alias("low"), "nodes"), "bands")
     stars = full.select(F.col("low").alias("b"), F.explode("nodes").alias("a")).where("a <> b").select("a", "b").distinct()
-    first = written(_similar(written(stars, "stars"), rows, similar), "alike")
+    stars = written(stars, "stars")
+    # signatures of the nodes that share a band with another: the rest never moves again
+    paired = full.select(F.explode("nodes").alias("node")).distinct()
+    some = written(rows.select("node", "sig").join(paired.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "paired")
+    first = written(_similar(stars, some, similar), "alike")
     root = written(components(first), "roots")
     # pairs of a band that still lie in different components
     member = full.select("band", F.explode("nodes").alias("node"))
@@ -197,14 +197,16 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFr
     apart = apart.join(first.select("a", "b"), ["a", "b"], "left_anti")
     # compared with the star already and found different: not compared again
     apart = apart.join(stars, ["a", "b"], "left_anti")
-    second = written(_similar(apart, rows, similar), "alike")
+    second = written(_similar(apart, some, similar), "alike")
     named = second.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
     upper = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     top = written(upper, "roots").toDF("root", "top")
     known = root.select("node", "root").union(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root")))
     final = known.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     rows = rows.select("doc_id", "h", "node")
-    return rows.join(written(final, "groups"), "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root")), rows
+    member = rows.join(written(final, "groups"), "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
+    member = written(member, "members")
+    return member
 
 
 def _leaders(member: DataFrame) -> DataFrame:
@@ -224,8 +226,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     stay. Equal doc_ids with different texts are different documents. Other columns of docs are
     ignored, whatever their names; an empty table gives an empty result.
     """
-    member, _ = groups(docs, similar)
-    member = written(member, "members")
+    member = groups(docs, similar)
     pairs = member.join(_leaders(member), "root").where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))))
     return pairs.select(F.col("doc_id").alias("doc_a"), F.col("keep_id").alias("doc_b")).distinct()
 
@@ -235,14 +236,14 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Of equal rows one stays, and of rows equal in doc_id and text but not in other columns any one.
     """
-    member, _ = groups(docs, similar)
-    member = written(member, "members")
+    member = groups(docs, similar)
     lead = member.join(_leaders(member), "root")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
     fate = lead.groupBy("doc_id", "h").agg(F.max(stays).alias("stays"), F.count("*").alias("copies")).where("not stays or copies > 1")
     h, did, fh, state = fresh(docs, "h", "doc", "fh", "state")
     fate = fate.select(F.col("doc_id").alias(did), F.col("h").alias(fh), F.when(F.col("stays"), 1).otherwise(2).alias(state))
     rows = docs.withColumn(h, F.xxhash64("text"))
-    rows = rows.join(written(fate, "fate"), F.col(q("doc_id")).eqNullSafe(F.col(did)) & (F.col(h) == F.col(fh)), "left")
+    # as many decisions as duplicates: they grow with docs, and are never broadcast
+    rows = rows.join(written(fate, "fate").hint("merge"), F.col(q("doc_id")).eqNullSafe(F.col(did)) & (F.col(h) == F.col(fh)), "left")
     one = rows.where(F.col(state) == 1).dropDuplicates([did, fh])
     return rows.where(F.col(state).isNull()).union(one).select(*[q(c) for c in docs.columns])
