@@ -48,6 +48,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written on the way to a result that is itself written: removed as soon as that is there."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(written(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for df in self.tables:
+            sc = df.sparkSession.sparkContext
+            for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+                where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables.clear()
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that df does not have, whatever extra columns it carries."""
     taken, out = {c.lower() for c in df.columns}, []

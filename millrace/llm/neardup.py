@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, q, slices, written
+from .common import Scratch, fresh, q, slices, written
 
 SHINGLE, PERMUTATIONS, ROWS = 3, 64, 4
 VALUES = 2 * PERMUTATIONS
@@ -143,13 +143,13 @@ def _agreement(a, b):
     return F.arrow_udf(run, "double")(a, b)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for edges (a, b).
 
     Large-star and small-star steps until the edges are stars; every step is written, so that a lost
     executor costs one step at most.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         sums = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -164,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: every smaller neighbour, and the node itself, is tied to the smallest of them
         some = large.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs"))
         some = some.select("m", F.explode(F.array_union("bs", F.array("a"))).alias("v"))
-        now = written(some.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        now = scratch.written(some.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -175,37 +175,39 @@ def _similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, h, node, root) of every row of docs that has words; h is a hash of the text, equal roots are a group."""
+    scratch = Scratch()
     key = docs.select("doc_id", F.xxhash64("text").alias("h"), _signature_column(F.col("text")).alias("s"))
-    rows = written(key.select("doc_id", "h", "s.node", "s.sig"), "signatures").where("node is not null")
+    rows = scratch.written(key.select("doc_id", "h", "s.node", "s.sig"), "signatures").where("node is not null")
     bands = rows.select("node", F.explode(_bands_column(F.col("sig"))).alias("band"))
     full = bands.groupBy("band").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    full = written(full.select("band", F.array_min("nodes").alias("low"), "nodes"), "bands")
+    full = scratch.written(full.select("band", F.array_min("nodes").alias("low"), "nodes"), "bands")
     stars = full.select(F.col("low").alias("b"), F.explode("nodes").alias("a")).where("a <> b").select("a", "b").distinct()
-    stars = written(stars, "stars")
+    stars = scratch.written(stars, "stars")
     # signatures of the nodes that share a band with another: the rest never moves again
     paired = full.select(F.explode("nodes").alias("node")).distinct()
-    some = written(rows.select("node", "sig").join(paired.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "paired")
-    first = written(_similar(stars, some, similar), "alike")
-    root = written(components(first), "roots")
+    some = scratch.written(rows.select("node", "sig").join(paired.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "paired")
+    first = scratch.written(_similar(stars, some, similar), "alike")
+    root = scratch.written(components(first, scratch), "roots")
     # pairs of a band that still lie in different components
     member = full.select("band", F.explode("nodes").alias("node"))
     member = member.join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = member.groupBy("band").agg(F.collect_list(F.struct("root", "node")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     mixed = mixed.select("band", "m", F.explode("m").alias("one"))
     apart = mixed.select(F.col("one.node").alias("b"), F.explode(F.filter("m", lambda o: (o["root"] > F.col("one.root")))).alias("o"))
-    apart = written(apart.select(F.greatest("b", "o.node").alias("a"), F.least("b", "o.node").alias("b")).distinct(), "apart")
+    apart = scratch.written(apart.select(F.greatest("b", "o.node").alias("a"), F.least("b", "o.node").alias("b")).distinct(), "apart")
     apart = apart.join(first.select("a", "b"), ["a", "b"], "left_anti")
     # compared with the star already and found different: not compared again
     apart = apart.join(stars, ["a", "b"], "left_anti")
-    second = written(_similar(apart, some, similar), "alike")
+    second = scratch.written(_similar(apart, some, similar), "alike")
     named = second.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
-    upper = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    top = written(upper, "roots").toDF("root", "top")
+    upper = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch)
+    top = scratch.written(upper, "roots").toDF("root", "top")
     known = root.select("node", "root").union(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root")))
     final = known.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     rows = rows.select("doc_id", "h", "node")
-    member = rows.join(written(final, "groups"), "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
+    member = rows.join(scratch.written(final, "groups"), "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
     member = written(member, "members")
+    scratch.clear()
     return member
 
 

@@ -7,6 +7,7 @@ from helpers import crowded, frame
 from pyspark.sql import functions as F
 
 from millrace.llm import neardup
+from millrace.llm.common import Scratch, shared_dir
 
 
 def prose(seed, n):
@@ -117,9 +118,9 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch()).collect()}
     assert got == {x: find(x) for x in parent}
-    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint"), Scratch()).collect() == []
 
 
 def test_a_band_whose_smallest_node_differs_is_compared_in_full(spark, monkeypatch):
@@ -130,6 +131,15 @@ def test_a_band_whose_smallest_node_differs_is_compared_in_full(spark, monkeypat
     assert got == {(i, i - i % 4) for i in range(40) if i % 4}
 
 
+def test_tables_on_the_way_are_removed(spark):
+    import os
+
+    at = f"{shared_dir(spark)}/millrace"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    neardup.keep_one(frame(spark, [(i, "a b c d e") for i in range(4)])).collect()
+    assert {n.partition("-")[0] for n in set(os.listdir(at)) - before} == {"members", "fate"}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == [] and neardup.keep_one(frame(spark, [])).collect() == []
     assert neardup.near_duplicates(frame(spark, [(1, None), (2, "")])).collect() == [] and neardup.keep_one(frame(spark, [(1, None), (1, None)])).count() == 2
