@@ -112,7 +112,9 @@ def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, default
     top = chosen.groupBy("source").agg(F.max("shuffle_key").alias(last))
     ends = chosen.join(top, "source").where(F.col("shuffle_key") == F.col(last)).groupBy("source", last).agg(F.count("*").alias(many))
     rows = docs.withColumns({s: F.coalesce(F.col(q("source")), F.lit("")), key: shuffle_key(F.col(q("doc_id")), F.col(q("text")))})
-    rows = rows.join(ends.withColumnRenamed("source", us), F.col(s) == F.col(us)).where((F.col(key) <= F.col(last)) & (tokens(F.col(q("text"))) > 0))
+    # written: its true size is known then, and docs stay where they are while sources are few
+    ends = written(ends.withColumnRenamed("source", us), "ends")
+    rows = rows.join(ends, F.col(s) == F.col(us)).where((F.col(key) <= F.col(last)) & (tokens(F.col(q("text"))) > 0))
     at_end = rows.where(F.col(key) == F.col(last)).withColumn(rank, F.row_number().over(Window.partitionBy(s).orderBy(key))).where(F.col(rank) <= F.col(many))
     cols = [q(c) for c in docs.columns]
     return rows.where(F.col(key) < F.col(last)).select(*cols).union(at_end.select(*cols))
