@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_BYTES = 1 << 18
 #: Words remembered in a partition; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 MERGED_AT_ONCE = 200_000
 DECODED_AT_ONCE = 300_000
 MERGES_REMEMBERED = 250_000

@@ -30,7 +30,7 @@ BANDS = VALUES // ROWS
 #: Least share of equal signature values of a pair.
 SIMILAR = 0.48
 SLICE_BYTES = 1 << 18
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 class _Hashes(dict):

@@ -34,7 +34,7 @@ SHRINK = 10
 KEEP_FROM = 0.3
 SLICE_BYTES = 1 << 20
 GATHERED = 50_000
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def shape(word: str) -> str:
