@@ -239,11 +239,11 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"), host_of(F.col("url")).isNotNull().alias("known"))
     node = rows.where("known and html is not null").select("host", F.explode(_nodes(F.col("html"))).alias("o")).select("host", "o.*")
     counts = node.groupBy("host", "leaf", "p", "e", "x").agg(F.count("*").alias("n"))
-    style = counts.where("leaf = 0").select("host", "leaf", "p", "e", "x", "n", F.lit(0).cast("bigint").alias("kinds"), F.lit(0.0).alias("h"))
-    leaf = counts.where("leaf = 1").groupBy("host", "leaf", "p", "e").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(F.log("n")).alias("h"))
-    tree = style.union(leaf.select("host", "leaf", "p", "e", F.lit(0).cast("bigint").alias("x"), "n", "kinds", "h"))
+    # style nodes stay apart, the contents of a leaf are summed up; pages are parsed for this once
+    x = F.when(F.col("leaf") == 0, F.col("x")).otherwise(0)
+    tree = counts.groupBy("host", "leaf", "p", "e", x.alias("x")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(F.log("n")).alias("h"))
 
-    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "cut": [unimportant(pdf, threshold)]})
 
     cuts = written(tree.groupBy("host").applyInPandas(judge, "host bigint, cut array<bigint>"), "cuts")
