@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows
+from .common import bounded_rows, written
 
 #: Labelled URLs of each class that are fitted on, at most about this many.
 TRAIN_PER_CLASS = 3000
@@ -128,7 +128,8 @@ def _with_suffix(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.when(F.trim("url") != "", suffix_of(F.col("url"))).alias("suffix"))
     counts = rows.where("suffix is not null").groupBy("suffix").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    counts = counts.crossJoin(total).select("suffix", (F.col("n") / F.col("total")).alias("suffix_share"))
+    # written: its true size is known then, by which Spark broadcasts it or not; suffixes are few and hot
+    counts = written(counts.crossJoin(total).select("suffix", (F.col("n") / F.col("total")).alias("suffix_share")), "suffixes")
     return rows.join(counts, "suffix", "left").select("page_id", "url", "suffix", "suffix_share")
 
 
