@@ -2,7 +2,8 @@
 
 Features are lengths, depth, digit ratio, entropy, counts of parameters and punctuation, and
 statistics of the host's suffix: its share of all URLs, counted over the whole table, and its smoothed
-rate of bad URLs among the labelled ones. Trees are grown on histograms in numpy.
+rate of bad URLs, counted over all labelled ones. Trees are grown on histograms in numpy, on a bounded
+sample of the labelled URLs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import bounded_rows, written
 #: Labelled URLs of each class that are fitted on, at most about this many.
 TRAIN_PER_CLASS = 3000
 REJECT_FROM = 0.5
+#: A suffix's rate of bad URLs is drawn to that of all by as many labels.
+SMOOTHING = 20
 #: Registered names of known bad hosts, from which the query takes its labelled URLs.
 BAD_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
 _PARTS = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
@@ -102,25 +105,26 @@ class BoostedTrees:
 
 
 class UrlModel:
-    """Trees, and the rates of bad URLs by suffix."""
+    """Trees, and the rate of bad URLs among all labelled ones, which a suffix without labels gets."""
 
-    def __init__(self, urls: list[str], suffixes: list[str], shares: np.ndarray, bad: np.ndarray):
+    def __init__(self, urls: list[str], shares: np.ndarray, labelled: np.ndarray, wrong: np.ndarray, bad: np.ndarray, prior: float):
+        """labelled, wrong: labels, and bad ones among them, of each URL's suffix, its own included."""
         y = bad.astype(np.float64)
-        self.prior = float(y.mean())
-        seen, wrong = Counter(suffixes), Counter(s for s, b in zip(suffixes, bad) if b)
-        self.rates = {s: (wrong[s] + 20 * self.prior) / (n + 20) for s, n in seen.items()}
+        self.prior = prior
         # a URL's own label is left out of its suffix's rate
-        rates = np.array([(wrong[s] - b + 20 * self.prior) / (seen[s] + 19) for s, b in zip(suffixes, y)])
-        self.trees = BoostedTrees(self.matrix(urls, shares, rates), y)
+        self.trees = BoostedTrees(self.matrix(urls, shares, self.rates(labelled - 1, wrong - y)), y)
+
+    def rates(self, labelled: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+        return (wrong + SMOOTHING * self.prior) / (labelled + SMOOTHING)
 
     @staticmethod
     def matrix(urls: list[str], shares: np.ndarray, rates: np.ndarray) -> np.ndarray:
         return np.column_stack([np.array([lexical(u) for u in urls], np.float64).reshape(len(urls), -1), shares, rates])
 
-    def probabilities(self, urls: list[str], suffixes: list[str], shares: np.ndarray) -> np.ndarray:
+    def probabilities(self, urls: list[str], shares: np.ndarray, labelled: np.ndarray, wrong: np.ndarray) -> np.ndarray:
         if not urls:
             return np.zeros(0)
-        return self.trees.probabilities(self.matrix(urls, shares, np.array([self.rates.get(s, self.prior) for s in suffixes])))
+        return self.trees.probabilities(self.matrix(urls, shares, self.rates(labelled, wrong)))
 
 
 def _with_suffix(pages: DataFrame) -> DataFrame:
@@ -133,16 +137,26 @@ def _with_suffix(pages: DataFrame) -> DataFrame:
     return rows.join(counts, "suffix", "left").select("page_id", "url", "suffix", "suffix_share")
 
 
-def fit(rows: DataFrame, labelled: DataFrame, per_class: int = TRAIN_PER_CLASS) -> UrlModel | None:
-    """A model from a bounded sample of labelled URLs (url, bad); None when a class has none."""
+def _labels(labelled: DataFrame) -> DataFrame:
+    """(u, b, suffix): every labelled URL once; contradicting labels cancel it."""
     known = labelled.select(F.col("url").alias("u"), F.col("bad").cast("int").alias("b")).where("trim(u) <> '' and b is not null")
-    known = known.groupBy("u").agg(F.min("b").alias("b"), F.max("b").alias("z")).where("b = z").select("u", "b")
+    return known.groupBy("u").agg(F.min("b").alias("b"), F.max("b").alias("z")).where("b = z").select("u", "b", suffix_of(F.col("u")).alias("suffix"))
+
+
+def _tallies(known: DataFrame) -> DataFrame:
+    """(suffix, labelled, wrong): labels and bad ones of each suffix, over all labelled URLs."""
+    return written(known.groupBy("suffix").agg(F.count("*").alias("labelled"), F.count_if(F.col("b") == 1).alias("wrong")), "labels")
+
+
+def fit(rows: DataFrame, known: DataFrame, tallies: DataFrame, per_class: int = TRAIN_PER_CLASS) -> UrlModel | None:
+    """A model whose trees see a bounded sample of the labelled URLs (u, b, suffix); None when a class has none."""
+    all_of = tallies.agg(F.sum("labelled").alias("n"), F.sum("wrong").alias("bad")).first()
+    if not all_of["bad"] or all_of["bad"] == all_of["n"]:
+        return None
     some = bounded_rows(known, "u", "b", per_class)
     shares = rows.where("suffix is not null").groupBy("suffix").agg(F.first("suffix_share").alias("share"))
-    some = some.withColumn("suffix", suffix_of(F.col("u"))).join(shares, "suffix", "left").na.fill({"share": 0.0}).toPandas().sort_values("u")
-    if some["b"].nunique() < 2:
-        return None
-    return UrlModel(some["u"].tolist(), some["suffix"].tolist(), some["share"].to_numpy(), some["b"].to_numpy() == 1)
+    some = some.join(tallies, "suffix").join(shares, "suffix", "left").na.fill({"share": 0.0}).toPandas().sort_values("u")
+    return UrlModel(some["u"].tolist(), some["share"].to_numpy(), some["labelled"].to_numpy(), some["wrong"].to_numpy(), some["b"].to_numpy() == 1, all_of["bad"] / all_of["n"])
 
 
 def known_bad(pages: DataFrame, names: tuple[str, ...] = BAD_NAMES) -> DataFrame:
@@ -162,17 +176,20 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, reject_from
     are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = _with_suffix(pages)
-    sent = pages.sparkSession.sparkContext.broadcast(fit(rows, known_bad(pages) if labelled is None else labelled))
+    known = _labels(known_bad(pages) if labelled is None else labelled)
+    tallies = _tallies(known)
+    sent = pages.sparkSession.sparkContext.broadcast(fit(rows, known, tallies))
 
-    def run(urls: pa.Array, suffixes: pa.Array, shares: pa.Array) -> pa.Array:
+    def run(urls: pa.Array, shares: pa.Array, labels: pa.Array, wrong: pa.Array) -> pa.Array:
         model = sent.value
         u = [t or "" for t in urls.to_pylist()]
         if model is None:
             return pa.array(np.zeros(len(u)))
-        s = np.array([v or 0.0 for v in shares.to_pylist()], np.float64)
-        return pa.array(model.probabilities(u, [t or "" for t in suffixes.to_pylist()], s))
+        s, n, k = (np.array([v or 0.0 for v in c.to_pylist()], np.float64) for c in (shares, labels, wrong))
+        return pa.array(model.probabilities(u, s, n, k))
 
-    run.__annotations__ = {"urls": pa.Array, "suffixes": pa.Array, "shares": pa.Array, "return": pa.Array}
-    p = F.when(F.col("suffix").isNotNull(), F.arrow_udf(run, "double")("url", "suffix", "suffix_share"))
+    run.__annotations__ = {"urls": pa.Array, "shares": pa.Array, "labels": pa.Array, "wrong": pa.Array, "return": pa.Array}
+    rows = rows.join(tallies, "suffix", "left")
+    p = F.when(F.col("suffix").isNotNull(), F.arrow_udf(run, "double")("url", "suffix_share", "labelled", "wrong"))
     got = rows.select("page_id", "url", p.alias("bad_probability"))
     return got.select("page_id", "url", "bad_probability", F.coalesce(F.col("bad_probability") < reject_from, F.lit(False)).alias("accepted"))

@@ -82,6 +82,18 @@ def test_suffix_shares_count_all_rows(spark):
     assert rows == {1: 2 / 3, 2: 2 / 3, 3: 1 / 3, 4: None}
 
 
+def test_suffix_rates_count_labels_outside_the_sample(spark):
+    # 40 suffixes, every second one bad, that URLs do not tell apart; a sample of a dozen a class misses most of them
+    rows = [(i, f"https://{'abcdefghij'[i // 40 % 10]}.{chr(97 + i % 40 // 20)}{chr(97 + i % 20)}q.org/x", "") for i in range(400)]
+    known = urls._labels(spark.createDataFrame([(u, i % 2) for i, u, _ in rows], "url string, bad int"))
+    tallies = urls._tallies(known)
+    got = {r["suffix"]: (r["labelled"], r["wrong"]) for r in tallies.collect()}
+    assert len(got) == 40 and set(got.values()) == {(10, 0), (10, 10)}
+    model = urls.fit(urls._with_suffix(spark.createDataFrame(rows, DDL)), known, tallies, per_class=30)
+    p = model.probabilities([u for _, u, _ in rows], np.full(400, 1 / 40), np.full(400, 10.0), np.array([10.0 * (i % 2) for i, _, _ in rows]))
+    assert all((p >= 0.5) == [i % 2 == 1 for i, _, _ in rows])
+
+
 def test_awkward_rows(spark):
     rows = [*ROWS, (2000, None, ""), (2001, "  ", ""), (2002, "no url at all", ""), (None, fine(3), ""), ROWS[0], (2003, "https://x.example.com/" + "a" * 200_000, "")]
     df = spark.createDataFrame(rows, DDL).withColumns({c: F.lit(1) for c in ("suffix", "n", "total", "suffix_share", "accepted", "u", "b")})
