@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, written
+from .common import bounded_rows, unit_hash, written
 
 #: Labelled URLs of each class that are fitted on, at most about this many.
 TRAIN_PER_CLASS = 3000
 REJECT_FROM = 0.5
 #: A suffix's rate of bad URLs is drawn to that of all by as many labels.
 SMOOTHING = 20
+#: Parts of the labelled URLs; the trees see a URL's suffix with the rate of the other parts. Were a URL's own label
+#: alone left out, the rate itself would tell it: within a suffix it would be lower for the bad ones.
+FOLDS = 8
 #: Registered names of known bad hosts, from which the query takes its labelled URLs.
 BAD_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
 _PARTS = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
@@ -56,9 +59,13 @@ def lexical(url: str) -> list[float]:
 
 
 class BoostedTrees:
-    """Binary trees of fixed depth on binned features, fitted to the logistic loss."""
+    """Binary trees of fixed depth on binned features, fitted to the logistic loss.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 10):
+    prior is the rate of ones where x was sampled from, when the classes were kept in other shares than
+    they have there: log-odds are shifted by what the sampling put in.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 10, prior: float | None = None):
         cuts = [np.unique(np.quantile(f, np.linspace(0, 1, bins + 1)[1:-1])) for f in x.T]
         binned = np.stack([np.searchsorted(c, f, side="left") for c, f in zip(cuts, x.T)], 1)
         self.depth, self.rate = depth, rate
@@ -92,6 +99,8 @@ class BoostedTrees:
             gs, hs = np.bincount(node, g, 2**depth), np.bincount(node, h, 2**depth)
             self.value[t] = -gs / (hs + 1)
             score += rate * self.value[t][node]
+        if prior is not None:
+            self.base += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         score, rows = np.full(len(x), self.base), np.arange(len(x))
@@ -108,11 +117,9 @@ class UrlModel:
     """Trees, and the rate of bad URLs among all labelled ones, which a suffix without labels gets."""
 
     def __init__(self, urls: list[str], shares: np.ndarray, labelled: np.ndarray, wrong: np.ndarray, bad: np.ndarray, prior: float):
-        """labelled, wrong: labels, and bad ones among them, of each URL's suffix, its own included."""
-        y = bad.astype(np.float64)
+        """labelled, wrong: labels, and bad ones among them, of each URL's suffix in the other parts."""
         self.prior = prior
-        # a URL's own label is left out of its suffix's rate
-        self.trees = BoostedTrees(self.matrix(urls, shares, self.rates(labelled - 1, wrong - y)), y)
+        self.trees = BoostedTrees(self.matrix(urls, shares, self.rates(labelled, wrong)), bad.astype(np.float64), prior=prior)
 
     def rates(self, labelled: np.ndarray, wrong: np.ndarray) -> np.ndarray:
         return (wrong + SMOOTHING * self.prior) / (labelled + SMOOTHING)
@@ -143,9 +150,15 @@ def _labels(labelled: DataFrame) -> DataFrame:
     return known.groupBy("u").agg(F.min("b").alias("b"), F.max("b").alias("z")).where("b = z").select("u", "b", suffix_of(F.col("u")).alias("suffix"))
 
 
+def _part() -> Column:
+    return F.floor(unit_hash(F.col("u"), seed=1) * FOLDS)
+
+
 def _tallies(known: DataFrame) -> DataFrame:
-    """(suffix, labelled, wrong): labels and bad ones of each suffix, over all labelled URLs."""
-    return written(known.groupBy("suffix").agg(F.count("*").alias("labelled"), F.count_if(F.col("b") == 1).alias("wrong")), "labels")
+    """(suffix, labelled, wrong, parts): labels and bad ones of each suffix, over all labelled URLs and by part."""
+    bad = F.col("b") == 1
+    parts = F.array(*[F.struct(F.count_if(_part() == k).alias("labelled"), F.count_if(bad & (_part() == k)).alias("wrong")) for k in range(FOLDS)])
+    return written(known.groupBy("suffix").agg(F.count("*").alias("labelled"), F.count_if(bad).alias("wrong"), parts.alias("parts")), "labels")
 
 
 def fit(rows: DataFrame, known: DataFrame, tallies: DataFrame, per_class: int = TRAIN_PER_CLASS) -> UrlModel | None:
@@ -155,7 +168,11 @@ def fit(rows: DataFrame, known: DataFrame, tallies: DataFrame, per_class: int =
         return None
     some = bounded_rows(known, "u", "b", per_class)
     shares = rows.where("suffix is not null").groupBy("suffix").agg(F.first("suffix_share").alias("share"))
-    some = some.join(tallies, "suffix").join(shares, "suffix", "left").na.fill({"share": 0.0}).toPandas().sort_values("u")
+    own = F.element_at("parts", (_part() + 1).cast("int"))
+    some = some.join(tallies, "suffix").select("u", "b", "suffix", (F.col("labelled") - own["labelled"]).alias("labelled"), (F.col("wrong") - own["wrong"]).alias("wrong"))
+    some = some.join(shares, "suffix", "left").na.fill({"share": 0.0}).toPandas().sort_values("u")
+    if some["b"].nunique() < 2:
+        return None
     return UrlModel(some["u"].tolist(), some["share"].to_numpy(), some["labelled"].to_numpy(), some["wrong"].to_numpy(), some["b"].to_numpy() == 1, all_of["bad"] / all_of["n"])
 
 
@@ -189,7 +206,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, reject_from
         return pa.array(model.probabilities(u, s, n, k))
 
     run.__annotations__ = {"urls": pa.Array, "shares": pa.Array, "labels": pa.Array, "wrong": pa.Array, "return": pa.Array}
-    rows = rows.join(tallies, "suffix", "left")
+    rows = rows.join(tallies.drop("parts"), "suffix", "left")
     p = F.when(F.col("suffix").isNotNull(), F.arrow_udf(run, "double")("url", "suffix_share", "labelled", "wrong"))
     got = rows.select("page_id", "url", p.alias("bad_probability"))
     return got.select("page_id", "url", "bad_probability", F.coalesce(F.col("bad_probability") < reject_from, F.lit(False)).alias("accepted"))

@@ -94,6 +94,18 @@ def test_suffix_rates_count_labels_outside_the_sample(spark):
     assert all((p >= 0.5) == [i % 2 == 1 for i, _, _ in rows])
 
 
+def test_probabilities_do_not_depend_on_the_share_sampled(spark):
+    # nothing in these URLs tells the 6 % of bad ones, so that each has a chance of 6 %
+    r = random.Random(5)
+    rows = [(i, f"https://www.example.com/{r.randrange(10**6):06}", "") for i in range(4000)]
+    known = urls._labels(spark.createDataFrame([(u, int(i % 100 < 6)) for i, u, _ in rows], "url string, bad int"))
+    pages, tallies = urls._with_suffix(spark.createDataFrame(rows, DDL)), urls._tallies(known)
+    for per_class in (150, urls.TRAIN_PER_CLASS):
+        some = rows[:1000]
+        p = urls.fit(pages, known, tallies, per_class).probabilities([u for _, u, _ in some], np.ones(1000), np.full(1000, 4000.0), np.full(1000, 240.0))
+        assert np.mean(p < urls.REJECT_FROM) > 0.97 and 0.02 < np.median(p) < 0.1
+
+
 def test_awkward_rows(spark):
     rows = [*ROWS, (2000, None, ""), (2001, "  ", ""), (2002, "no url at all", ""), (None, fine(3), ""), ROWS[0], (2003, "https://x.example.com/" + "a" * 200_000, "")]
     df = spark.createDataFrame(rows, DDL).withColumns({c: F.lit(1) for c in ("suffix", "n", "total", "suffix_share", "accepted", "u", "b")})
