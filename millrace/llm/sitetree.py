@@ -28,8 +28,8 @@ from .common import written
 THRESHOLD = 0.8
 #: Weight of an element's own styles against what lies below, to the power of its number of styles.
 GAMMA = 0.9
-#: A node seen on fewer pages says nothing about the site and is kept.
-LEAST_PAGES = 10
+#: A node seen on fewer different pages says nothing about the site and is kept.
+LEAST_PAGES = 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<[a-zA-Z/!?][^>]*>|[^<]+|<", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -231,14 +231,18 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, main_text, branches_cut) for every row of pages.
 
     Pages whose URL has no host are sites of their own, of which nothing is cut, and so is whatever a host
-    shows on fewer than ten pages. A null page has null main_text and branches_cut; an empty one an empty text. Pages repeated
-    within a host count as often as they come, so what they share loses importance. Broken markup is read as far as
+    shows on fewer than LEAST_PAGES different pages. A null page has null main_text and branches_cut; an empty one an empty
+    text. Exact copies of a page within a host count as one page. Broken markup is read as far as
     it goes and deep nesting is flattened at 200. Other columns are ignored, whatever their names; an
     empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"), host_of(F.col("url")).isNotNull().alias("known"))
-    node = rows.where("known and html is not null").select("host", F.explode(_nodes(F.col("html"))).alias("o")).select("host", "o.*")
-    counts = node.groupBy("host", "leaf", "p", "e", "x").agg(F.count("*").alias("n"))
+    seen = rows.where("known and html is not null").select("host", "html", F.xxhash64("html").alias("content"))
+    copies = written(seen.groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    weight = 1 / F.coalesce(F.col("copies"), F.lit(1))
+    node = seen.join(copies, ["host", "content"], "left").select("host", weight.alias("w"), F.explode(_nodes(F.col("html"))).alias("o")).select("host", "w", "o.*")
+    # copies of a page have the same nodes, so that their weights add up to one
+    counts = node.groupBy("host", "leaf", "p", "e", "x").agg(F.round(F.sum("w")).cast("bigint").alias("n"))
     # style nodes stay apart, the contents of a leaf are summed up; pages are parsed for this once
     x = F.when(F.col("leaf") == 0, F.col("x")).otherwise(0)
     tree = counts.groupBy("host", "leaf", "p", "e", x.alias("x")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(F.log("n")).alias("h"))

@@ -102,3 +102,12 @@ def test_awkward_pages(spark):
     assert got[203]["main_text"] == "" and "Home" not in got[None]["main_text"] and "Home" not in got[204]["main_text"]
     assert got[205]["main_text"] == "deep" and len(got[206]["main_text"]) == 5 * 100_000 - 1
     assert sitetree.main_text(spark.createDataFrame([], DDL)).collect() == []
+
+
+def test_small_hosts_are_trimmed_and_copies_count_once(spark):
+    rows = [(i, f"https://few.example/{i}", page(i, "few")) for i in range(7)] + [(100 + i, f"https://copy.example/{i}", page(1, "copy")) for i in range(12)]
+    rows += [(200 + i, f"https://both.example/{i}", page(i % 6, "both")) for i in range(18)]
+    got = {r["page_id"]: r for r in sitetree.main_text(spark.createDataFrame(rows, DDL)).collect()}
+    assert all("Home" not in got[i]["main_text"] and f"Head {i}" in got[i]["main_text"] for i in range(7))
+    assert all("Home" in got[i]["main_text"] and "Head 1" in got[i]["main_text"] and got[i]["branches_cut"] == 0 for i in range(100, 112))
+    assert all("Home" not in got[200 + i]["main_text"] and f"Head {i % 6}" in got[200 + i]["main_text"] for i in range(18))
