@@ -212,7 +212,7 @@ class LanguageModels:
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, order: int = ORDER) -> LanguageModels:
     """Models from a bounded sample of the rows whose ``lang`` is known; whole texts."""
     known = docs.select(F.col("doc_id").alias("k"), F.col("lang").alias("l"), F.col("text").alias("t")).where("l is not null and t is not null")
-    rows = bounded_rows(known, "k", "l", per_language).toPandas()
+    rows = bounded_rows(known, ("k", "t"), "l", per_language).toPandas()
     texts = {name: part.sort_values(["k", "t"])["t"].tolist() for name, part in rows.groupby("l")}
     return LanguageModels(texts, order)
 

@@ -120,3 +120,10 @@ def test_without_rows_or_labels(spark):
     assert langid.identify(frame(spark, [])).collect() == []
     (r,) = langid.identify(frame(spark, [(1, "some text", None)])).collect()
     assert (r["predicted_lang"], r["accepted"]) == (None, False)
+
+
+def test_rows_without_ids_are_sampled_one_by_one(spark):
+    rows = [(None if lang == "aa" else 7, text(lang, 40, i), lang) for lang in ("aa", "bb") for i in range(400)]
+    sample = langid.bounded_rows(frame(spark, rows).withColumnsRenamed({"doc_id": "k", "text": "t", "lang": "l"}), ("k", "t"), "l", 50).groupBy("l").count().collect()
+    assert {r["l"] for r in sample} == {"aa", "bb"} and all(30 <= r["count"] <= 100 for r in sample)
+    assert set(langid.fit(frame(spark, rows), per_language=50).names) == {"aa", "bb"}
