@@ -22,6 +22,11 @@ def _safe(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
 
 
+def _safe_role(role: Column) -> Column:
+    """A role in one line without markers: line breaks in it become blanks."""
+    return F.translate(_safe(F.coalesce(role, F.lit("unknown"))), "\n\r", "  ")
+
+
 def expand(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """(conv_id, turn, n_context, prompt, target, train_from, train_to), one row for each turn of the trained role.
 
@@ -29,11 +34,14 @@ def expand(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     [train_from, train_to) is its range of characters in prompt followed by target. Turns are in the
     order of turn, equal ones by role and text, those without a number last. Rows equal in conv_id,
     turn, role and text count once. A null conv_id belongs to no conversation and is left out; a null
-    role is "unknown"; a null text is empty. A reply without turns before it has its header alone as
+    role is "unknown"; a null text is empty. Markers in texts and roles are broken up, and a role's line breaks
+    become blanks, so that neither can forge a turn. A reply without turns before it has its header alone as
     prompt. Long conversations are kept whole. Other columns are ignored, whatever their names; an
     empty table gives an empty result.
     """
-    turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), _safe(F.col("text")).alias("text"))
+    if START in trained_role or "\n" in trained_role or "\r" in trained_role:
+        raise ValueError("trained_role must be one line without markers")
+    turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), _safe_role(F.col("role")).alias("role"), _safe(F.col("text")).alias("text"))
     convs = turns.where(F.col("conv_id").isNotNull()).select("conv_id", turn.alias("t"))
     convs = convs.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     convs = convs.select("conv_id", F.transform("ts", lambda t: _piece(t["role"], t["text"])).alias("pieces"), F.posexplode("ts").alias("n_context", "t"))
@@ -46,7 +54,7 @@ def expand(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
 
 SQL = f"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
+  SELECT DISTINCT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|im_', '<| im_'), chr(10) || chr(13), '  ') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (
   SELECT *, row_number() OVER w - 1 AS n_context,
