@@ -6,7 +6,8 @@ sources advance in proportion to their weights until the total budget is spent.
 
 No source is ordered in one task: the hash splits it into as many buckets as each holds documents (the
 root of their number), whose token sums give each bucket its offset, and running sums are taken inside
-buckets. The cut is found in the same way over intervals of finish time. Within a source finish times ascend with the hash, so the chosen
+buckets. The cut is found over intervals of finish time, the one in which the budget ends being split again
+until it holds few documents, however unevenly the times lie. Within a source finish times ascend with the hash, so the chosen
 documents of a source are those up to one last hash, and the texts never move.
 """
 
@@ -25,6 +26,8 @@ DEFAULT_WEIGHT = 1.0
 #: Total budget as a share of the input's tokens, used when no number of tokens is given.
 BUDGET_SHARE = 0.8
 SEED = "mix"
+#: Documents that are ordered one by one to find the cut, at most about as many.
+ORDERED = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -53,8 +56,8 @@ def _bucket(key: Column, n: Column) -> Column:
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT) -> DataFrame:
     """(doc_id, source, n_tokens, shuffle_key, virtual_finish) of the documents that have tokens and a positive weight."""
     weights = TARGET_WEIGHTS if weights is None else weights
-    if any(w < 0 for w in weights.values()) or default_weight < 0:
-        raise ValueError("weights must not be negative")
+    if not all(0 <= w < math.inf for w in (*weights.values(), default_weight)):
+        raise ValueError("weights must be finite and not negative")
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"), shuffle_key(F.col("doc_id"), F.col("text")).alias("shuffle_key"))
     rows = written(rows.where((F.col("n_tokens") > 0) & (weight_of(F.col("source"), weights, default_weight) > 0)), "lengths")
     sizes = rows.groupBy("source").agg(F.ceil(F.sqrt(F.count("*"))).alias("buckets"))
@@ -68,22 +71,26 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default_w
     return rows.select("doc_id", "source", "n_tokens", "shuffle_key", done.alias("virtual_finish"))
 
 
-def _chosen(docs: DataFrame, weights: dict[str, float] | None, default_weight: float, budget_tokens: int | None, budget_share: float) -> DataFrame:
+def _chosen(docs: DataFrame, weights: dict[str, float] | None, default_weight: float, budget_tokens: int | None, budget_share: float, ordered: int = ORDERED) -> DataFrame:
     plan = written(schedule(docs, weights, default_weight), "finish")
-    n, total, last = plan.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.max("virtual_finish"), F.lit(0.0))).first()
+    finish = F.col("virtual_finish")
+    n, total, low, high = plan.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.min(finish), F.max(finish)).first()
     budget = int(total * budget_share) if budget_tokens is None else budget_tokens
-    spans = max(1, math.isqrt(n))
-    span = F.least(F.floor(F.col("virtual_finish") * F.lit(spans / last if last else 0.0)), F.lit(spans - 1)).cast("bigint")
-    by_span = plan.groupBy(span.alias("span")).agg(F.sum("n_tokens").alias("t"))
-    cut = by_span.select("span", F.sum("t").over(Window.orderBy("span")).alias("upto")).where(F.col("upto") > budget).agg(F.min(F.struct("span", "upto")).alias("m")).first()["m"]
-    if cut is None:
+    if total <= budget:
         return plan
-    # the interval in which the budget ends: its documents are ordered one by one
-    inside = plan.where(span == cut["span"])
-    spent = by_span.where(F.col("span") < cut["span"]).agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+    # the interval in which the budget ends, by ever narrower ones; all before it fits
+    before, inside, spent = F.lit(False), F.lit(True), 0
+    while n > ordered and low < high:
+        spans = max(2, math.isqrt(n))
+        span = F.least(F.floor((finish - F.lit(low)) * F.lit(spans / (high - low))), F.lit(spans - 1)).cast("bigint")
+        sums = plan.where(inside).groupBy(span.alias("span")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.min(finish).alias("low"), F.max(finish).alias("high"))
+        sums = sums.withColumn("upto", F.sum("t").over(Window.orderBy("span")) + F.lit(spent))
+        cut = sums.where(F.col("upto") > budget).orderBy("span").first()
+        before, inside = before | (inside & (span < cut["span"])), inside & (span == cut["span"])
+        n, low, high, spent = cut["n"], cut["low"], cut["high"], cut["upto"] - cut["t"]
     order = Window.orderBy("virtual_finish", "source", "shuffle_key").rowsBetween(Window.unboundedPreceding, 0)
-    fits = inside.withColumn("upto", F.sum("n_tokens").over(order) + F.lit(spent)).where(F.col("upto") <= budget).drop("upto")
-    return plan.where(span < cut["span"]).union(fits)
+    fits = plan.where(inside).withColumn("upto", F.sum("n_tokens").over(order) + F.lit(spent)).where(F.col("upto") <= budget).drop("upto")
+    return plan.where(before).union(fits)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, budget_tokens: int | None = None, budget_share: float = BUDGET_SHARE) -> DataFrame:

@@ -44,8 +44,29 @@ def test_weights(spark, rows):
     docs = frame(spark, rows)
     assert {r["source"] for r in mixing.mix(docs, weights={"src0": 1}, default_weight=0).collect()} == {"src0"}
     assert {r["source"] for r in mixing.keep_mixed(docs, weights={"src0": 1}, default_weight=0).select("source").collect()} == {"src0"}
-    with pytest.raises(ValueError, match="negative"):
-        mixing.mix(docs, weights={"src0": -1})
+    for w in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="negative"):
+            mixing.mix(docs, weights={"src0": w})
+        with pytest.raises(ValueError, match="negative"):
+            mixing.mix(docs, default_weight=w)
+
+
+@pytest.mark.parametrize("ordered", [1, 50, 10**6])
+def test_the_cut_is_the_same_however_often_intervals_are_split(spark, rows, ordered):
+    """One source of tiny weight stretches the times to millions of times the others'."""
+    docs = frame(spark, rows)
+    weights = {"src0": 4.0, "src1": 2.0, "src2": 1e-6}
+    key = lambda df: sorted((r["virtual_finish"], r["source"], r["shuffle_key"], r["doc_id"] or -1) for r in df.collect())
+    plan = key(mixing.schedule(docs, weights))
+    size = {r["shuffle_key"]: r["n_tokens"] for r in mixing.schedule(docs, weights).collect()}
+    for budget in (0, 1, 700, 9000, sum(size[p[2]] for p in plan) - 1):
+        want, spent = [], 0
+        for p in plan:
+            spent += size[p[2]]
+            if spent > budget:
+                break
+            want.append(p)
+        assert key(mixing._chosen(docs, weights, 1.0, budget, 0.0, ordered)) == want
 
 
 def test_equal_rows_at_the_cut(spark):
