@@ -129,6 +129,10 @@ def laces(b: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Times, in nanoseconds, must lie within 64 bits.
+_FURTHEST = (1 << 63) - 1
+
+
 def parse(b: bytes) -> tuple[list[tuple], str | None]:
     """Packets (track, timestamp in ns, offset, size, key frame, lacing, cluster offset, cued), and the error that ended the walk."""
     out: list[tuple] = []
@@ -191,7 +195,10 @@ def _block(b: bytes, at: int, end: int, time: int, key: bool | None, where: int,
     begin = (time + int.from_bytes(b[at : at + 2], "big", signed=True)) * scale
     key = bool(flags & 0x80) if key is None else key
     step = durations.get(track, 0)
-    for i, (offset, size) in enumerate(laces(b, at + 3, end, kind)):
+    frames = laces(b, at + 3, end, kind)
+    if begin < -_FURTHEST or begin + (len(frames) - 1) * step > _FURTHEST:
+        raise Malformed(f"a time out of range at byte {at}")
+    for i, (offset, size) in enumerate(frames):
         out.append((track, begin + i * step, offset, size, key, LACINGS[kind], where))
 
 
@@ -312,7 +319,7 @@ def packet_table(files: DataFrame, key: str, data: str) -> DataFrame:
     One row for each frame, numbered from 0 in the order of the file; byte ranges count from the
     file's start. A file without frames (null, empty of clusters, or malformed before its first) has
     one row with packet null; a malformed file keeps the frames before the fault, and error says
-    where it lies on all its rows. Frames of size 0 are rows. Repeated files and null keys are kept
+    where it lies on all its rows; a time beyond 64 bits of nanoseconds is such a fault. Frames of size 0 are rows. Repeated files and null keys are kept
     row by row. Other columns of files are ignored, whatever their names; an empty table gives an empty result.
     """
     got = files.select(F.col(key).alias("key"), parsed(F.col(data)).alias("p"))

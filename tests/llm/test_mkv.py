@@ -94,3 +94,29 @@ def test_on_a_table(spark):
     assert [(r["id"], r["packet"], r["error"]) for r in out if r["id"] != 2] == [(1, None, mkv.parse(b"junk")[1]), (3, None, None)] and mkv.parse(b"junk")[1]
     assert [r["payload_md5"] for r in out if r["id"] == 2] == [hashlib.md5(b).hexdigest() for b in (b"abc", b"xy", b"XY")]
     assert mkv.document_packets(frame(spark, [])).collect() == []
+
+
+def test_damage_never_ends_a_task(spark):
+    """Times beyond 64 bits, and bytes changed at random, through the column and not the parser alone."""
+    track = mkv.element(mkv.TRACKS, mkv.element(mkv.ENTRY, mkv.number(mkv.NUMBER, 1) + mkv.number(mkv.DURATION, (1 << 64) - 1)))
+
+    def file(scale, time, kind=0, body=b"abc"):
+        block = mkv.element(mkv.SIMPLE, b"\x81\x00\x00" + bytes([0x80 | kind << 1]) + body)
+        parts = mkv.element(mkv.INFO, mkv.number(mkv.SCALE, scale)) + track + mkv.element(mkv.CLUSTER, mkv.number(mkv.TIME, time) + block)
+        return mkv.element(mkv.EBML, mkv.element(0x4282, b"matroska")) + mkv.element(mkv.SEGMENT, parts)
+
+    huge = (1 << 64) - 1
+    r = random.Random(2)
+    data = mkv.mux([b"frame %d" % i * 9 for i in range(40)])
+    files = [file(huge, huge), file(huge, 1), file(1, huge), file(1, (1 << 63) - 1), file(1, 5, 2, b"\x01abcd")]
+    for _ in range(300):
+        b = bytearray(data)
+        for _ in range(4):
+            b[r.randrange(120)] = r.choice((0, 255, r.randrange(256)))
+        files.append(bytes(b))
+    got = {}
+    for x in mkv.packet_table(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(files)], "id int, data binary"), "id", "data").collect():
+        got.setdefault(x["id"], []).append((x["packet"], x["timestamp_ns"], x["error"]))
+    assert len(got) == len(files)
+    assert all(got[i][0][0] is None and "out of range" in got[i][0][2] for i in (0, 1, 2, 4))
+    assert got[3] == [(0, (1 << 63) - 1, None)]
