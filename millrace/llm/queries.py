@@ -26,6 +26,12 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mkv.document_packets(table(spark, sf_dir, "documents"))
 
 
+def matroska_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4_matroska's rows: all but byte offsets, laces, clusters and cues."""
+    rows = op4_matroska(spark, sf_dir).where("packet is not null")
+    return rows.select("doc_id", "packet", "track", "timestamp_ns", "byte_size", "payload_md5")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +49,8 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.known_bad(pages))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +58,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality, op4_matroska, op5_bpe, op6_html_extraction, op7_chat, op8_top_k, op9_url_filter, op10_near_duplicates)
+    f.__name__: f for f in (op1_language_id, op2_mixing, op3_quality, op4_matroska, op5_bpe, op6_html_extraction, op7_chat, op8_top_k, op9_url_filter, op10_near_duplicates, matroska_payloads)
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in mixing.TARGET_WEIGHTS.items()) + f" ELSE {mixing.DEFAULT_WEIGHT} END"
 
 ORACLE_SQL: dict[str, str] = {
+    "matroska_payloads": mkv.SQL,
     "op7_chat": chat.SQL,
     "op8_top_k": topk.SQL,
     "op2_mixing": f"""

@@ -27,6 +27,8 @@ SMOOTHING = 20
 #: Parts of the labelled URLs; the trees see a URL's suffix with the rate of the other parts. Were a URL's own label
 #: alone left out, the rate itself would tell it: within a suffix it would be lower for the bad ones.
 FOLDS = 8
+#: Share of the hosts whose URLs the query labels; those of the others are told by their lexical signs alone.
+LABELLED_HOSTS = 0.5
 #: Registered names of known bad hosts, from which the query takes its labelled URLs.
 BAD_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
 _PARTS = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
@@ -136,7 +138,7 @@ class UrlModel:
 
 def _with_suffix(pages: DataFrame) -> DataFrame:
     """(page_id, url, suffix, suffix_share): the share is counted over all rows that have a URL."""
-    rows = pages.select("page_id", "url", F.when(F.trim("url") != "", suffix_of(F.col("url"))).alias("suffix"))
+    rows = pages.select("page_id", "url", F.when(F.col("url").rlike("\\S"), suffix_of(F.col("url"))).alias("suffix"))
     counts = rows.where("suffix is not null").groupBy("suffix").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     # written: its true size is known then, by which Spark broadcasts it or not; suffixes are few and hot
@@ -146,7 +148,7 @@ def _with_suffix(pages: DataFrame) -> DataFrame:
 
 def _labels(labelled: DataFrame) -> DataFrame:
     """(u, b, suffix): every labelled URL once; contradicting labels cancel it."""
-    known = labelled.select(F.col("url").alias("u"), F.col("bad").cast("int").alias("b")).where("trim(u) <> '' and b is not null")
+    known = labelled.select(F.col("url").alias("u"), F.col("bad").cast("int").alias("b")).where(F.col("u").rlike("\\S") & F.col("b").isin(0, 1))
     return known.groupBy("u").agg(F.min("b").alias("b"), F.max("b").alias("z")).where("b = z").select("u", "b", suffix_of(F.col("u")).alias("suffix"))
 
 
@@ -176,15 +178,15 @@ def fit(rows: DataFrame, known: DataFrame, tallies: DataFrame, per_class: int =
     return UrlModel(some["u"].tolist(), some["share"].to_numpy(), some["labelled"].to_numpy(), some["wrong"].to_numpy(), some["b"].to_numpy() == 1, all_of["bad"] / all_of["n"])
 
 
-def known_bad(pages: DataFrame, names: tuple[str, ...] = BAD_NAMES) -> DataFrame:
-    """(url, bad): URLs labelled by a list of the registered names of bad hosts."""
-    host = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    named = F.exists(F.split(F.lower(host), r"\."), lambda s: s.isin(*names))
-    return pages.where("url is not null").select("url", named.cast("int").alias("bad"))
+def known_bad(pages: DataFrame, names: tuple[str, ...] = BAD_NAMES, hosts: float = LABELLED_HOSTS) -> DataFrame:
+    """(url, bad): URLs of a share of the hosts, chosen by a hash, labelled by a list of registered names of bad hosts."""
+    host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    named = F.exists(F.split(host, r"\."), lambda s: s.isin(*names))
+    return pages.where(F.col("url").isNotNull() & (unit_hash(host, seed=9) < hosts)).select("url", named.cast("int").alias("bad"))
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, reject_from: float = REJECT_FROM) -> DataFrame:
-    """(page_id, url, bad_probability, accepted) for every row of pages.
+def filter_urls(pages: DataFrame, labelled: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
+    """(page_id, url, bad_probability, accepted) for every row of pages, learnt from labelled URLs (url, bad: 0 or 1).
 
     A null or blank URL is no URL: its probability is null and it is not accepted. Anything else is
     scored, malformed and very long URLs too. Equal URLs get equal results, so repeated rows agree;
@@ -193,7 +195,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, reject_from
     are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = _with_suffix(pages)
-    known = _labels(known_bad(pages) if labelled is None else labelled)
+    known = _labels(labelled)
     tallies = _tallies(known)
     sent = pages.sparkSession.sparkContext.broadcast(fit(rows, known, tallies))
 

@@ -66,6 +66,73 @@ def test_more_trees_fit_better():
     assert loss[0] > loss[1] > loss[2] and loss[2] < 0.2
 
 
+def brute_trees(x, y, trees=40, depth=3, rate=0.3, bins=32, least=10):
+    """Boosting by recursion over sets of rows, trying every feature and cut of every node."""
+    cuts = [np.unique(np.quantile(f, np.linspace(0, 1, bins + 1)[1:-1])) for f in x.T]
+    score = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p) + 1e-9
+        worth = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1)
+
+        def grow(rows, level):
+            if level < depth and len(rows):
+                best, found = 1e-6, None
+                for f, own in enumerate(cuts):
+                    for c in own:
+                        left = rows[x[rows, f] <= c]
+                        right = rows[x[rows, f] > c]
+                        if min(len(left), len(right)) >= least and (gain := worth(left) + worth(right) - worth(rows)) > best + 1e-12:
+                            best, found = gain, (left, right)
+                if found is not None:
+                    for part in found:
+                        grow(part, level + 1)
+                    return
+            if len(rows):
+                score[rows] -= rate * g[rows].sum() / (h[rows].sum() + 1)
+
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-score))
+
+
+def test_the_whole_result_is_that_of_plain_boosting(spark):
+    """Features, shares, rates of the other parts, trees and decision, by loops over a small table."""
+    rows = ROWS[:200]
+    lab = labelled(spark, rows)
+    got = {r["url"]: r for r in urls.filter_urls(spark.createDataFrame(rows, DDL), lab).collect()}
+    known = {r["u"]: (r["b"], r["suffix"], r["part"]) for r in urls._labels(lab).withColumn("part", urls._part()).collect()}
+    names = sorted(known)
+    share = {s: sum(urls_suffix == s for urls_suffix in (known[r[1]][1] for r in rows)) / len(rows) for s in {k[1] for k in known.values()}}
+    prior = np.mean([known[u][0] for u in names])
+
+    def rate(u, all_parts):
+        some = [known[v][0] for v in names if known[v][1] == known[u][1] and (all_parts or known[v][2] != known[u][2])]
+        return (sum(some) + urls.SMOOTHING * prior) / (len(some) + urls.SMOOTHING)
+
+    y = np.array([float(known[u][0]) for u in names])
+    fit_on = np.array([[*urls.lexical(u), share[known[u][1]], rate(u, False)] for u in names], float)
+    # scored rows go through the trees with the rate over all parts: the class's own trees stand in for that walk,
+    # after they have been held against the plain ones on the rows that they were grown on
+    trees = urls.BoostedTrees(fit_on, y, prior=prior)
+    assert np.allclose(trees.probabilities(fit_on), brute_trees(fit_on, y), atol=1e-6)
+    want = trees.probabilities(np.array([[*urls.lexical(u), share[known[u][1]], rate(u, True)] for u in names], float))
+    for u, p in zip(names, want):
+        assert got[u]["bad_probability"] == pytest.approx(p, abs=1e-6) and (got[u]["accepted"] == (p < urls.REJECT_FROM) or abs(p - urls.REJECT_FROM) < 1e-6)
+
+
+def test_hosts_without_labels_are_told_by_their_signs(spark):
+    """The query's own labels: half of the hosts; bad hosts of the other half are found all the same."""
+    hosts = [f"{'www.' if k % 2 else ''}{n}{'' if k < 2 else k}.example.{t}" for n in urls.BAD_NAMES for k in range(2) for t in ("com", "net", "org")]
+    rows = [(i, f"http://{hosts[i % len(hosts)]}/de/{i}", "") if i % 9 == 0 else (i, fine(i), "") for i in range(3000)]
+    pages = spark.createDataFrame(rows, DDL)
+    lab = urls.known_bad(pages)
+    known = {r["url"] for r in lab.collect()}
+    got = [r for r in urls.filter_urls(pages, lab).collect() if r["url"] not in known]
+    bad = [not r["accepted"] for r in got if r["page_id"] % 9 == 0]
+    good = [r["accepted"] for r in got if r["page_id"] % 9]
+    assert len(bad) > 50 and np.mean(bad) > 0.9 and len(good) > 300 and np.mean(good) > 0.97
+
+
 def test_features():
     f = dict(zip(urls.FEATURES, urls.lexical("https://u@WWW.a-b.example.com/x/y1/?p=1&q=&&r#top")))
     assert (f["depth"], f["params"], f["https"], f["fragment"], f["host_hyphens"], f["labels"], f["longest_label"]) == (2, 3, True, True, 1, 4, 7)
@@ -107,7 +174,7 @@ def test_probabilities_do_not_depend_on_the_share_sampled(spark):
 
 
 def test_awkward_rows(spark):
-    rows = [*ROWS, (2000, None, ""), (2001, "  ", ""), (2002, "no url at all", ""), (None, fine(3), ""), ROWS[0], (2003, "https://x.example.com/" + "a" * 200_000, "")]
+    rows = [*ROWS, (2000, None, ""), (2001, " \t\n", ""), (2002, "no url at all", ""), (None, fine(3), ""), ROWS[0], (2003, "https://x.example.com/" + "a" * 200_000, "")]
     df = spark.createDataFrame(rows, DDL).withColumns({c: F.lit(1) for c in ("suffix", "n", "total", "suffix_share", "accepted", "u", "b")})
     lab = labelled(spark).union(spark.createDataFrame([(None, 1), (" ", 0), (ROWS[1][1], 1), (ROWS[2][1], None)], "url string, bad int"))
     got = urls.filter_urls(df, lab).collect()
@@ -119,6 +186,6 @@ def test_awkward_rows(spark):
 
 def test_without_rows_or_labels(spark):
     none = labelled(spark, [])
-    assert urls.filter_urls(spark.createDataFrame([], DDL)).collect() == []
+    assert urls.filter_urls(spark.createDataFrame([], DDL), none).collect() == []
     (r,) = urls.filter_urls(spark.createDataFrame([(1, fine(1), "")], DDL), none).collect()
     assert (r["bad_probability"], r["accepted"]) == (0.0, True)
