@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +110,25 @@ def bounded_rows(df: DataFrame, key: str | tuple[str, ...], by: str, most: int,
 # -- Arrow text buffers
 
 
+def released(run: Callable) -> Callable:
+    """An iterator function over Arrow arrays that gives its memory back to the machine at a partition's end.
+
+    Python workers live on between stages, and what the allocators keep for later use would be counted to them.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    wrapped.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return wrapped
+
+
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``most`` bytes together; a longer text is alone in its range."""
     n = len(texts)

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -14,7 +15,7 @@ def page(i, host):
     return f"<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style></head><body><nav><ul><li><a href=/>Home</a><li><a href=/x>About {host}</a></ul></nav><div class=ad>Buy {'now' if i % 2 else 'more'}!</div><article><h1>Head {i}</h1>{body}</article><script>var a='</p>'</script><footer>&copy; {host}</footer></body></html>"
 
 
-ROWS = [(i, f"https://big.example/{i}", page(i, "big")) for i in range(60)] + [(100 + i, f"http://small.example/{i}", page(i, "small")) for i in range(4)]
+ROWS = [(i, f"https://big.example/{i}", page(i, "big")) for i in range(60)] + [(100 + i, f"http://small.example/{i}", page(i, "small")) for i in range(2)]
 
 
 def test_boilerplate_goes_and_stories_stay(spark):
@@ -51,7 +52,7 @@ def brute_importance(pages):
 
     def weigh(e):
         below = [weigh(c) for s in e["styles"].values() for c in s["children"].values()]
-        if e["n"] < sitetree.LEAST_PAGES:
+        if e["n"] == 1:
             e["own"] = 1.0
         elif not e["styles"]:
             e["own"] = 1 - sum(math.log(k) for k in e["texts"].values()) / math.log(e["n"]) / len(e["texts"])
@@ -61,7 +62,8 @@ def brute_importance(pages):
             under = sum(p * sum(c["own"] for c in s["children"].values()) / max(1, len(s["children"])) for p, s in share)
             w = sitetree.GAMMA ** len(share)
             e["own"] = (1 - w) * entropy + w * under
-        e["most"] = max([e["own"], *below]) if e["n"] >= sitetree.LEAST_PAGES else 1.0
+        e["own"] = 1 - (1 - e["own"]) * (e["n"] - 1) / (e["n"] - 1 + sitetree.EVIDENCE)
+        e["most"] = max([e["own"], *below])
         return e["most"]
 
     weigh(root)
@@ -88,7 +90,7 @@ def test_texts_are_those_of_plain_recursion(spark):
     [("", []), ("a<b", ["a<b"]), ("<p>x<p>y", ["x", "y"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]), ("x <b>y</b><br>z &amp; q", ["x y z & q"]), ("<!-- no --><script>no</script>yes<style>no", ["yes"]), ("<div><p>a</div>b", ["a", "b"]), ("</p></div>t", ["t"]), ("5 < 6", ["5 < 6"])],
 )
 def test_trees(html, want):
-    assert [n.text for _, _, _, leaf, n in sitetree.walk(sitetree.parse(html)) if n.tag == "#text"][::-1] in (want, want[::-1])
+    assert [n.text for *_, n in sitetree.walk(sitetree.parse(html)) if n.tag == "#text"][::-1] in (want, want[::-1])
     assert sitetree.extract(sitetree.parse(html), frozenset())[0].split("\n") == (want or [""])
 
 
@@ -105,9 +107,40 @@ def test_awkward_pages(spark):
 
 
 def test_small_hosts_are_trimmed_and_copies_count_once(spark):
-    rows = [(i, f"https://few.example/{i}", page(i, "few")) for i in range(7)] + [(100 + i, f"https://copy.example/{i}", page(1, "copy")) for i in range(12)]
+    rows = [(i, f"https://few.example/{i}", page(i, "few")) for i in range(3)] + [(100 + i, f"https://copy.example/{i}", page(1, "copy")) for i in range(12)]
     rows += [(200 + i, f"https://both.example/{i}", page(i % 6, "both")) for i in range(18)]
     got = {r["page_id"]: r for r in sitetree.main_text(spark.createDataFrame(rows, DDL)).collect()}
-    assert all("Home" not in got[i]["main_text"] and f"Head {i}" in got[i]["main_text"] for i in range(7))
+    assert all("Home" not in got[i]["main_text"] and f"Head {i}" in got[i]["main_text"] for i in range(3))
     assert all("Home" in got[i]["main_text"] and "Head 1" in got[i]["main_text"] and got[i]["branches_cut"] == 0 for i in range(100, 112))
     assert all("Home" not in got[200 + i]["main_text"] and f"Head {i % 6}" in got[200 + i]["main_text"] for i in range(18))
+
+
+def test_deep_nesting_is_dissolved_and_stays_nested():
+    """Beyond the deepest level end tags still meet their own start tags."""
+    html = "<div>" * 198 + "<section><div>in</div>tail</section>" + "</div>" * 197 + "<p>top</p></div><p>out</p>"
+    root = sitetree.parse(html)
+    assert sitetree.extract(root, frozenset())[0] == "in\ntail\ntop\nout"
+    assert [c.tag for c in root.children] == ["div", "p"] and [c.tag for c in root.children[0].children] == ["div", "p"]
+    text, depth = sitetree.extract(sitetree.parse("<div>a" * 5000 + "</div>b" * 5000), frozenset())[0], max(d for *_, d, _ in sitetree.walk(sitetree.parse("<div>" * 5000 + "x")))
+    assert text.split("\n") == ["a"] * 5000 + ["b"] * 5000 and depth == sitetree.DEEPEST + 1
+
+
+@pytest.mark.parametrize("html", ["<a" * 500_000, "<a " + '="x" ' * 200_000, "<div>" * 200_000 + "</p>" * 200_000, "<!--" * 250_000, "<script>" + "</script" * 100_000, "<p class='" * 100_000, "<" * 1_000_000, "&amp" * 250_000])
+def test_hostile_pages_take_linear_time(html):
+    start = time.perf_counter()
+    sitetree.extract(sitetree.parse(html), frozenset())
+    assert time.perf_counter() - start < 4
+
+
+def test_many_branches_are_joined_and_not_sent(spark):
+    df = spark.createDataFrame([*ROWS, (900, "https://big.example/null", None), (901, None, "<p>x")], DDL)
+    key = lambda rows: sorted((r["page_id"], r["main_text"] or "", r["branches_cut"] or 0) for r in rows)
+    assert key(sitetree.main_text(df).collect()) == key(sitetree.main_text(df, most_sent=0).collect())
+
+
+def test_a_hot_host(spark):
+    """One host of 200,000 different pages: its tree is summed up by level, and never gathered."""
+    body = F.concat(F.lit("<nav>Home About</nav><div><p>"), F.col("id").cast("string"), F.lit(" story</p></div>"), F.when(F.col("id") % 3 == 0, F.lit("<aside>More</aside>")).otherwise(F.lit("")), F.lit("<footer>Us</footer>"))
+    df = spark.range(200_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://hot.example/"), F.col("id").cast("string")).alias("url"), body.alias("html"))
+    got = sitetree.main_text(df).agg(F.count("*"), F.count_if(F.col("main_text") == F.concat(F.col("page_id").cast("string"), F.lit(" story")))).first()
+    assert tuple(got) == (200_000, 200_000)
