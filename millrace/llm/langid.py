@@ -13,6 +13,7 @@ those of the language itself and those of the other languages, wider for short t
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, code_points, segment_sums, slices
+from .common import bounded_rows, code_points, released, segment_sums, slices
 
 ORDER = 4
 #: Labelled texts of each language that are fitted on, at most about this many.
@@ -30,17 +31,22 @@ TRAIN_PER_LANGUAGE = 400
 FALSE_REJECTION = 0.001
 SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ANY = 0xFFFF
 
 
 def _letters() -> np.ndarray:
-    """Code point to symbol: lower case for letters, a space for the rest."""
-    out = np.full(0x10000, 32, np.uint16)
-    for c in range(0xFFFF):
+    """Code point to symbol of 16 bits: lower case for letters and marks of all planes, a space for the rest.
+
+    Unicode has more letters than 16 bits can number, but few that a language is told by: those of the basic plane
+    stand for themselves. Those above it are folded into the surrogates' range, which no text holds, by a hash of their
+    code point, so that the letters of one script stay apart but for chance.
+    """
+    out = np.full(0x110000, 32, np.uint16)
+    for c in (*range(0x40000), *range(0xE0000, 0xE0200)):  # Unicode has no letters and marks elsewhere
         s = chr(c)
-        if s.isalpha():
+        if s.isalpha() or unicodedata.category(s)[0] == "M":
             low = s.lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < 0xFFFF else c
+            c = ord(low) if len(low) == 1 else c
+            out[ord(s)] = c if c < 0x10000 else 0xD800 + (c * 0x9E3779B1 >> 7) % 0x800
     return out
 
 
@@ -52,8 +58,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not _LETTERS:
         _LETTERS.append(_letters())
     cp, ends = code_points([" " + t for t in texts])
-    sym = _LETTERS[0][np.minimum(cp, _ANY)]
-    sym[cp > _ANY] = _ANY
+    sym = _LETTERS[0][cp]
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != 32) | (sym[:-1] != 32)
     starts = np.concatenate(([0], ends[:-1]))
@@ -226,18 +231,9 @@ def language(models: LanguageModels):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names: list[str | None] = []
-            bits, ok = [], []
             for a, b in slices(texts, SLICE_BYTES):
-                n, h, k = models_of().decide([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                names += n
-                bits.append(h)
-                ok.append(k)
-            h = np.concatenate(bits) if bits else np.zeros(0)
-            yield pa.StructArray.from_arrays(
-                [pa.array(names, pa.string()), pa.array(h, mask=np.isnan(h)), pa.array(np.concatenate(ok) if ok else np.zeros(0, bool))],
-                ["predicted_lang", "cross_entropy", "accepted"],
-            )
+                names, bits, ok = models_of().decide([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(bits, mask=np.isnan(bits)), pa.array(ok)], ["predicted_lang", "cross_entropy", "accepted"])
 
     def models_of() -> LanguageModels:
         return sent.value if sent is not None else models
@@ -248,21 +244,16 @@ def language(models: LanguageModels):
 
         if sent is None:
             sent = SparkContext._active_spark_context.broadcast(models)
-        return F.arrow_udf(_typed(run), RESULT)(text)
+        return F.arrow_udf(released(run), RESULT)(text)
 
     return column
 
 
-def _typed(run):
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return run
-
-
 def identify(docs: DataFrame, models: LanguageModels | None = None) -> DataFrame:
     """(doc_id, lang, predicted_lang, cross_entropy, accepted) for every row of docs.
 
     Null, empty and letterless texts have no language: predicted_lang and cross_entropy are null
-    and accepted is false. The same text always gets the same answer, so repeated rows agree; a tie
+    and accepted is false. Letters are those of all planes, with the marks that go with them. The same text always gets the same answer, so repeated rows agree; a tie
     between languages goes to the first name. Without labelled rows every text is rejected. Other
     columns of docs are ignored, whatever their names; an empty table gives an empty result.
     """

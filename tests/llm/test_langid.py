@@ -127,3 +127,23 @@ def test_rows_without_ids_are_sampled_one_by_one(spark):
     sample = langid.bounded_rows(frame(spark, rows).withColumnsRenamed({"doc_id": "k", "text": "t", "lang": "l"}), ("k", "t"), "l", 50).groupBy("l").count().collect()
     assert {r["l"] for r in sample} == {"aa", "bb"} and all(30 <= r["count"] <= 100 for r in sample)
     assert set(langid.fit(frame(spark, rows), per_language=50).names) == {"aa", "bb"}
+
+
+def test_marks_and_astral_letters_are_letters(spark):
+    """Hindi and Thai with their vowel signs, and two scripts beyond the basic plane."""
+    assert langid.symbols(["हिन्दी भाषा, ไทยที่"])[0].tolist() == [32, *map(ord, "हिन्दी"), 32, *map(ord, "भाषा"), 32, *map(ord, "ไทยที่")]
+    gothic, deseret = "𐌰𐌱𐌲", "𐐀𐐨𐐩"
+    a, b = langid.symbols([gothic])[0], langid.symbols([deseret])[0]
+    assert len(set(a[1:].tolist())) == 3 and all(0xD800 <= c < 0xE000 for c in a[1:].tolist())
+    assert b[1] == b[2] and b[2] != b[3]  # lower case
+    r = random.Random(1)
+    words = {
+        "hi": ["हिन्दी", "भाषा", "में", "लिखा", "हुआ", "पाठ", "यह", "एक", "कि", "नहीं"],
+        "mr": ["मराठी", "भाषेत", "लिहिलेला", "मजकूर", "हा", "एक", "आहे", "नाही", "आणि", "होते"],
+        "th": ["ภาษาไทย", "ที่", "เขียน", "ไว้", "เป็น", "ข้อความ", "หนึ่ง", "และ", "ไม่", "ได้"],
+        "got": ["𐌰𐌱𐌲", "𐌳𐌴", "𐌵𐌶𐌰"],
+        "en-dsrt": ["𐐨𐐩", "𐐪𐐫𐐬", "𐐭𐐮"],
+    }
+    rows = [(i, " ".join(r.choices(words[k], k=30)), k) for i, k in enumerate(k for k in words for _ in range(30))]
+    got = langid.identify(frame(spark, rows)).collect()
+    assert all(g["predicted_lang"] == g["lang"] and g["accepted"] for g in got)
