@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, segment_sums, slices
+from .common import bounded_rows, released, segment_sums, slices
 
 DIM, NONZERO, WINDOW, HIDDEN = 32, 8, 2, 24
 #: Labelled documents of each class that are fitted on, at most about this many.
@@ -34,22 +34,26 @@ SHRINK = 10
 KEEP_FROM = 0.3
 SLICE_BYTES = 1 << 20
 GATHERED = 50_000
-_CACHE = 100_000
+MANY_RUNS = 12
+_CACHE, _REMEMBERED_LENGTH = 100_000, 64
 
 
 def shape(word: str) -> str:
-    """Runs of capitals as U, of small letters as l, of digits as 0, of another character as itself."""
+    """Runs of capitals as U, of small letters as l, of digits as 0, of another character as itself.
+
+    A word of more than MANY_RUNS runs goes by the binary length of their number.
+    """
     if word.isalpha():
         if word.islower():
             return "l"
         if word[1:].islower() and word[0].isupper():
             return "Ul"
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "U" if c.isupper() else "l" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:12])
+    return "".join(out) if len(out) <= MANY_RUNS else f"~{len(out).bit_length()}"
 
 
 def _index_vector(name: str) -> np.ndarray:
@@ -68,7 +72,7 @@ class _Ids(dict):
 
     def __missing__(self, word: str) -> int:
         found = self.shapes.get(shape(word), 0)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= _REMEMBERED_LENGTH:
             self[word] = found
         return found
 
@@ -171,8 +175,8 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> QualityModel | None:
     """A model from a bounded sample of labelled documents, whole texts; None when a class has none.
 
-    A doc_id with contradicting labels is left out. The sample's ids, bounded by the parameter, are
-    broadcast to one pass over the texts.
+    A doc_id with contradicting labels is left out; of several texts under one doc_id the one of the smallest hash
+    is fitted on. The sample's ids, bounded by the parameter, are broadcast to one pass over the texts.
     """
     own = labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     own = own.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y")
@@ -180,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     if some["y"].nunique() < 2:
         return None
     spark = docs.sparkSession
-    picked = F.broadcast(spark.createDataFrame(some.astype({"k": "int64", "y": "int64"})))
-    rows = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).where("t is not null").join(picked, "k").toPandas()
-    rows = rows.drop_duplicates().sort_values(["k", "t"])
+    picked = F.broadcast(spark.createDataFrame(list(some.itertuples(index=False, name=None)), own.schema))
+    rows = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).where("t is not null").join(picked, "k")
+    # one text of an id, whatever their number: what reaches the driver stays bounded
+    rows = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("o"), F.first("y").alias("y")).select("k", "y", "o.t").toPandas().sort_values("k")
     if rows["y"].nunique() < 2:
         return None
     return QualityModel(rows["t"].tolist(), rows["y"].to_numpy() == 1)
@@ -196,15 +201,12 @@ def good_probability(spark, model: QualityModel | None):
         model = sent.value
         ids = _Ids(model.words, model.shapes) if model else None
         for texts in batches:
-            out = [np.zeros(0)]
             for a, b in slices(texts, SLICE_BYTES):
                 some = [t or "" for t in texts.slice(a, b - a).to_pylist()]
-                out.append(model.probabilities(some, ids) if model else np.ones(len(some)))
-            yield pa.array(np.concatenate(out))
+                yield pa.array(model.probabilities(some, ids) if model else np.ones(len(some)))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     blank = lambda text: text.isNull() | ~text.rlike("\\S")
-    made = F.arrow_udf(run, "double")
+    made = F.arrow_udf(released(run), "double")
     return lambda text: F.when(blank(text), F.lit(0.0)).otherwise(made(text))
 
 
@@ -213,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLAS
 
     Null texts and texts without a word have probability 0. Equal texts get equal results, so
     repeated rows agree; a probability equal to keep_from is accepted. Rows without doc_id are
-    scored, but never fitted on. Without labels of both classes nothing can be told apart and every
+    scored, but never fitted on; ids may be of any type. Words are read whole, however long. Without labels of both classes nothing can be told apart and every
     text with words has probability 1. Other columns of docs are ignored, whatever their names; an
     empty table gives an empty result.
     """

@@ -55,6 +55,65 @@ def test_index_vectors_are_sparse_and_fixed():
 def test_shapes():
     assert [quality.shape(w) for w in ("tree", "Tree", "TREE!!", "a%%%", "3.14", "MacOS", "|")] == ["l", "Ul", "U!", "l%", "0.0", "UlU", "|"]
 
+    # whole words, however long: nothing is cut off, and many runs go by their number
+    assert quality.shape("a" * 64 + "1") == "l0" and quality.shape("a" * 10**6 + "%%") == "l%"
+    assert quality.shape("a1" * 6) == "l0" * 6 and quality.shape("a1" * 8) == "~5" != quality.shape("a1" * 1000) == "~11"
+
+
+def test_long_words_are_not_remembered(rows):
+    model = quality.QualityModel([r[1] for r in rows[:100]], np.array([bool(r[0] % 2) for r in rows[:100]]))
+    ids = quality._Ids(model.words, model.shapes)
+    before = len(ids)
+    assert ids["x" * 65] == model.shapes["l"] and len(ids) == before and ids["xyz0"] == model.shapes.get("l0", 0) and len(ids) == before + 1
+
+
+def test_string_ids_and_repeated_ids(spark, rows):
+    """One id holds a third of the rows: a single text of it is fitted on."""
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [*rows, *[(1, good(5000 + i)) for i in range(200)]])
+    lab = labels(spark, rows)
+    assert len(quality.classify(docs, lab).collect()) == 600
+    text = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = quality.classify(text, lab.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()
+    assert np.mean([r["accepted"] == bool(int(r["doc_id"][1:]) % 2) for r in got]) > 0.98
+
+
+def brute_probability(model, text):
+    """The whole model by plain loops: words' vectors, pooling, shrinking, both layers, temperature."""
+    import math
+
+    words = text.split()
+    vector = lambda w: [float(v) for v in model.table[model.words.get(w, model.shapes.get(quality.shape(w), 0))]]
+    pooled = [sum(c) / len(words) for c in zip(*map(vector, words))] + [sum(a == b for a, b in zip(words, words[1:])) / len(words)]
+    shrink = len(words) / (len(words) + quality.SHRINK)
+    x = [(p - c) / s * shrink for p, c, s in zip(pooled, model.centre, model.scale)]
+    w1, b1, w2, b2 = model.layers
+    hidden = [math.tanh(sum(v * w1[i, j] for i, v in enumerate(x)) + b1[j]) for j in range(quality.HIDDEN)]
+    z = (sum(h * w for h, w in zip(hidden, w2)) + float(b2[0])) / model.temperature
+    return 1 / (1 + math.exp(-z))
+
+
+def test_the_whole_result_is_that_of_plain_loops(spark, rows):
+    docs, lab = frame(spark, rows), labels(spark, rows)
+    model = quality.fit(docs, lab)
+    got = {r["doc_id"]: r for r in quality.classify(docs, lab).collect()}
+    for i, t, *_ in rows:
+        p = brute_probability(model, t)
+        assert got[i]["good_probability"] == pytest.approx(p, rel=1e-4, abs=1e-6) and (got[i]["accepted"] == (p >= quality.KEEP_FROM) or abs(p - quality.KEEP_FROM) < 1e-6)
+
+
+def test_temperature_is_the_one_of_least_loss_on_held_out_texts(rows):
+    import math
+
+    texts, y = [r[1] for r in rows[:200]], np.array([bool(r[0] % 2) for r in rows[:200]])
+    y[::7] = ~y[::7]  # else every temperature would do
+    model = quality.QualityModel(texts, y)
+    logit = lambda t: (lambda p: math.log(p / (1 - p)) * model.temperature)(brute_probability(model, t))
+    held = [(logit(t), k) for i, (t, k) in enumerate(zip(texts, y)) if i % 5 == 0]
+    loss = lambda at: sum(math.log(1 + math.exp(-z / at if k else z / at)) for z, k in held)
+    assert loss(model.temperature) <= min(loss(model.temperature * f) for f in (0.9, 1.1)) + 1e-6
+
 
 def labels(spark, rows, extra=()):
     return spark.createDataFrame([(r[0], r[0] % 2, 0) for r in rows] + list(extra), "doc_id bigint, quality int, toxic int")
