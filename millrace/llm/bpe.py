@@ -23,12 +23,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, q, slices
+from .common import fresh, q, released, slices
 
 #: Ranks in the form "base64 token, rank" by line; the path is a parameter, the file is read where tasks run.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_BYTES = 1 << 18
+#: Bytes of text whose new words share an index, about; more of a batch comes after it.
+ENCODED_AT_ONCE = 1 << 22
 #: Words remembered in a partition; beyond it the memory starts anew, which changes no result.
 REMEMBERED = 250_000
 MERGED_AT_ONCE = 200_000
@@ -230,21 +232,22 @@ def _encoding(path: str, pattern: str, check: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         encoder = Encoder(v, pattern)
-        for texts in batches:
-            ids, n = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()] for a, b in slices(texts, SLICE_BYTES))
-            at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids), mask=texts.is_null())
-            if not check:
-                yield lists
-                continue
-            same = np.zeros(len(texts), bool)
-            for a, b in slices(texts, SLICE_BYTES):
-                own = [(t or "").encode("utf-8") for t in texts.slice(a, b - a).to_pylist()]
-                same[a:b] = [x == y for x, y in zip(own, decode(ids[at[a] : at[b]], n[a:b], v))]
-            yield pa.StructArray.from_arrays([lists, pa.array(same, mask=texts.is_null().to_numpy(zero_copy_only=False))], ["ids", "same"])
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<ids array<int>, same boolean>" if check else "array<int>")
+        for batch in batches:
+            for x, y in slices(batch, ENCODED_AT_ONCE):
+                texts = batch.slice(x, y - x)
+                ids, n = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()] for a, b in slices(texts, SLICE_BYTES))
+                at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids), mask=texts.is_null())
+                if not check:
+                    yield lists
+                    continue
+                same = np.zeros(len(texts), bool)
+                for a, b in slices(texts, SLICE_BYTES):
+                    own = [(t or "").encode("utf-8") for t in texts.slice(a, b - a).to_pylist()]
+                    same[a:b] = [u == w for u, w in zip(own, decode(ids[at[a] : at[b]], n[a:b], v))]
+                yield pa.StructArray.from_arrays([lists, pa.array(same, mask=texts.is_null().to_numpy(zero_copy_only=False))], ["ids", "same"])
+
+    return F.arrow_udf(released(run), "struct<ids array<int>, same boolean>" if check else "array<int>")
 
 
 def encoded(text: Column, path: str = VOCABULARY, pattern: str = PATTERN) -> Column:
