@@ -7,28 +7,38 @@ values are banded by four; texts that share a band are candidates.
 
 Texts of equal signatures are one node, so that copies by the thousand cost one row each. A band's
 nodes are first compared with the band's smallest node only (a star). The connected components of
-the similar ones are taken, and then every pair of a band that still lies in different components
-is compared. Pairs inside a component need no comparison, so the groups are those of comparing
-all pairs of every band, whatever the sizes of the bands, without any cap.
+the similar ones are taken, and then the pairs of a band that still lie in different components
+are compared; pairs inside a component need no comparison. Where a band has up to PAIRS_UP_TO nodes, these
+pairs are made one by one. The nodes of larger bands are grouped by their rarest values instead: two signatures
+that agree in ``need`` of 128 values share one of the 129 - need rarest of either, whatever the order of
+rarity. What is still a large group then is compared by tiles, blocks of nodes against blocks of nodes.
+So the groups are those of comparing all pairs of every band, no band is ever held in a row or a task, and
+nothing is capped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, q, slices, written
+from .common import Scratch, fresh, q, released, slices, written
 
 SHINGLE, PERMUTATIONS, ROWS = 3, 64, 4
 VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
 #: Least share of equal signature values of a pair.
 SIMILAR = 0.48
+#: Nodes of a band whose pairs are made one by one.
+PAIRS_UP_TO = 64
+#: Nodes in a block of a tile, about.
+TILE = 4096
 SLICE_BYTES = 1 << 18
 _CACHE = 150_000
 
@@ -103,41 +113,55 @@ def _node(sig: np.ndarray) -> np.ndarray:
 
 
 def _signature_column(text):
-    """text -> struct(node, values as 16 bits each); null for texts without words."""
+    """text -> struct(node, the values of its signature); null for texts without words."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Hashes()
         for texts in batches:
-            nodes, kept, ok = [np.zeros(0, np.int64)], [], [np.zeros(0, bool)]
             for a, b in slices(texts, SLICE_BYTES):
                 sig, some = signatures([t or "" for t in texts.slice(a, b - a).to_pylist()], known)
-                sig = sig.astype(np.uint16)  # two values agree by chance once in 65536 times
-                nodes.append(_node(sig))
-                kept += map(np.ndarray.tobytes, sig)
-                ok.append(some)
-            no = ~np.concatenate(ok)
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(nodes), mask=no), pa.array(kept, pa.binary(), mask=no)], ["node", "sig"])
+                yield pa.StructArray.from_arrays([pa.array(_node(sig), mask=~some), pa.array([v.tobytes() for v in sig], pa.binary(), mask=~some)], ["node", "sig"])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<node bigint, sig binary>")(text)
+    return F.arrow_udf(released(run), "struct<node bigint, sig binary>")(text)
+
+
+def _values(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(-1, VALUES)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(rows.ravel()))
 
 
 def _bands_column(sig):
+    """A hash for each band of a signature."""
+
     def run(sigs: pa.Array) -> pa.Array:
-        flat = np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, VALUES)
-        return pa.ListArray.from_arrays(np.arange(0, (len(sigs) + 1) * BANDS, BANDS, dtype=np.int32), pa.array(_band_hashes(flat).ravel()))
+        return _lists(_band_hashes(_values(sigs)))
 
     run.__annotations__ = {"sigs": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<bigint>")(sig)
 
 
-def _agreement(a, b):
-    """Share of equal values of two signatures."""
+def _placed_values(sig):
+    """The values of a signature, each with its place in it."""
 
+    def run(sigs: pa.Array) -> pa.Array:
+        return _lists(_values(sigs).astype(np.int64) | np.arange(VALUES, dtype=np.int64)[None, :] << 32)
+
+    run.__annotations__ = {"sigs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<bigint>")(sig)
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal values of signatures, 0 where no band of theirs is equal throughout."""
+    same = x == y
+    return np.where(same.reshape(*same.shape[:-1], BANDS, ROWS).all(-1).any(-1), same.mean(-1), 0.0)
+
+
+def _agreement_column(a, b):
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        u = np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, VALUES)
-        v = np.frombuffer(b"".join(y.to_pylist()), np.uint16).reshape(-1, VALUES)
-        return pa.array((u == v).mean(1))
+        return pa.array(_agreement(_values(x), _values(y)))
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "double")(a, b)
@@ -146,66 +170,106 @@ def _agreement(a, b):
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for edges (a, b).
 
-    Large-star and small-star steps until the edges are stars; every step is written, so that a lost
-    executor costs one step at most.
+    Large-star and small-star steps until the edges are stars. Neighbours are never collected: each step is a
+    grouped minimum joined back, so that a hub is split like any skewed key. Every step is written, so
+    that a lost executor costs one step at most.
     """
     now = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         sums = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(sums) == before:
+        if tuple(sums) == before or not sums[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         before = tuple(sums)
         # large-star: every larger neighbour is tied to the smallest of the node and its neighbours
-        both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        low = low.select("u", F.least("u", "m").alias("m"), F.explode("vs").alias("v"))
-        large = low.where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a")).groupBy("u").agg(F.min("v").alias("m"))
+        large = now.join(low, now["b"] == low["u"]).select("a", F.least("b", "m").alias("b")).distinct()
         # small-star: every smaller neighbour, and the node itself, is tied to the smallest of them
-        some = large.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs"))
-        some = some.select("m", F.explode(F.array_union("bs", F.array("a"))).alias("v"))
-        now = scratch.written(some.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = scratch.written(tied.union(least).distinct(), "edges")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree, with their similarity."""
+    """The pairs (a, b) that share a band and whose signatures agree."""
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    return both.select("a", "b", _agreement(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    return both.where(_agreement_column(F.col("x"), F.col("y")) >= least).select("a", "b")
 
 
-def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def _across(member: DataFrame, key: str) -> DataFrame:
+    """The pairs (a, b) of rows (key, node, root) of equal keys and different roots."""
+    one, other = member.select(key, F.col("node").alias("a"), F.col("root").alias("ra")), member.select(key, F.col("node").alias("b"), F.col("root").alias("rb"))
+    return one.join(other, key).where("a > b and ra <> rb").select("a", "b")
+
+
+def _rare_groups(hot: DataFrame, nodes: DataFrame, least: float, scratch: Scratch, pairs_up_to: int) -> DataFrame:
+    """(token, node, root, many): hot nodes (node, root) by the rarest values of their signatures; of ``many`` nodes each.
+
+    A value's rarity is the number of hot nodes that have it, those of up to pairs_up_to in the order of a hash.
+    """
+    need = max(1, math.ceil(least * VALUES - 1e-9))
+    rows = scratch.written(hot.distinct().join(nodes, "node").select("node", "root", F.explode(_placed_values(F.col("sig"))).alias("token")), "values")
+    often = scratch.written(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > pairs_up_to), "often")
+    ranked = rows.join(often, "token", "left").groupBy("node", "root").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("token").alias("h"), "token"))).alias("all"))
+    rare = scratch.written(ranked.select("node", "root", F.explode(F.slice("all", 1, VALUES + 1 - need)).alias("t")).select(F.col("t.token").alias("token"), "node", "root"), "rare")
+    size = rare.groupBy("token").agg(F.count("*").alias("many"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return scratch.written(rare.join(size.select("token", "many"), "token"), "tokens")
+
+
+def _by_tiles(member: DataFrame, nodes: DataFrame, least: float, tile: int) -> DataFrame:
+    """The similar pairs (a, b) of groups (token, node, root, many) by blocks of about ``tile`` nodes against each other."""
+    rows = member.join(nodes, "node").withColumn("blocks", F.ceil(F.col("many") / tile).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = rows.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "node", "root", "sig")
+    right = rows.select(F.col("token").alias("t"), F.explode(F.sequence(F.lit(0), "own")).alias("k"), F.col("own").alias("l"), "node", "root", "sig").toDF("t", "k", "l", "right", "side", "mark")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
+        if len(a) and len(b):
+            x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(-1, VALUES) for c in (a["sig"], b["mark"]))
+            na, ra, nb, rb = a["node"].to_numpy(), a["root"].to_numpy(), b["right"].to_numpy(), b["side"].to_numpy()
+            step = max(1, (1 << 16) // len(y))
+            for k in range(0, len(x), step):
+                close = (_agreement(x[k : k + step, None], y[None]) >= least) & (ra[k : k + step, None] != rb[None])
+                i, j = np.nonzero(close)
+                found.append(pd.DataFrame({"a": np.maximum(na[k + i], nb[j]), "b": np.minimum(na[k + i], nb[j])}))
+        return pd.concat(found)
+
+    return left.groupBy("token", "i", "j").cogroup(right.groupBy("t", "k", "l")).applyInPandas(compare, "a bigint, b bigint")
+
+
+def groups(docs: DataFrame, similar: float = SIMILAR, pairs_up_to: int = PAIRS_UP_TO, tile: int = TILE) -> DataFrame:
     """(doc_id, h, node, root) of every row of docs that has words; h is a hash of the text, equal roots are a group."""
     scratch = Scratch()
     key = docs.select("doc_id", F.xxhash64("text").alias("h"), _signature_column(F.col("text")).alias("s"))
     rows = scratch.written(key.select("doc_id", "h", "s.node", "s.sig"), "signatures").where("node is not null")
-    bands = rows.select("node", F.explode(_bands_column(F.col("sig"))).alias("band"))
-    full = bands.groupBy("band").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    full = scratch.written(full.select("band", F.array_min("nodes").alias("low"), "nodes"), "bands")
-    stars = full.select(F.col("low").alias("b"), F.explode("nodes").alias("a")).where("a <> b").select("a", "b").distinct()
-    stars = scratch.written(stars, "stars")
+    nodes = scratch.written(rows.select("node", "sig").dropDuplicates(["node"]), "nodes")
+    bands = nodes.select("node", F.explode(_bands_column(F.col("sig"))).alias("band"))
+    full = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    member = scratch.written(bands.join(full.select("band", "low").hint("merge"), "band"), "members")
     # signatures of the nodes that share a band with another: the rest never moves again
-    paired = full.select(F.explode("nodes").alias("node")).distinct()
-    some = scratch.written(rows.select("node", "sig").join(paired.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "paired")
-    first = scratch.written(_similar(stars, some, similar), "alike")
+    some = scratch.written(nodes.join(member.select("node").distinct().hint("merge"), "node", "left_semi"), "paired")
+    first = scratch.written(_similar(member.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), some, similar), "alike")
     root = scratch.written(components(first, scratch), "roots")
-    # pairs of a band that still lie in different components
-    member = full.select("band", F.explode("nodes").alias("node"))
-    member = member.join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = member.groupBy("band").agg(F.collect_list(F.struct("root", "node")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    mixed = mixed.select("band", "m", F.explode("m").alias("one"))
-    apart = mixed.select(F.col("one.node").alias("b"), F.explode(F.filter("m", lambda o: (o["root"] > F.col("one.root")))).alias("o"))
-    apart = scratch.written(apart.select(F.greatest("b", "o.node").alias("a"), F.least("b", "o.node").alias("b")).distinct(), "apart")
-    apart = apart.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    # compared with the star already and found different: not compared again
-    apart = apart.join(stars, ["a", "b"], "left_anti")
-    second = scratch.written(_similar(apart, some, similar), "alike")
+    # what still lies in different components of a band; its smallest node has been compared with all
+    named = member.where("node <> low").join(root, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    size = named.groupBy("band").agg(F.count("*").alias("many"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    mixed = scratch.written(named.join(size.select("band", "many"), "band"), "mixed")
+    pairs = _across(mixed.where(F.col("many") <= pairs_up_to), "band")
+    hot, tiled = mixed.where(F.col("many") > pairs_up_to).select("node", "root"), None
+    if not hot.isEmpty():
+        token = _rare_groups(hot, some, similar, scratch, pairs_up_to)
+        pairs = pairs.union(_across(token.where(F.col("many") <= pairs_up_to), "token"))
+        tiled = _by_tiles(token.where(F.col("many") > pairs_up_to), some, similar, tile)
+    second = _similar(pairs.distinct(), some, similar)
+    second = scratch.written(second if tiled is None else second.union(tiled), "alike")
     named = second.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
     upper = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch)
-    top = scratch.written(upper, "roots").toDF("root", "top")
+    top = upper.toDF("root", "top")
     known = root.select("node", "root").union(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root")))
     final = known.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     rows = rows.select("doc_id", "h", "node")
-    member = rows.join(scratch.written(final, "groups"), "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
+    member = rows.join(final, "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
     member = written(member, "members")
     scratch.clear()
     return member

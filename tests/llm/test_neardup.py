@@ -127,8 +127,24 @@ def test_a_band_whose_smallest_node_differs_is_compared_in_full(spark, monkeypat
     """Every text in one band: the star sees one node only, the rest must come from the pairs across components."""
     rows = [(i, " ".join(prose(i // 4, 80) if i % 4 == 0 else edited(prose(i // 4, 80), 0.05, i))) for i in range(40)]
     monkeypatch.setattr(neardup, "_bands_column", lambda sig: F.array(F.lit(1).cast("bigint")))
-    got = {(r["doc_a"], r["doc_b"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
-    assert got == {(i, i - i % 4) for i in range(40) if i % 4}
+    want = {(i, i - i % 4) for i in range(40) if i % 4}
+    docs = frame(spark, rows)
+    assert {(r["doc_a"], r["doc_b"]) for r in neardup.near_duplicates(docs).collect()} == want
+    # the same by rare values, and by tiles, whose groups and blocks are as small as can be
+    for most in ({"pairs_up_to": 3}, {"pairs_up_to": 1, "tile": 2}, {"pairs_up_to": 0, "tile": 1}):
+        by_root = {}
+        for r in neardup.groups(docs, **most).collect():
+            by_root.setdefault(r["root"], set()).add(r["doc_id"])
+        assert {(i, min(g)) for g in by_root.values() for i in g if i != min(g)} == want
+
+
+def test_a_band_of_fifty_thousand_nodes(spark, monkeypatch):
+    """One band that all texts share: without a similar pair but two planted ones, and never in one row or task."""
+    words = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**7)).cast("string")) for k in range(12)]).alias("text"))
+    twin = words.where("doc_id in (7, 40000)").select(F.col("doc_id") + 100_000, F.concat("text", F.lit(" end")))
+    monkeypatch.setattr(neardup, "_bands_column", lambda sig: F.array(F.lit(1).cast("bigint")))
+    got = {(r["doc_a"], r["doc_b"]) for r in neardup.near_duplicates(words.union(twin)).collect()}
+    assert got == {(100_007, 7), (140_000, 40_000)}
 
 
 def test_tables_on_the_way_are_removed(spark):
