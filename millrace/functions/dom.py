@@ -8,6 +8,7 @@ ends of p, li, dt, dd, option and table parts; formatting elements left open are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,11 +22,12 @@ CLOSES_P = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("applet caption html table td th marquee object template".split())
+# every repetition is possessive: what a tag has taken is never given back, so that a tag without an end fails in one pass
 _TOKEN = re.compile(
-    r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))|<!(?P<doctype>[^>]*)(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*?)(?P<self>/?)>"
-    r"|(?P<text>[^<]+|<)",
+    r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))|<!(?P<doctype>[^>]*+)(?:>|\Z)|<\?[^>]*+(?:>|\Z)"
+    r"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|</[^>]*+(?:>|\Z)"
+    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>"
+    r"|(?P<text>[^<]++|<(?![a-zA-Z]))",
     re.S,
 )
 _ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -38,11 +40,8 @@ class Element:
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
 
     def add(self, child: Element | str | Comment) -> None:
-        if isinstance(child, str):
-            if self.children and type(self.children[-1]) is str:
-                self.children[-1] += child
-                return
-        else:
+        """Texts that follow one another stay apart: joining them one by one would copy them over and over."""
+        if not isinstance(child, str):
             child.parent = self
         self.children.append(child)
 
@@ -79,11 +78,46 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+class _Stack(list):
+    """Open elements, with what is asked of them again and again at hand: how many of a tag, and whether one is open."""
+
+    def __init__(self, elements: list[Element]):
+        super().__init__()
+        self.count: Counter[str] = Counter()
+        self.ids: set[int] = set()
+        for e in elements:
+            self.append(e)
+
+    def append(self, e: Element) -> None:
+        super().append(e)
+        self.count[e.tag] += 1
+        self.ids.add(id(e))
+
+    def pop(self) -> Element:  # type: ignore[override]
+        e = super().pop()
+        self.count[e.tag] -= 1
+        self.ids.discard(id(e))
+        return e
+
+    def cut(self, k: int) -> None:
+        while len(self) > k:
+            self.pop()
+
+    def take_out(self, k: int) -> None:
+        e = self[k]
+        super().__delitem__(k)
+        self.count[e.tag] -= 1
+        self.ids.discard(id(e))
+
+    def __contains__(self, e: object) -> bool:
+        return id(e) in self.ids
+
+
 class _Builder:
     def __init__(self, fragment: bool):
         self.root = Element("#document")
         self.fragment = fragment
-        self.stack = [self.root]
+        self.stack = _Stack([self.root])
         self.active: list[Element] = []
         self.head: Element | None = None
         self.body: Element | None = None
@@ -97,21 +131,21 @@ class _Builder:
     def _html(self) -> None:
         if not self.fragment and self.html.parent is None:
             self.root.add(self.html)
-            self.stack = [self.root, self.html]
+            self.stack = _Stack([self.root, self.html])
 
     def _in_head(self) -> None:
         self._html()
         if self.head is None:
             self.head = Element("head")
             self.html.add(self.head)
-            self.stack = [self.root, self.html, self.head]
+            self.stack = _Stack([self.root, self.html, self.head])
 
     def _in_body(self) -> None:
         if self.body is None:
             self._in_head()
             self.body = Element("body")
             self.html.add(self.body)
-            self.stack = [self.root, self.html, self.body]
+            self.stack = _Stack([self.root, self.html, self.body])
 
     def open(self, tag: str, attrs: dict[str, str]) -> Element:
         e = Element(tag, attrs)
@@ -121,6 +155,8 @@ class _Builder:
 
     def find(self, tags, stop=_SCOPE) -> int:
         """Place of the nearest open element of the tags, not looking beyond a scope; -1 if none."""
+        if not any(self.stack.count[t] for t in tags):
+            return -1
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
                 return k
@@ -129,7 +165,7 @@ class _Builder:
         return -1
 
     def pop_to(self, k: int) -> None:
-        del self.stack[k:]
+        self.stack.cut(k)
 
     def close_p(self) -> None:
         if (k := self.find({"p"}, _SCOPE | {"button"})) > 0:
@@ -213,6 +249,10 @@ class _Builder:
             self.end("a")
         if tag in FORMATTING:
             self.take_up()
+            # of equal elements that are open for formatting three are taken up again at most
+            equal = [i for i, e in enumerate(self.active) if e.tag == tag and e.attrs == attrs]
+            if len(equal) >= 3:
+                del self.active[equal[0]]
             self.active.append(self.open(tag, attrs))
             return
         if tag not in CLOSES_P and tag not in ("tr", "tbody", "thead", "tfoot", "td", "th"):
@@ -285,7 +325,7 @@ class _Builder:
         own.children.remove(block)
         above = self.stack[k - 1]
         above.add(block)
-        del self.stack[k]
+        self.stack.take_out(k)
 
 
 def parse(source: str, fragment: bool = False) -> Element:
@@ -299,8 +339,11 @@ def parse(source: str, fragment: bool = False) -> Element:
             break  # a tag that is never closed is dropped
         at = m.end()
         if (s := m["text"]) is not None:
+            parts = [s]
             while at < n and (t := _TOKEN.match(source, at)) and t["text"] is not None:
-                s, at = s + t["text"], t.end()
+                parts.append(t["text"])
+                at = t.end()
+            s = "".join(parts)
             if eat_newline and s.startswith("\n"):
                 s = s[1:]
             if s:
@@ -309,9 +352,10 @@ def parse(source: str, fragment: bool = False) -> Element:
             tag = m["start"].lower()
             attrs = attributes(m["attrs"])
             if tag in RAW or tag in ESCAPABLE:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                inner = source[at : close.start() if close else n]
-                at = close.end() if close else n
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                last = source.find(">", close.end()) if close else -1
+                inner = source[at : close.start() if last >= 0 else n]
+                at = last + 1 if last >= 0 else n
                 if tag == "textarea" and inner.startswith("\n"):
                     inner = inner[1:]
                 b.raw(tag, attrs, unescape(inner) if tag in ESCAPABLE else inner)

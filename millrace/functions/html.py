@@ -118,8 +118,10 @@ def sanitize_html(allowed_tags: Sequence[str] | None = None, allowed_attrs: Mapp
         m = _SCHEME.match(re.sub(r"[\x00-\x20]", "", value))
         return m is None or m[1].lower() in schemes
 
-    def kept(node, out: list) -> None:
-        for c in node.children:
+    def kept(node: dom.Element, out: list) -> None:
+        todo = [(c, out) for c in reversed(node.children)]
+        while todo:
+            c, out = todo.pop()
             if isinstance(c, str):
                 out.append(c)
             elif isinstance(c, dom.Comment):
@@ -131,17 +133,14 @@ def sanitize_html(allowed_tags: Sequence[str] | None = None, allowed_attrs: Mapp
                 e = dom.Element(c.tag, {k: v for k, v in c.attrs.items() if (k in generic or k in per_tag.get(c.tag, ())) and fine(k, v)})
                 if rel and c.tag == "a":
                     e.attrs["rel"] = "noopener noreferrer"
-                kept(c, e.children)
                 out.append(e)
+                todo += [(x, e.children) for x in reversed(c.children)]
             else:
-                kept(c, out)
+                todo += [(x, out) for x in reversed(c.children)]
 
     def run(s: str) -> str:
         root = dom.Element("#document")
-        try:
-            kept(dom.parse(s, fragment=True), root.children)
-        except RecursionError:
-            raise Fault("nesting is too deep") from None
+        kept(dom.parse(s, fragment=True), root.children)
         return dom.outer_html(root)
 
     return Kernel("sanitizeHtml", STR, "string", run)

@@ -1,13 +1,18 @@
-"""Markdown to HTML: CommonMark blocks and inlines, with tables, strikethrough, autolinks, task lists, tag filter, footnotes and smart punctuation."""
+"""Markdown to HTML: CommonMark blocks and inlines, with tables, strikethrough, autolinks, task lists, tag filter, footnotes and smart punctuation.
+
+Blocks are read line by line against the stack of open blocks, inlines with a delimiter stack; neither recurses,
+so nesting may be of any depth, and no text is read twice for want of an end that it lacks.
+"""
 
 from __future__ import annotations
 
 import re
-
+import unicodedata
+from bisect import bisect_left
+from functools import lru_cache
 from html.entities import html5
 from urllib.parse import quote
 
-from ..errors import Fault
 from .kernel import STR, Kernel
 
 _BLOCK_TAGS = (
@@ -30,14 +35,13 @@ _HTML_STARTS = [
 _INLINE_HTML = re.compile(rf"{_OPEN}|{_CLOSE}|<!-->|<!--->|<!--.*?-->|<\?.*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[.*?\]\]>", re.S)
 _ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^\n]*)$")
-_BULLET = re.compile(r"( {0,3})([-+*])(?=[ \t]|$)")
-_ORDERED = re.compile(r"( {0,3})(\d{1,9})([.)])(?=[ \t]|$)")
-_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)(.*?)(?:[ \t]+#+)?[ \t]*$")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_DELIM_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_FOOT_DEF = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
+_FENCE = re.compile(r"(`{3,}|~{3,})([^\n]*)$")
+_BULLET = re.compile(r"[-+*](?=[ \t]|$)")
+_ORDERED = re.compile(r"(\d{1,9})([.)])(?=[ \t]|$)")
+_SETEXT = re.compile(r"(=+|-+)[ \t]*$")
+_DELIM_ROW = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_FOOT_DEF = re.compile(r"\[\^([^\]\s]+)\]:[ \t]*")
+_TASK = re.compile(r"\[([ xX])\][ \t]+(?=\S)")
 _FILTERED = re.compile(r"<(?=/?(?:title|textarea|style|xmp|iframe|noembed|noframes|script|plaintext)(?:[\s/>]|$))", re.I)
 
 
@@ -47,10 +51,10 @@ class Options:
 
 
 class Block:
-    __slots__ = ("kind", "children", "text", "info")
+    __slots__ = ("kind", "children", "lines", "text", "info", "start", "end")
 
-    def __init__(self, kind: str, **info):
-        self.kind, self.children, self.text, self.info = kind, [], "", info
+    def __init__(self, kind: str, line: int = 0, **info):
+        self.kind, self.children, self.lines, self.text, self.info, self.start, self.end = kind, [], [], "", info, line, line
 
 
 def esc(s: str) -> str:
@@ -74,20 +78,64 @@ def _url(s: str) -> str:
     return quote(s, safe="!#$%&'()*+,-./:;=?@_~").replace("&", "&amp;").replace("'", "&#x27;")
 
 
-def _expand(line: str) -> str:
-    """Tabs as spaces up to the next stop of four, in the indentation alone."""
-    out, i = "", 0
-    while i < len(line) and line[i] in " \t":
-        out += " " if line[i] == " " else " " * (4 - len(out) % 4)
-        i += 1
-    return out + line[i:]
+# -- blocks
 
 
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip(" "))
+class _Line:
+    """A line that is consumed by columns; pad is what is left of a tab that was consumed in part."""
 
+    __slots__ = ("s", "i", "col", "pad", "tails")
 
-# -- blocks
+    def __init__(self, s: str):
+        self.s, self.i, self.col, self.pad = s, 0, 0, 0
+        self.tails: dict[str, int] = {}
+
+    def look(self) -> tuple[int, int]:
+        """Columns of indentation, and the place of the first character behind it."""
+        s, j, n = self.s, self.i, len(self.s)
+        col = self.col + self.pad
+        while j < n:
+            if s[j] == " ":
+                col += 1
+            elif s[j] == "\t":
+                col += 4 - col % 4
+            else:
+                break
+            j += 1
+        return col - self.col, j
+
+    def skip(self, n: int) -> None:
+        """Consume up to n columns of blanks."""
+        while n > 0:
+            if self.pad:
+                t = min(self.pad, n)
+                self.pad, self.col, n = self.pad - t, self.col + t, n - t
+            elif self.s[self.i : self.i + 1] == " ":
+                self.i, self.col, n = self.i + 1, self.col + 1, n - 1
+            elif self.s[self.i : self.i + 1] == "\t":
+                self.i, self.pad = self.i + 1, 4 - self.col % 4
+            else:
+                return
+
+    def take(self, n: int) -> None:
+        """Consume n characters other than tabs."""
+        self.i, self.col = self.i + n, self.col + n
+
+    def rest(self) -> str:
+        return " " * self.pad + self.s[self.i :]
+
+    def is_rule(self, j: int) -> bool:
+        """Whether from j on the line is three marks or more, all like the first, and blanks."""
+        c = self.s[j]
+        tail = self.tails.get(c)
+        if tail is None:
+            tail = self.tails[c] = len(self.s.rstrip(c + " \t"))
+        return tail <= j and self.s.count(c, j) >= 3
+
+
+_CONTAINERS = frozenset(("document", "quote", "list", "item", "note"))
+#: Characters that a block other than a paragraph may begin with.
+_STARTS = frozenset(">#`~<=-*+_[|:0123456789")
 
 
 class Parser:
@@ -97,279 +145,299 @@ class Parser:
         self.notes: dict[str, Block] = {}
 
     def parse(self, source: str) -> Block:
-        root = Block("document")
+        self.open = [Block("document")]
+        self.number = 0
         text = source.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�")
-        self.blocks([_expand(line) for line in text.split("\n")], root, 0)
-        return root
-
-    def blocks(self, lines: list[str], parent: Block, depth: int) -> None:
-        if depth > 150:
-            raise Fault("nesting is too deep")
-        i, para = 0, None
-
-        def end() -> None:
-            nonlocal para
-            if para is not None:
-                self.paragraph(para)
-                if not para.text.strip():
-                    parent.children.remove(para)
-            para = None
-
-        while i < len(lines):
-            line = lines[i]
-            if not line.strip():
-                end()
-                i += 1
-                continue
-            ind = _indent(line)
-            if ind >= 4 and para is None:
-                code = []
-                while i < len(lines) and (not lines[i].strip() or _indent(lines[i]) >= 4):
-                    code.append(lines[i][4:])
-                    i += 1
-                while code and not code[-1].strip():
-                    code.pop()
-                b = Block("code", lang="")
-                b.text = "\n".join(code) + "\n"
-                parent.children.append(b)
-                continue
-            if ind >= 4:
-                para.text += "\n" + line.lstrip()
-                i += 1
-                continue
-            m = _FENCE.match(line)
-            if m and not (m[1][0] == "`" and "`" in m[2]):
-                end()
-                b, i = self.fence(lines, i, m, ind)
-                parent.children.append(b)
-                continue
-            if m := _ATX.match(line):
-                end()
-                b = Block("heading", level=len(m[1]))
-                b.text = m[2].strip() if m[2].strip(" \t#") or not re.fullmatch(r"[ \t]*#*[ \t]*", m[2]) else ""
-                parent.children.append(b)
-                i += 1
-                continue
-            if para is not None and (m := _SETEXT.match(line)):
-                self.paragraph(para)
-                if para.text.strip():
-                    para.kind, para.info = "heading", {"level": 1 if m[1][0] == "=" else 2}
-                    para = None
-                    i += 1
-                    continue
-                parent.children.remove(para)
-                para = None
-            if _RULE.match(line):
-                end()
-                parent.children.append(Block("rule"))
-                i += 1
-                continue
-            if line.lstrip(" ").startswith(">"):
-                end()
-                b, i = self.quote(lines, i, depth)
-                parent.children.append(b)
-                continue
-            m = _BULLET.match(line) or _ORDERED.match(line)
-            if m and (para is None or (line[m.end() :].strip() and (m.re is _BULLET or m[2] == "1"))):
-                end()
-                i = self.list(lines, i, parent, m, depth)
-                continue
-            kind = next((k for k, (start, _) in enumerate(_HTML_STARTS) if start.match(line.lstrip(" "))), None)
-            if kind is not None and not (kind == 6 and para is not None):
-                end()
-                b, i = self.html(lines, i, kind)
-                parent.children.append(b)
-                continue
-            if self.o.footnotes and para is None and (m := _FOOT_DEF.match(line)):
-                body, i = [m[2]], i + 1
-                while i < len(lines) and (not lines[i].strip() or _indent(lines[i]) >= 4 or (body[-1].strip() and not _FOOT_DEF.match(lines[i]) and not self.starts(lines[i]))):
-                    body.append(lines[i][min(4, _indent(lines[i])) :])
-                    i += 1
-                note = Block("note")
-                self.blocks(body, note, depth + 1)
-                self.notes.setdefault(_label(m[1]), note)
-                continue
-            if self.o.tables and i + 1 < len(lines) and para is None and "|" in line + lines[i + 1] and _DELIM_ROW.match(lines[i + 1]):
-                if (b := self.table(lines, i)) is not None:
-                    parent.children.append(b[0])
-                    i = b[1]
-                    continue
-            if para is None:
-                para = Block("paragraph")
-                para.text = line.lstrip()
-                parent.children.append(para)
-            else:
-                para.text += "\n" + line.lstrip()
-            i += 1
-        end()
-
-    def starts(self, line: str) -> bool:
-        """Whether a line begins a block that may interrupt a paragraph."""
-        if _indent(line) >= 4:
-            return False
-        s = line.lstrip(" ")
-        if s.startswith(">") or _ATX.match(line) or _RULE.match(line) or _FENCE.match(line):
-            return True
-        m = _BULLET.match(line) or _ORDERED.match(line)
-        if m and line[m.end() :].strip() and (m.re is _BULLET or m[2] == "1"):
-            return True
-        return any(start.match(s) for start, _ in _HTML_STARTS[:6])
-
-    def fence(self, lines: list[str], i: int, m: re.Match, ind: int) -> tuple[Block, int]:
-        close = re.compile(rf" {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$")
-        b, code, i = Block("code", lang=_plain(m[2].strip())), [], i + 1
-        while i < len(lines) and not close.match(lines[i]):
-            code.append(lines[i][min(ind, _indent(lines[i])) :])
-            i += 1
-        if i >= len(lines) and code and code[-1] == "":
-            code.pop()
-        b.text = "".join(c + "\n" for c in code)
-        return b, i + 1
-
-    def quote(self, lines: list[str], i: int, depth: int) -> tuple[Block, int]:
-        inner = []
-        while i < len(lines):
-            line = lines[i]
-            s = line.lstrip(" ")
-            if s.startswith(">") and _indent(line) < 4:
-                s = s[1:]
-                inner.append(_expand(s[1:] if s[:1] == " " else s))
-            elif line.strip() and inner and self.lazy(inner) and not self.starts(line):
-                inner.append(line if not _SETEXT.match(line) else "    " + line)
-            else:
+        lines = text.split("\n")
+        if lines and not lines[-1]:
+            lines.pop()
+        for line in lines:
+            self.number += 1
+            self.line(_Line(line))
+        self.close(1)
+        return self.open[0]
+
+    def line(self, at: _Line) -> None:
+        """Find the open blocks that the line goes on, the blocks that begin in it, and add what is left."""
+        k = self.go_on(at)
+        if k < 0:
+            return
+        lazy_para = self.open[-1] if self.open[-1].kind == "paragraph" and k < len(self.open) else None
+        began = False
+        while True:
+            block = self.open[k - 1] if not began else self.open[-1]
+            if block.kind in ("code", "html"):
                 break
-            i += 1
-        b = Block("quote")
-        self.blocks(inner, b, depth + 1)
-        return b, i
-
-    def lazy(self, inner: list[str]) -> bool:
-        """Whether the last line is part of a paragraph, which a line without its mark may go on."""
-        last = inner[-1]
-        if not last.strip():
-            return False
-        probe = Block("probe")
-        saved = dict(self.refs), dict(self.notes)
-        try:
-            self.blocks(inner, probe, 140)
-        finally:
-            self.refs, self.notes = saved
-        while probe.children:
-            probe = probe.children[-1]
-        return probe.kind == "paragraph"
-
-    def list(self, lines: list[str], i: int, parent: Block, m: re.Match, depth: int) -> int:
-        ordered = m.re is _ORDERED
-        mark = m[3] if ordered else m[2]
-        b = Block("list", ordered=ordered, start=int(m[2]) if ordered else 0, tight=True)
-        parent.children.append(b)
-        gap = False
-        while i < len(lines):
-            line = lines[i]
-            if not line.strip():
-                gap, i = True, i + 1
-                continue
-            m = (_ORDERED if ordered else _BULLET).match(line)
-            if not m or (m[3] if ordered else m[2]) != mark or _RULE.match(line):
+            indent, j = at.look()
+            if j >= len(at.s):
                 break
-            rest = _expand(" " * m.end() + line[m.end() :])[m.end() :] if line[m.end() :].strip() else ""
-            pad = _indent(rest) if rest else 1
-            pad = 1 if pad > 4 else pad
-            width = m.end() + pad
-            if gap and b.children:
-                b.info["tight"] = False
-            gap = False
-            inner, i = [rest[pad:]], i + 1
-            while i < len(lines):
-                line = lines[i]
-                if not line.strip():
-                    if len(inner) == 1 and not inner[0]:
-                        break
-                    inner.append("")
-                elif _indent(line) >= width:
-                    inner.append(line[width:])
-                elif inner[-1].strip() and not self.starts(line) and not _BULLET.match(line) and not _ORDERED.match(line) and self.lazy(inner):
-                    inner.append(line if not _SETEXT.match(line) else "    " + line)
-                else:
-                    break
-                i += 1
-            while len(inner) > 1 and not inner[-1]:
-                inner.pop()
-                gap = True
-            item = Block("item")
-            task = re.match(r"\[([ xX])\][ \t]+(?=\S)", inner[0]) if self.o.gfm else None
-            if task:
-                item.info["task"] = task[1] != " "
-                inner[0] = inner[0][task.end() :]
-            self.blocks(inner, item, depth + 1)
-            if self.loose(inner, item):
-                b.info["tight"] = False
-            b.children.append(item)
-        return i
-
-    def loose(self, inner: list[str], item: Block) -> bool:
-        """Whether a blank line stands between two of an item's own blocks."""
-        if len(item.children) < 2 or "" not in [s.strip() for s in inner]:
-            return False
-        # blank lines inside one nested block do not count: compare with every split at a blank line
-        for k, s in enumerate(inner):
-            if not s.strip() and 0 < k < len(inner) - 1:
-                a, z = Block("probe"), Block("probe")
-                saved = dict(self.refs), dict(self.notes)
-                try:
-                    self.blocks(inner[:k], a, 140)
-                    self.blocks(inner[k:], z, 140)
-                finally:
-                    self.refs, self.notes = saved
-                if len(a.children) + len(z.children) == len(item.children):
-                    return True
-        return False
-
-    def html(self, lines: list[str], i: int, kind: int) -> tuple[Block, int]:
-        out, close = [], _HTML_STARTS[kind][1]
-        while i < len(lines):
-            if close is None and not lines[i].strip():
+            if indent >= 4:
+                if block.kind not in ("paragraph", "table") and (began or lazy_para is None):
+                    self.close(k if not began else len(self.open))
+                    at.skip(4)
+                    self.add(Block("code", self.number, fence=""))
+                    began = True
                 break
-            out.append(lines[i])
-            i += 1
-            if close is not None and close.search(out[-1]):
+            if at.s[j] not in _STARTS:
                 break
-        b = Block("html")
-        b.text = "\n".join(out) + "\n"
-        return b, i
-
-    def table(self, lines: list[str], i: int) -> tuple[Block, int] | None:
-        head, marks = _cells(lines[i]), _cells(lines[i + 1])
-        if len(head) != len(marks):
+            done = self.begin(at, indent, j, block, k if not began else len(self.open))
+            if done is None:
+                break
+            if done:
+                return
+            began = True
+        self.content(at, k, began, lazy_para)
+
+    def go_on(self, at: _Line) -> int:
+        """The number of open blocks that the line belongs to; -1 when it only ends one."""
+        k = 1
+        while k < len(self.open):
+            b = self.open[k]
+            kind = b.kind
+            if kind == "list":
+                k += 1
+                continue
+            indent, j = at.look()
+            blank = j >= len(at.s)
+            if kind == "item":
+                if blank:
+                    if not b.children:
+                        return k
+                elif indent >= b.info["width"]:
+                    at.skip(b.info["width"])
+                else:
+                    return k
+            elif kind == "paragraph":
+                return k if blank else k + 1
+            elif kind == "quote":
+                if blank or indent >= 4 or at.s[j] != ">":
+                    return k
+                at.skip(indent)
+                at.take(1)
+                at.skip(1)
+                b.end = self.number
+            elif kind == "code":
+                if b.info["fence"]:
+                    mark, n, own = b.info["fence"]
+                    if not blank and indent < 4 and at.s[j] == mark:
+                        tail = at.s[j:].rstrip(" \t")
+                        if len(tail) >= n and tail == mark * len(tail):
+                            b.end = self.number
+                            self.close(k)
+                            return -1
+                    at.skip(own)
+                elif indent >= 4:
+                    at.skip(4)
+                elif not blank:
+                    return k
+                else:
+                    at.skip(indent)
+            elif kind == "html":
+                if blank and b.info["close"] is None:
+                    return k
+            elif kind == "note":
+                if not blank:
+                    if indent < 4:
+                        return k
+                    at.skip(4)
+            elif blank:  # a table
+                return k
+            k += 1
+        return k
+
+    def begin(self, at: _Line, indent: int, j: int, block: Block, k: int) -> bool | None:
+        """Begin a block: None if none begins here, True when the line is used up, False when it may hold more."""
+        s, c = at.s, at.s[j]
+        para = block if block.kind == "paragraph" else None
+        if c == ">":
+            self.close(k)
+            at.skip(indent)
+            at.take(1)
+            at.skip(1)
+            self.add(Block("quote", self.number))
+            return False
+        if c == "#":
+            n = 1
+            while n < 7 and s[j + n : j + n + 1] == "#":
+                n += 1
+            if n <= 6 and s[j + n : j + n + 1] in ("", " ", "\t"):
+                text = s[j + n :].strip(" \t")
+                bare = text.rstrip("#")
+                text = "" if not bare else bare.rstrip(" \t") if bare[-1] in " \t" else text
+                self.close(k)
+                self.add(Block("heading", self.number, level=n)).text = text
+                self.close(len(self.open) - 1)
+                return True
+        elif c in "`~":
+            m = _FENCE.match(s, j)
+            if m and not (c == "`" and "`" in m[2]):
+                self.close(k)
+                self.add(Block("code", self.number, fence=(c, len(m[1]), indent), lang=_plain(m[2].strip())))
+                return True
+        elif c == "<":
+            kind = next((n for n, (start, _) in enumerate(_HTML_STARTS) if start.match(s, j)), None)
+            # the last kind ends no paragraph, nor one that the line would go on lazily
+            if kind is not None and not (kind == 6 and (para is not None or self.open[-1].kind == "paragraph")):
+                self.close(k)
+                self.add(Block("html", self.number, close=_HTML_STARTS[kind][1]))
+                return False
             return None
+        if c in "=-" and para is not None and (m := _SETEXT.match(s, j)):
+            self.paragraph(para)
+            if para.text:
+                para.kind, para.info, para.end = "heading", {"level": 1 if c == "=" else 2}, self.number
+                self.open.pop()
+                return True
+            para.kind = "reference"
+            self.open.pop()
+            block, para, k = self.open[-1], None, k - 1
+        if c in "*-_" and at.is_rule(j):
+            self.close(k)
+            self.add(Block("rule", self.number))
+            self.close(len(self.open) - 1)
+            return True
+        if (c in "*+-" and (m := _BULLET.match(s, j))) or (c.isdigit() and (m := _ORDERED.match(s, j))):
+            ordered = m.re is _ORDERED
+            if para is None or (s[m.end() :].strip(" \t") and (not ordered or int(m[1]) == 1)):
+                self.item(at, indent, m, ordered, k)
+                return False
+        if self.o.footnotes and c == "[" and para is None and (m := _FOOT_DEF.match(s, j)):
+            self.close(k)
+            at.skip(indent)
+            at.take(m.end() - j)
+            note = Block("note", self.number)
+            self.notes.setdefault(_label(m[1]), note)
+            self.room(False)
+            self.open.append(note)
+            return False
+        if self.o.tables and c in "|:-" and para is not None and k == len(self.open) and (m := _DELIM_ROW.match(s, j)) and "|" in para.lines[-1] + s[j:]:
+            head, marks = _cells(para.lines[-1]), _cells(s[j:])
+            if len(head) == len(marks):
+                self.table(para, head, marks)
+                return True
+        return None
+
+    def item(self, at: _Line, indent: int, m: re.Match, ordered: bool, k: int) -> None:
+        mark = m[2] if ordered else m[0]
+        at.skip(indent)
+        at.take(m.end() - m.start())
+        gap, j = at.look()
+        empty = j >= len(at.s)
+        size = 1 if empty or gap >= 5 else gap
+        at.skip(size)
+        self.close(k)
+        self.room(True)
+        top = self.open[-1]
+        if top.kind != "list" or top.info["mark"] != mark:
+            self.add(Block("list", self.number, ordered=ordered, mark=mark, start=int(m[1]) if ordered else 0, tight=True))
+        self.add(Block("item", self.number, width=indent + m.end() - m.start() + size))
+
+    def table(self, para: Block, head: list[str], marks: list[str]) -> None:
         align = ["center" if c[0] == c[-1] == ":" and len(c) > 1 else "left" if c[0] == ":" else "right" if c[-1] == ":" else "" for c in marks]
-        b, rows, i = Block("table", align=align), [head], i + 2
-        while i < len(lines) and lines[i].strip() and not self.starts(lines[i]) and _indent(lines[i]) < 4:
-            row = _cells(lines[i])
-            rows.append((row + [""] * len(head))[: len(head)])
-            i += 1
-        b.info["rows"] = rows
-        return b, i
+        para.lines.pop()
+        if para.lines:
+            para.end -= 1
+            self.close(len(self.open) - 1)
+            self.add(Block("table", self.number - 1, align=align, rows=[head]))
+        else:
+            para.kind, para.info = "table", {"align": align, "rows": [head]}
+        self.open[-1].end = self.number
+
+    def content(self, at: _Line, k: int, began: bool, lazy_para: Block | None) -> None:
+        """Add what is left of the line behind its containers' marks."""
+        indent, j = at.look()
+        blank = j >= len(at.s)
+        if not began and not blank and lazy_para is not None:
+            lazy_para.lines.append(at.s[j:])
+            lazy_para.end = self.number
+            return
+        if not began:
+            self.close(k)
+        b = self.open[-1]
+        if b.kind in ("code", "html"):
+            b.lines.append(at.rest())
+            if b.kind == "html" and b.info["close"] is not None and b.info["close"].search(at.s, at.i):
+                b.end = self.number
+                self.close(len(self.open) - 1)
+            elif not blank or b.kind == "code" and b.info["fence"]:
+                b.end = self.number
+        elif blank:
+            return
+        elif b.kind == "table":
+            row = _cells(at.s[j:])
+            n = len(b.info["align"])
+            b.info["rows"].append((row + [""] * n)[:n])
+            b.end = self.number
+        elif b.kind == "paragraph":
+            b.lines.append(at.s[j:])
+            b.end = self.number
+        else:
+            self.add(Block("paragraph", self.number)).lines.append(at.s[j:])
+
+    def add(self, b: Block) -> Block:
+        """Make b the last child of the innermost open block that can hold it."""
+        self.room(b.kind == "item")
+        self.open[-1].children.append(b)
+        self.open.append(b)
+        return b
+
+    def room(self, item: bool) -> None:
+        """Close leaves, and lists unless for an item, until the innermost open block can hold another."""
+        while (kind := self.open[-1].kind) not in _CONTAINERS or (kind == "list" and not item):
+            self.close(len(self.open) - 1)
+
+    def close(self, k: int) -> None:
+        """Close the open blocks from the k-th on, the innermost first."""
+        while len(self.open) > k:
+            b = self.open.pop()
+            if b.kind == "paragraph":
+                self.paragraph(b)
+                if not b.text:
+                    b.kind = "reference"
+                elif self.o.gfm and self.open[-1].kind == "item" and self.open[-1].children[0] is b and (m := _TASK.match(b.text)):
+                    self.open[-1].info["task"] = m[1] != " "
+                    b.text = b.text[m.end() :]
+            elif b.kind == "code":
+                if not b.info["fence"]:
+                    while b.lines and not b.lines[-1].strip(" \t"):
+                        b.lines.pop()
+                b.text = "".join(line + "\n" for line in b.lines)
+            elif b.kind == "html":
+                while b.lines and not b.lines[-1].strip(" \t"):
+                    b.lines.pop()
+                b.text = "".join(line + "\n" for line in b.lines)
+            elif b.kind in _CONTAINERS and b.children:
+                b.end = max(b.end, b.children[-1].end)
+                if b.kind == "list":
+                    apart = lambda x: any(one.end < other.start - 1 for one, other in zip(x, x[1:]))
+                    b.info["tight"] = not (apart(b.children) or any(apart(item.children) for item in b.children))
+            b.lines = []
 
     def paragraph(self, para: Block) -> None:
-        """Take link reference definitions off a paragraph's beginning."""
-        while para.text.startswith("["):
-            m = re.match(r"\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<(?:[^<>\n\\]|\\.)*>|[^\s<]\S*)", para.text)
+        """The text of a paragraph, link reference definitions at its beginning taken off."""
+        text, at = "\n".join(para.lines).rstrip(" \t"), 0
+        while text.startswith("[", at):
+            m = _REF.match(text, at)
             if not m or not m[1].strip() or (self.o.footnotes and m[1].startswith("^")):
-                return
-            rest, title = para.text[m.end() :], ""
-            t = re.match(r"(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))[ \t]*(?:\n|$)", rest)
+                break
+            end, title = m.end(), ""
+            t = _REF_TITLE.match(text, end)
             if t and "\n\n" not in t[1]:
-                title, rest = t[1][1:-1], rest[t.end() :]
-            elif e := re.match(r"[ \t]*(?:\n|$)", rest):
-                rest = rest[e.end() :]
+                title, end = t[1][1:-1], t.end()
+            elif e := _REST_OF_LINE.match(text, end):
+                end = e.end()
             else:
-                return
+                break
             dest = m[2][1:-1] if m[2].startswith("<") else m[2]
             self.refs.setdefault(_label(m[1]), (_plain(dest), _plain(title)))
-            para.text = rest
-            if not rest:
-                return
+            at = end
+        para.text = text[at:]
+        para.lines = [para.text] if para.text else []
+
+
+_REF = re.compile(r"\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<(?:[^<>\n\\]|\\.)*+>|[^\s<]\S*+)")
+_REF_TITLE = re.compile(r"(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|\((?:[^()\\]|\\.)*+\))[ \t]*(?:\n|$)")
+_REST_OF_LINE = re.compile(r"[ \t]*(?:\n|$)")
 
 
 def _label(s: str) -> str:
@@ -387,255 +455,327 @@ def _cells(line: str) -> list[str]:
 
 # -- inlines
 
+_TICKS = re.compile("`+")
+_URI = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*+)>")
+_MAIL = re.compile(r"<([a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]++@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*)>")
+_FULL_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,999})\]", re.S)
+_HTML_TAG = re.compile(rf"{_OPEN}|{_CLOSE}")
+_DASHES = re.compile("-{2,}")
+_MAIL_NAME = re.compile(r"[A-Za-z0-9._+-]+$")
+#: HTML that ends where a string does: its beginning, the least size of that, and its end.
+_UP_TO = (("<!--", 4, "-->"), ("<?", 2, "?>"), ("<![CDATA[", 9, "]]>"), ("<!", 2, ">"))
+_UNSAFE = re.compile(r"\s*(?:javascript|vbscript|file|data(?!:image/(?:png|gif|jpeg|webp))):", re.I)
+
+
+_PAREN = re.compile(r"\([ \t\n]*+")
+_ANGLED = re.compile(r"<((?:[^<>\n\\]|\\.)*+)>")
+_TITLE = re.compile(r"[ \t\n]+(\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|\((?:[^()\\]|\\.)*+\))", re.S)
+_CLOSING = re.compile(r"[ \t\n]*+\)")
+_AT = re.compile(r"@([A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++)")
+_BARE = re.compile(r"(?:(?:https?|ftp)://|www\.)[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)*+[^\s<]*+", re.I)
+
+
+class Delim:
+    """A run of delimiters: what it closes, what is left of it, and what it opens."""
+
+    __slots__ = ("c", "n", "whole", "open", "close", "closed", "opened", "quote")
+
+    def __init__(self, c: str, n: int, opens: bool, closes: bool):
+        self.c, self.n, self.whole, self.open, self.close = c, n, n, opens, closes
+        self.closed: list[str] = []
+        self.opened: list[str] = []
+        self.quote = ""
+
+    def __str__(self) -> str:
+        if self.quote:
+            return self.quote
+        if self.c == "'":
+            return "‘" if self.open and not self.close else "’"
+        if self.c == '"':
+            return "“" if self.open else "”"
+        return "".join(self.closed) + self.c * self.n + "".join(reversed(self.opened))
+
 
 class Inline:
     """Inline content of one block, by the delimiter stack algorithm."""
 
     def __init__(self, parser: Parser, used: list[str]):
         self.p, self.o, self.used = parser, parser.o, used
-
-    def render(self, s: str) -> str:
-        return "".join(x if isinstance(x, str) else esc(x["c"] * x["n"]) if "c" in x else x["t"] for x in self.nodes(s.strip(" \t\n")))
+        special = "\\\\`&<\\n*_!\\[\\]" + ("~" if self.o.gfm else "") + ("\"'" if self.o.smart else "")
+        self.special = re.compile(f"[{special}@]|(?:https?|ftp)://|www\\." if self.o.gfm else f"[{special}]", re.I)
 
     def text(self, s: str) -> str:
         if self.o.smart:
-            s = s.replace("...", "…")
-            s = re.sub(r"-{2,}", _dashes, s)
+            s = _DASHES.sub(_dashes, s.replace("...", "…"))
         return esc(s)
 
-    def nodes(self, s: str) -> list:
+    def render(self, s: str) -> str:
+        s = s.strip(" \t\n")
+        found = self.special.search(s)
+        if found is None:
+            return self.text(s)
+        self.ticks: dict[int, list[int]] | None = None
+        self.gone: set[str] = set()
         out: list = []
-        brackets: list[dict] = []
-        i, plain = 0, ""
-
-        def flush() -> None:
-            nonlocal plain
-            if plain:
-                out.append(self.text(plain))
-                plain = ""
-
-        while i < len(s):
-            c = s[i]
-            if c == "\\":
-                if s[i + 1 : i + 2] == "\n":
-                    flush()
-                    out.append("<br />\n")
-                    i += 2
-                    while s[i : i + 1] == " ":
-                        i += 1
-                    continue
-                if s[i + 1 : i + 2] and s[i + 1] in _PUNCT:
-                    flush()
-                    out.append(esc(s[i + 1]))
-                    i += 2
-                    continue
-            elif c == "`":
-                run = re.match(r"`+", s[i:])[0]
-                close = re.compile(rf"(?<!`){run}(?!`)").search(s, i + len(run))
-                if close:
-                    flush()
-                    code = s[i + len(run) : close.start()].replace("\n", " ")
-                    if len(code) > 1 and code[0] == code[-1] == " " and code.strip(" "):
-                        code = code[1:-1]
-                    out.append(f"<code>{esc(code)}</code>")
-                    i = close.end()
-                else:
-                    plain += run
-                    i += len(run)
-                continue
-            elif c == "&" and (m := _ENTITY.match(s, i)):
-                value = _entity(m)
-                if value != m[0]:
-                    flush()
-                    out.append(esc(value))
-                    i = m.end()
-                    continue
-            elif c == "<":
-                if m := re.match(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>", s[i:]):
-                    flush()
-                    out.append(f'<a href="{_url(m[1])}">{esc(m[1])}</a>')
-                    i += m.end()
-                    continue
-                if m := re.match(r"<([a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*)>", s[i:]):
-                    flush()
-                    out.append(f'<a href="mailto:{_url(m[1])}">{esc(m[1])}</a>')
-                    i += m.end()
-                    continue
-                if m := _INLINE_HTML.match(s, i):
-                    flush()
-                    out.append(self.raw(m[0]))
-                    i = m.end()
-                    continue
-            elif c == "\n":
-                hard = len(plain) - len(plain.rstrip(" ")) >= 2
-                plain = plain.rstrip(" ")
-                flush()
-                out.append("<br />\n" if hard else "\n")
-                i += 1
-                while s[i : i + 1] == " ":
-                    i += 1
-                continue
-            elif c in "*_" or (c == "~" and self.o.gfm) or (c in "\"'" and self.o.smart):
-                run = re.match(rf"{re.escape(c)}+" if c not in "\"'" else re.escape(c), s[i:])[0]
-                flush()
-                out.append(self.delimiter(s, i, c, len(run)))
-                i += len(run)
-                continue
-            elif c == "!" and s[i + 1 : i + 2] == "[" and not (self.o.footnotes and s[i + 2 : i + 3] == "^"):
-                flush()
-                brackets.append({"at": len(out), "image": True, "i": i + 2, "active": True})
-                out.append({"t": "!["})
-                i += 2
-                continue
-            elif c == "[":
-                flush()
-                brackets.append({"at": len(out), "image": False, "i": i + 1, "active": True})
-                out.append({"t": "["})
-                i += 1
-                continue
-            elif c == "]":
-                flush()
-                i = self.bracket(s, i, out, brackets)
-                continue
-            elif self.o.gfm and (c in "hwfHWF" or c == "@") and (m := self.autolink(s, i, plain)):
+        self.delims: list[Delim] = []
+        self.brackets: list[tuple[int, bool, int, int]] = []
+        self.shut = 0  # brackets below this place open no link: a link stands in them
+        i = 0
+        plain: list[str] = []
+        while found is not None:
+            k = found.start()
+            if k > i:
+                plain.append(s[i:k])
+            i = self.at(s, k, out, plain)
+            found = self.special.search(s, i)
+        plain.append(s[i:])
+        self.flush(out, plain)
+        self.emphasis(0)
+        return "".join(map(str, out))
+
+    def flush(self, out: list, plain: list[str]) -> None:
+        if plain:
+            text = "".join(plain)
+            plain.clear()
+            if text:
+                out.append(self.text(text))
+
+    def at(self, s: str, i: int, out: list, plain: list[str]) -> int:
+        """Deal with the special character at i; the place behind what was taken."""
+        c = s[i]
+        if c == "\\":
+            after = s[i + 1 : i + 2]
+            if after == "\n":
+                self.flush(out, plain)
+                out.append("<br />\n")
+                return _behind_blanks(s, i + 2)
+            if after and after in _PUNCT:
+                self.flush(out, plain)
+                out.append(esc(after))
+                return i + 2
+        elif c == "`":
+            return self.code(s, i, out, plain)
+        elif c == "&":
+            if (m := _ENTITY.match(s, i)) and (value := _entity(m)) != m[0]:
+                self.flush(out, plain)
+                out.append(esc(value))
+                return m.end()
+        elif c == "<":
+            if (end := self.angle(s, i, out, plain)) > i:
+                return end
+        elif c == "\n":
+            text = "".join(plain)
+            bare = text.rstrip(" ")
+            plain[:] = [bare]
+            self.flush(out, plain)
+            out.append("<br />\n" if len(text) - len(bare) >= 2 else "\n")
+            return _behind_blanks(s, i + 1)
+        elif c in "*_~\"'":
+            n = 1
+            while c not in "\"'" and s[i + n : i + n + 1] == c:
+                n += 1
+            self.flush(out, plain)
+            d = self.delimiter(s, i, c, n)
+            out.append(d)
+            self.delims.append(d)
+            return i + n
+        elif c == "!":
+            if s[i + 1 : i + 2] == "[" and not (self.o.footnotes and s[i + 2 : i + 3] == "^"):
+                return self.bracket_open(s, i, True, out, plain)
+        elif c == "[":
+            return self.bracket_open(s, i, False, out, plain)
+        elif c == "]":
+            self.flush(out, plain)
+            return self.bracket_close(s, i, out)
+        else:
+            # an address's name may lie in several pieces; no more of the text than its greatest length is looked at
+            text = plain.pop() if plain else ""
+            while plain and len(text) < 320:
+                text = plain.pop() + text
+            if len(text) > 4096:
+                plain.append(text[:-1024])
+                text = text[-1024:]
+            plain.append(text)
+            if m := self.autolink(s, i, text):
                 size, back, html = m
-                plain = plain[: len(plain) - back]
-                if not any(not b["image"] for b in brackets) or True:
-                    flush()
-                    out.append(html)
-                i += size
-                continue
-            plain += c
-            i += 1
-        flush()
-        self.emphasis(out, 0)
-        return out
+                if back:
+                    plain[-1] = text[: len(text) - back]
+                self.flush(out, plain)
+                out.append(html)
+                return i + size
+        plain.append(c)
+        return i + 1
+
+    def code(self, s: str, i: int, out: list, plain: list[str]) -> int:
+        if self.ticks is None:
+            self.ticks = {}
+            for m in _TICKS.finditer(s):
+                self.ticks.setdefault(len(m[0]), []).append(m.start())
+        n = _TICKS.match(s, i).end() - i
+        same = self.ticks.get(n, [])
+        k = bisect_left(same, i + n)
+        if k == len(same):
+            plain.append("`" * n)
+            return i + n
+        self.flush(out, plain)
+        code = s[i + n : same[k]].replace("\n", " ")
+        if len(code) > 1 and code[0] == code[-1] == " " and code.strip(" "):
+            code = code[1:-1]
+        out.append(f"<code>{esc(code)}</code>")
+        return same[k] + n
+
+    def angle(self, s: str, i: int, out: list, plain: list[str]) -> int:
+        if ">" in self.gone or s.find(">", i) < 0:
+            self.gone.add(">")
+            return i
+        if m := _URI.match(s, i):
+            html = f'<a href="{_url(m[1])}">{esc(m[1])}</a>'
+        elif m := _MAIL.match(s, i):
+            html = f'<a href="mailto:{_url(m[1])}">{esc(m[1])}</a>'
+        elif m := _HTML_TAG.match(s, i):
+            html = self.raw(m[0])
+        else:
+            if s.startswith(("<!-->", "<!--->"), i):
+                end = s.index(">", i) + 1
+            else:
+                end = i
+                for start, n, last in _UP_TO:
+                    if s.startswith(start, i) and last not in self.gone and (start != "<!" or s[i + 2 : i + 3].isalpha()):
+                        k = s.find(last, i + n)
+                        if k >= 0:
+                            end = k + len(last)
+                        else:
+                            self.gone.add(last)
+                        break
+            if end > i:
+                self.flush(out, plain)
+                out.append(self.raw(s[i:end]))
+            return end
+        self.flush(out, plain)
+        out.append(html)
+        return m.end()
 
     def raw(self, html: str) -> str:
         if not self.o.unsafe:
             return esc(html)
         return _FILTERED.sub("&lt;", html) if self.o.gfm else html
 
-    def delimiter(self, s: str, i: int, c: str, n: int) -> dict:
+    def delimiter(self, s: str, i: int, c: str, n: int) -> Delim:
         before, after = s[i - 1] if i else "\n", s[i + n] if i + n < len(s) else "\n"
-        blank = lambda x: x.isspace()
         punct = lambda x: x in _PUNCT or _is_punct(x)
-        left = not blank(after) and (not punct(after) or blank(before) or punct(before))
-        right = not blank(before) and (not punct(before) or blank(after) or punct(after))
+        left = not after.isspace() and (not punct(after) or before.isspace() or punct(before))
+        right = not before.isspace() and (not punct(before) or after.isspace() or punct(after))
         if c == "_":
-            opens, closes = left and (not right or punct(before)), right and (not left or punct(after))
-        elif c in "\"'":
-            opens, closes = left and not right, right
-        else:
-            opens, closes = left, right
-        if c == "~" and n > 2:
-            opens = closes = False
-        return {"c": c, "n": n, "whole": n, "open": opens, "close": closes, "both": opens and closes}
-
-    def emphasis(self, out: list, bottom: int) -> None:
-        """Match delimiters from ``bottom`` on; the rest stays text."""
-        k = bottom
-        while k < len(out):
-            d = out[k]
-            if not isinstance(d, dict) or "c" not in d or not d["close"] or not d["n"]:
-                k += 1
-                continue
-            found = -1
-            for j in range(k - 1, bottom - 1, -1):
-                o = out[j]
-                if isinstance(o, dict) and o.get("c") == d["c"] and o["open"] and o["n"]:
-                    if d["c"] == "~":
-                        if o["n"] != d["n"]:
-                            continue
-                    elif d["c"] in "*_" and (o["both"] or d["both"]) and (o["whole"] + d["whole"]) % 3 == 0 and (o["whole"] % 3 or d["whole"] % 3):
-                        continue
-                    found = j
-                    break
-            if d["c"] in "\"'":
-                marks = ("“", "”") if d["c"] == '"' else ("‘", "’")
-                if found >= 0:
-                    out[found], out[k] = marks
-                    self.dead(out, found + 1, k)
-                else:
-                    out[k] = "’" if d["c"] == "'" else d
-                    if isinstance(out[k], dict):
-                        d["close"] = False
-                k += 1
+            return Delim(c, n, left and (not right or punct(before)), right and (not left or punct(after)))
+        if c in "\"'":
+            return Delim(c, n, left and not right, right)
+        return Delim(c, n, left and not (c == "~" and n > 2), right and not (c == "~" and n > 2))
+
+    def emphasis(self, bottom: int) -> None:
+        """Match the delimiters of the stack from ``bottom`` on, and take them off it.
+
+        Openers that a kind of closer has not found are not looked at again for closers of that kind.
+        """
+        ds = self.delims[bottom:]
+        del self.delims[bottom:]
+        before, after = list(range(-1, len(ds) - 1)), list(range(1, len(ds) + 1))
+        least: dict[tuple, int] = {}
+
+        def out_of_list(k: int) -> None:
+            if before[k] >= 0:
+                after[before[k]] = after[k]
+            if after[k] < len(ds):
+                before[after[k]] = before[k]
+
+        k = 0
+        while k < len(ds):
+            d = ds[k]
+            if not d.close:
+                k = after[k]
                 continue
-            if found < 0:
-                d["close"] = False
-                k += 1
+            key = (d.c, d.n) if d.c == "~" else (d.c, d.open, d.whole % 3)
+            j = before[k]
+            while j > least.get(key, -1):
+                o = ds[j]
+                if o.c == d.c and o.open:
+                    if d.c == "~":
+                        if o.n == d.n:
+                            break
+                    elif d.c in "\"'" or not ((o.close or d.open) and (o.whole + d.whole) % 3 == 0 and (o.whole % 3 or d.whole % 3)):
+                        break
+                j = before[j]
+            else:
+                least[key] = before[k]
+                if not d.open:
+                    out_of_list(k)
+                k = after[k]
                 continue
-            o = out[found]
-            use = o["n"] if d["c"] == "~" else 2 if o["n"] >= 2 and d["n"] >= 2 else 1
-            tag = "del" if d["c"] == "~" else "strong" if use == 2 else "em"
-            self.dead(out, found + 1, k)
-            o["n"] -= use
-            d["n"] -= use
-            out.insert(found + 1, f"<{tag}>")
-            out.insert(k + 1, f"</{tag}>")
-            k += 2
-        for k in range(bottom, len(out)):
-            d = out[k]
-            if isinstance(d, dict) and "c" in d:
-                if d["c"] == "'":
-                    out[k] = "’" if not d["open"] else "‘"
-                elif d["c"] == '"':
-                    out[k] = "“" if d["open"] else "”"
-                else:
-                    out[k] = esc(d["c"] * d["n"])
-
-    @staticmethod
-    def dead(out: list, a: int, z: int) -> None:
-        for k in range(a, z):
-            d = out[k]
-            if isinstance(d, dict) and "c" in d:
-                out[k] = esc(d["c"] * d["n"]) if d["c"] not in "\"'" else ("’" if d["c"] == "'" else "&quot;")
-
-    def bracket(self, s: str, i: int, out: list, brackets: list[dict]) -> int:
-        if not brackets:
+            # what lies between the two stays text
+            after[j], before[k] = k, j
+            o = ds[j]
+            if d.c in "\"'":
+                o.quote, d.quote = ("“", "”") if d.c == '"' else ("‘", "’")
+                o.n = d.n = 0
+            else:
+                use = o.n if d.c == "~" else 2 if o.n >= 2 and d.n >= 2 else 1
+                tag = "del" if d.c == "~" else "strong" if use == 2 else "em"
+                o.n, d.n = o.n - use, d.n - use
+                o.opened.append(f"<{tag}>")
+                d.closed.append(f"</{tag}>")
+            if not o.n:
+                out_of_list(j)
+            if not d.n:
+                out_of_list(k)
+                k = after[k]
+
+    def bracket_open(self, s: str, i: int, image: bool, out: list, plain: list[str]) -> int:
+        self.flush(out, plain)
+        self.shut = min(self.shut, len(self.brackets))
+        self.brackets.append((len(out), image, i + 1 + image, len(self.delims)))
+        out.append("![" if image else "[")
+        return i + 1 + image
+
+    def bracket_close(self, s: str, i: int, out: list) -> int:
+        if not self.brackets:
             out.append("]")
             return i + 1
-        b = brackets.pop()
-        if not b["active"]:
+        at, image, begin, bottom = self.brackets.pop()
+        if not image and len(self.brackets) < self.shut:
             out.append("]")
             return i + 1
-        inner = s[b["i"] : i]
-        if self.o.footnotes and not b["image"] and inner.startswith("^") and (name := _label(inner[1:])) in self.p.notes:
+        label = s[begin:i] if i - begin < 1000 else ""
+        if self.o.footnotes and not image and label.startswith("^") and (name := _label(label[1:])) in self.p.notes:
             if name not in self.used:
                 self.used.append(name)
             n = self.used.index(name) + 1
-            del out[b["at"] :]
-            key = _url(inner[1:])
+            del out[at:], self.delims[bottom:]
+            key = _url(label[1:])
             out.append(f'<sup class="footnote-ref"><a href="#fn-{key}" id="fnref-{key}" data-footnote-ref>{n}</a></sup>')
             return i + 1
         target = self.target(s, i + 1)
-        end = i + 1
         if target is not None:
             dest, title, end = target
         else:
-            m = re.match(r"\[((?:[^\[\]\\]|\\.)*)\]", s[i + 1 :])
-            label = m[1] if m and m[1].strip() else inner
-            ref = self.p.refs.get(_label(label)) if "[" not in re.sub(r"\\.", "", label) else None
+            m = _FULL_LABEL.match(s, i + 1)
+            label = m[1] if m and m[1].strip() else label
+            ref = self.p.refs.get(_label(label)) if self.p.refs and "[" not in re.sub(r"\\.", "", label) else None
             if ref is None:
                 out.append("]")
                 return i + 1
             dest, title = ref
-            end = i + 1 + (m.end() if m else 0)
-        self.emphasis(out, b["at"] + 1)
-        content = "".join(x if isinstance(x, str) else x["t"] for x in out[b["at"] + 1 :])
-        del out[b["at"] :]
-        if not self.o.unsafe and re.match(r"\s*(?:javascript|vbscript|file|data(?!:image/(?:png|gif|jpeg|webp))):", dest, re.I):
+            end = m.end() if m else i + 1
+        self.emphasis(bottom)
+        content = "".join(map(str, out[at + 1 :]))
+        del out[at:]
+        if not self.o.unsafe and _UNSAFE.match(dest):
             dest = ""
         t = f' title="{esc(title)}"' if title else ""
-        if b["image"]:
+        if image:
             alt = re.sub(r'<img[^>]*? alt="([^"]*)"[^>]*>', r"\1", content)
             out.append(f'<img src="{_url(dest)}" alt="{re.sub(r"<[^>]*>", "", alt)}"{t} />')
         else:
             out.append(f'<a href="{_url(dest)}"{t}>{content}</a>')
-            for x in brackets:
-                if not x["image"]:
-                    x["active"] = False
+            self.shut = len(self.brackets)
         return end
 
     @staticmethod
@@ -643,10 +783,10 @@ class Inline:
         """(destination, title, end) of an inline link's brackets."""
         if s[i : i + 1] != "(":
             return None
-        m = re.compile(r"\([ \t\n]*").match(s, i)
+        m = _PAREN.match(s, i)
         i = m.end()
         if s[i : i + 1] == "<":
-            m = re.compile(r"<((?:[^<>\n\\]|\\.)*)>").match(s, i)
+            m = _ANGLED.match(s, i)
             if not m:
                 return None
             dest, i = m[1], m.end()
@@ -658,6 +798,8 @@ class Inline:
                     continue
                 if s[i] == "(":
                     depth += 1
+                    if depth > 32:
+                        return None
                 elif s[i] == ")":
                     if not depth:
                         break
@@ -667,24 +809,24 @@ class Inline:
                 return None
             dest = s[start:i]
         title = ""
-        m = re.compile(r"[ \t\n]+(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))", re.S).match(s, i)
+        m = _TITLE.match(s, i)
         if m:
             title, i = m[1][1:-1], m.end()
-        m = re.compile(r"[ \t\n]*\)").match(s, i)
+        m = _CLOSING.match(s, i)
         return (_plain(dest), _plain(title), m.end()) if m else None
 
     def autolink(self, s: str, i: int, plain: str) -> tuple[int, int, str] | None:
         """A bare address at i: (size, characters of the text before that belong to it, HTML)."""
         if s[i] == "@":
-            name = re.search(r"[A-Za-z0-9._+-]+$", plain)
-            m = re.compile(r"@([A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+)").match(s, i)
+            m = _AT.match(s, i)
+            name = _MAIL_NAME.search(plain, max(0, len(plain) - 320))
             if not name or not m or m[1][-1] in "-_":
                 return None
             mail = name[0] + m[0]
             return m.end() - i, len(name[0]), f'<a href="mailto:{_url(mail)}">{esc(mail)}</a>'
         if plain and not (plain[-1].isspace() or plain[-1] in "*_~("):
             return None
-        m = re.compile(r"(?:(?:https?|ftp)://|www\.)[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*[^\s<]*", re.I).match(s, i)
+        m = _BARE.match(s, i)
         if not m or (m[0].lower().startswith("www.") and "." not in m[0][4:]):
             return None
         link = m[0]
@@ -701,9 +843,14 @@ class Inline:
         return len(link), 0, f'<a href="{_url(href)}">{esc(link)}</a>'
 
 
-def _is_punct(c: str) -> bool:
-    import unicodedata
+def _behind_blanks(s: str, i: int) -> int:
+    while s[i : i + 1] == " ":
+        i += 1
+    return i
 
+
+@lru_cache(maxsize=4096)
+def _is_punct(c: str) -> bool:
     return unicodedata.category(c)[0] in "PS"
 
 
@@ -746,49 +893,52 @@ class Renderer:
         out.append("</ol>\n</section>\n")
 
     def block(self, b: Block, out: list[str], tight: bool) -> None:
-        kind = b.kind
-        if kind == "paragraph":
-            text = self.inline.render(b.text)
-            out.append(text if tight else f"<p>{text}</p>\n")
-        elif kind == "heading":
-            out.append(f"<h{b.info['level']}>{self.inline.render(b.text)}</h{b.info['level']}>\n")
-        elif kind == "rule":
-            out.append("<hr />\n")
-        elif kind == "code":
-            lang = b.info["lang"].split()[0] if b.info["lang"] else ""
-            out.append(f'<pre><code class="language-{esc(lang)}">' if lang else "<pre><code>")
-            out.append(f"{esc(b.text)}</code></pre>\n")
-        elif kind == "html":
-            text = b.text if self.o.unsafe else esc(b.text)
-            out.append(_FILTERED.sub("&lt;", text) if self.o.unsafe and self.o.gfm else text)
-        elif kind == "quote":
-            out.append("<blockquote>\n")
-            for c in b.children:
-                self.block(c, out, False)
-            out.append("</blockquote>\n")
-        elif kind == "list":
-            tag = "ol" if b.info["ordered"] else "ul"
-            start = f' start="{b.info["start"]}"' if b.info["ordered"] and b.info["start"] != 1 else ""
-            out.append(f"<{tag}{start}>\n")
-            for item in b.children:
-                self.item(item, out, b.info["tight"])
-            out.append(f"</{tag}>\n")
-        elif kind == "table":
-            self.table(b, out)
-
-    def item(self, item: Block, out: list[str], tight: bool) -> None:
-        out.append("<li>")
-        if "task" in item.info:
-            box = f'<input type="checkbox"{" checked=\"\"" if item.info["task"] else ""} disabled="" /> '
-            out.append(box)
-        for k, c in enumerate(item.children):
-            flat = tight and c.kind == "paragraph"
-            if not flat and not "".join(out[-1:]).endswith("\n"):
-                out.append("\n")
-            elif flat and k and not out[-1].endswith("\n"):
-                out.append("\n")
-            self.block(c, out, tight)
-        out.append("</li>\n")
+        """Write a block: a stack of blocks, of strings, and of a mark for the line break that out may lack."""
+        todo: list = [(b, tight)]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                if x or (out and not out[-1].endswith("\n")):
+                    out.append(x or "\n")
+                continue
+            b, tight = x
+            kind = b.kind
+            if kind == "paragraph":
+                text = self.inline.render(b.text)
+                out.append(text if tight else f"<p>{text}</p>\n")
+            elif kind == "heading":
+                out.append(f"<h{b.info['level']}>{self.inline.render(b.text)}</h{b.info['level']}>\n")
+            elif kind == "rule":
+                out.append("<hr />\n")
+            elif kind == "code":
+                lang = (b.info.get("lang") or "").split()[:1]
+                out.append(f'<pre><code class="language-{esc(lang[0])}">' if lang else "<pre><code>")
+                out.append(f"{esc(b.text)}</code></pre>\n")
+            elif kind == "html":
+                text = b.text if self.o.unsafe else esc(b.text)
+                out.append(_FILTERED.sub("&lt;", text) if self.o.unsafe and self.o.gfm else text)
+            elif kind == "quote":
+                out.append("<blockquote>\n")
+                todo.append("</blockquote>\n")
+                todo += [(c, False) for c in reversed(b.children)]
+            elif kind == "list":
+                tag = "ol" if b.info["ordered"] else "ul"
+                start = f' start="{b.info["start"]}"' if b.info["ordered"] and b.info["start"] != 1 else ""
+                out.append(f"<{tag}{start}>\n")
+                todo.append(f"</{tag}>\n")
+                todo += [(item, b.info["tight"]) for item in reversed(b.children)]
+            elif kind == "item":
+                out.append("<li>")
+                if "task" in b.info:
+                    out.append(f'<input type="checkbox"{" checked=\"\"" if b.info["task"] else ""} disabled="" /> ')
+                todo.append("</li>\n")
+                children = [c for c in b.children if c.kind != "reference"]
+                for k, c in reversed(list(enumerate(children))):
+                    todo.append((c, tight))
+                    if not (tight and c.kind == "paragraph") or k:
+                        todo.append("")
+            elif kind == "table":
+                self.table(b, out)
 
     def table(self, b: Block, out: list[str]) -> None:
         def cells(row: list[str], tag: str) -> None:
@@ -816,10 +966,7 @@ def markdown_to_html(gfm: bool | None = None, tables: bool | None = None, footno
 
     def run(s: str) -> str:
         parser = Parser(options)
-        try:
-            return Renderer(parser).document(parser.parse(s))
-        except RecursionError:
-            raise Fault("nesting is too deep") from None
+        return Renderer(parser).document(parser.parse(s))
 
     return Kernel("markdownToHtml", STR, "string", run)
 

@@ -1,6 +1,7 @@
 """HTML trees, selectors, sanitizing, plain text and Markdown."""
 
 import json
+import time
 
 import pytest
 
@@ -133,6 +134,42 @@ def test_markdown(source, want):
     assert KERNELS["markdownToHtml"]().item(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("- a\n- b\n\n  [r]: /u\n- d", "<ul>\n<li>\n<p>a</p>\n</li>\n<li>\n<p>b</p>\n</li>\n<li>\n<p>d</p>\n</li>\n</ul>\n"), ("- a\n  - b\n\n    c\n- d", "<ul>\n<li>a\n<ul>\n<li>\n<p>b</p>\n<p>c</p>\n</li>\n</ul>\n</li>\n<li>d</li>\n</ul>\n"),
+        ("* a\n  > b\n  >\n* c", "<ul>\n<li>a\n<blockquote>\n<p>b</p>\n</blockquote>\n</li>\n<li>c</li>\n</ul>\n"), ("-\n  foo\n-\n  ```\n  bar\n  ```", "<ul>\n<li>foo</li>\n<li>\n<pre><code>bar\n</code></pre>\n</li>\n</ul>\n"),
+        ("> ```\n> a\n\nb", "<blockquote>\n<pre><code>a\n</code></pre>\n</blockquote>\n<p>b</p>\n"), ("> a\n    - b", "<blockquote>\n<p>a\n- b</p>\n</blockquote>\n"), (">\t\tfoo", "<blockquote>\n<pre><code>  foo\n</code></pre>\n</blockquote>\n"), ("-\t\tfoo", "<ul>\n<li>\n<pre><code>  foo\n</code></pre>\n</li>\n</ul>\n"),
+        ("foo\nbar\n===", "<h1>foo\nbar</h1>\n"), ("- foo\n***\n- bar", "<ul>\n<li>foo</li>\n</ul>\n<hr />\n<ul>\n<li>bar</li>\n</ul>\n"), ("*foo**bar**baz*", "<p><em>foo<strong>bar</strong>baz</em></p>\n"), ("***foo** bar*", "<p><em><strong>foo</strong> bar</em></p>\n"),
+        ("**foo*bar**baz*", "<p><strong>foo*bar</strong>baz*</p>\n"), ("*(**foo**)*", "<p><em>(<strong>foo</strong>)</em></p>\n"), ("foo***", "<p>foo***</p>\n"), ("****foo*", "<p>***<em>foo</em></p>\n"), ("*foo [bar*](/u)", '<p>*foo <a href="/u">bar*</a></p>\n'),
+        ("[foo [bar](/u)](/u)", '<p>[foo <a href="/u">bar</a>](/u)</p>\n'), ("![[[foo](u1)](u2)](u3)", '<p><img src="u3" alt="[foo](u2)" /></p>\n'), ("`a`` b`", "<p><code>a`` b</code></p>\n"), ("text\nh|i\n-|-\n1|2", "<p>text</p>\n<table>\n<thead>\n<tr>\n<th>h</th>\n<th>i</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>1</td>\n<td>2</td>\n</tr>\n</tbody>\n</table>\n"),
+    ],
+)
+def test_markdown_by_the_published_specification(source, want):
+    assert KERNELS["markdownToHtml"]().item(source) == want
+
+
+@pytest.mark.parametrize("source", ["a*_" * 333_000, "**a" * 333_000, "> " * 500_000, "- " * 500_000 + "a", "[" * 10**6, "`a``" * 250_000, "<!--" * 250_000, "*a " * 160_000 + "b* " * 160_000, "@" * 300_000, "| " * 500_000], ids=lambda s: s[:4])
+def test_markdown_of_hostile_texts_takes_linear_time(source):
+    start = time.perf_counter()
+    assert KERNELS["markdownToHtml"]().item(source)
+    assert time.perf_counter() - start < 12
+
+
+@pytest.mark.parametrize("source", ["<a " + '="x" ' * 200_000, "<a" * 500_000, "<" * 10**6, "a</x>" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<script>" + "</script " * 100_000, "<p class='" * 100_000], ids=lambda s: s[:9])
+def test_hostile_pages_take_linear_time(source):
+    start = time.perf_counter()
+    for kernel in (KERNELS["sanitizeHtml"](), KERNELS["htmlExtract"]("p")):
+        kernel.item(source)
+    assert time.perf_counter() - start < 12
+
+
+def test_markdown_nested_to_any_depth():
+    n = 3000
+    out = KERNELS["markdownToHtml"]().item("> " * n + "x")
+    assert out.count("<blockquote>") == out.count("</blockquote>") == n and "<p>x</p>" in out
+
+
 def test_markdown_options():
     render = lambda s, **o: KERNELS["markdownToHtml"](**o).item(s)
     assert "<del>" not in render("~~a~~", gfm=False) and "<table>" not in render("|a|\n|-|\n|b|", tables=False) and "<table>" in render("|a|\n|-|\n|b|", gfm=False, tables=True)
