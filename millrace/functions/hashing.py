@@ -131,8 +131,13 @@ def xxh3() -> Kernel:
     return _hex_kernel("xxh3Hex", xxhash.xxh3_64_hexdigest)
 
 
+#: Spark's XXH64 starts from seed 42, and hashes each of its arguments with the hash of the one before as seed: that of this number is 0.
+_TO_SEED_ZERO = -365884300664092260
+
+
 def xxh64() -> Kernel:
-    return _hex_kernel("xxh64Hex", lambda b: xxhash.xxh64_hexdigest(b, 0))
+    native = lambda c: (F.when(c.isNotNull(), F.lower(F.lpad(F.hex(F.xxhash64(F.lit(_TO_SEED_ZERO).cast("bigint"), c.cast("binary"))), 16, "0"))), None)
+    return _hex_kernel("xxh64Hex", lambda b: xxhash.xxh64_hexdigest(b, 0), native)
 
 
 def crc32() -> Kernel:

@@ -7,6 +7,7 @@ import json
 import os
 from functools import lru_cache
 
+import numpy as np
 import tiktoken
 
 from ..errors import InvalidArg
@@ -52,6 +53,20 @@ def encoder(encoding: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(encoding, pat_str=PATTERNS[encoding], mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def lengths(encoding: str) -> np.ndarray:
+    """Bytes of each token."""
+    enc = encoder(encoding)
+    out = np.zeros(enc.n_vocab, np.int64)
+    for token, i in enc._mergeable_ranks.items():
+        out[i] = len(token)
+    return out
+
+
+def _ids(encoding: str, s: str) -> np.ndarray:
+    return encoder(encoding).encode_to_numpy(s, disallowed_special=())
+
+
 def _whole(op: str, name: str, value, least: int) -> int:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or value != int(value):
         raise InvalidArg(f"{op}: {name} must be an integer, got {value}")
@@ -62,7 +77,7 @@ def _whole(op: str, name: str, value, least: int) -> int:
 
 def count_tokens(encoding: str) -> Kernel:
     _known("countTokens", encoding)
-    return Kernel("countTokens", STR, "int", lambda s: len(encoder(encoding).encode_ordinary(s)))
+    return Kernel("countTokens", STR, "int", lambda s: len(_ids(encoding, s)))
 
 
 def truncate_tokens(encoding: str, max_tokens: int, keep: str | None = None) -> Kernel:
@@ -74,21 +89,20 @@ def truncate_tokens(encoding: str, max_tokens: int, keep: str | None = None) ->
         raise InvalidArg(f"truncateTokens: keep must be {' or '.join(map(repr, KEEP))}, got '{keep}'")
 
     def run(s: str) -> str:
-        enc = encoder(encoding)
-        ids = enc.encode_ordinary(s)
+        ids = _ids(encoding, s)
         if len(ids) <= most:
             return s
-        return b"".join(enc.decode_tokens_bytes(ids[:most] if keep == "start" else ids[-most:])).decode("utf-8", "ignore")
+        raw, size = s.encode("utf-8", "replace"), lengths(encoding)
+        cut = raw[: int(size[ids[:most]].sum())] if keep == "start" else raw[len(raw) - int(size[ids[-most:]].sum()) :]
+        return cut.decode("utf-8", "ignore")
 
     return Kernel("truncateTokens", STR, "string", run)
 
 
 def chunks(s: str, encoding: str, most: int, overlap: int) -> list[str]:
     """Windows of tokens, their edges drawn back to whole characters; empty ones are dropped."""
-    enc, raw = encoder(encoding), s.encode("utf-8", "replace")
-    at = [0]
-    for piece in enc.decode_tokens_bytes(enc.encode_ordinary(s)):
-        at.append(at[-1] + len(piece))
+    raw = s.encode("utf-8", "replace")
+    at = [0, *np.cumsum(lengths(encoding)[_ids(encoding, s)]).tolist()]
 
     def whole(i: int) -> int:
         while 0 < i < len(raw) and raw[i] & 0xC0 == 0x80:

@@ -6,7 +6,9 @@ import json
 import os
 import tempfile
 from collections.abc import Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, replace
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -158,15 +160,28 @@ def run_write_files(plan: Compiled, source: Source, spark: SparkSession | None =
 
 
 def run_stream(plan: Compiled, source: Source, spark: SparkSession | None = None) -> Iterator[dict]:
-    """Items as their partitions are done: {index, value}, in settled mode {index, ok, value or error}."""
-    df = settled_frame(source, plan, spark).select("item_index", "value", "error")
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        if r["error"] is None:
-            yield {"index": r["item_index"], "value": _plain(r["value"])} | ({"ok": True} if plan.mode == "settled" else {})
-        elif plan.mode == "settled":
-            yield {"index": r["item_index"], "ok": False, "error": f"item {r['item_index']}: {r['error']}"}
-        else:
-            raise ItemError(r["item_index"], r["error"])
+    """Items as they are done, whichever partition is first: {index, value}, in settled mode {index, ok, value or error}.
+
+    As many partitions are under way as tasks run at a time; the next begins when one has been taken.
+    """
+    rows = settled_frame(source, plan, spark).select("item_index", "value", "error").rdd
+    context, todo = rows.context, iter(range(rows.getNumPartitions()))
+    pool, running = ThreadPoolExecutor(max(1, context.defaultParallelism)), set()
+    try:
+        while True:
+            running |= {pool.submit(context.runJob, rows, list, [p]) for p in islice(todo, context.defaultParallelism - len(running))}
+            if not running:
+                return
+            done, running = wait(running, return_when=FIRST_COMPLETED)
+            for r in chain.from_iterable(f.result() for f in done):
+                if r["error"] is None:
+                    yield {"index": r["item_index"], "value": _plain(r["value"])} | ({"ok": True} if plan.mode == "settled" else {})
+                elif plan.mode == "settled":
+                    yield {"index": r["item_index"], "ok": False, "error": f"item {r['item_index']}: {r['error']}"}
+                else:
+                    raise ItemError(r["item_index"], r["error"])
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
 
 
 @dataclass(frozen=True)

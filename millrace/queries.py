@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as M
-from .operators import Pipeline, pipeline
+from . import sql
+from .operators import Pipeline, batch, pipeline
+from .operators.pipeline import run_collect, run_count, run_settled
 from .plans import compile_plan
 from .sources import expand_glob, files
 
@@ -53,7 +56,16 @@ def _chain(name: str, table: str, key: str, col: str, chain: Callable[[], Pipeli
     query(name, None if sql is None else f"SELECT {key}, {sql} AS value, CAST(NULL AS VARCHAR) AS error FROM {table}")(run)
 
 
-_binary = lambda c: c.cast("binary")
+def _fixed(name: str, rows: list[tuple], make: Callable[[Column], Column]) -> None:
+    """A function over fixed inputs with published results: rows of (input, result)."""
+    kind = "binary" if isinstance(rows[0][0], bytes) else "string"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"i int, x {kind}").select("i", make(F.col("x")).alias("value"))
+
+    query(name, sql.values([(i, r[1]) for i, r in enumerate(rows)], "i", "value"))(run)
+
+
 _docs = ("documents", "doc_id", "text")
 
 # -- flagship
@@ -65,30 +77,54 @@ _each("sha256_hex", *_docs, lambda c: M.sha256_hex(c), "sha256(text)")
 _each("blake3_hex", *_docs, lambda c: M.blake3_hex(c))
 _each("xxh3_hex", *_docs, lambda c: M.xxh3_hex(c))
 _each("xxh64_hex", *_docs, lambda c: M.xxh64_hex(c))
-_each("crc32_hex", *_docs, lambda c: M.crc32_hex(c))
-_each("crc32c_hex", *_docs, lambda c: M.crc32c_hex(c))
+ORACLE_SQL["xxh64_hex"] = sql.xxh64("documents", "doc_id", "text")
+_each("crc32_hex", *_docs, lambda c: M.crc32_hex(c), sql.crc("text", 0xEDB88320))
+_each("crc32c_hex", *_docs, lambda c: M.crc32c_hex(c), sql.crc("text", 0x82F63B78))
+_counting = lambda n: bytes(i % 251 for i in range(n))
+_fixed(
+    "blake3_vectors",
+    [(b"", "af1349b9f5f9a1a6"), (b"abc", "6437b3ac38465133"), (_counting(1), "2d3adedff11b61f1"), (_counting(1023), "10108970eeda3eb9"), (_counting(1024), "42214739f095a406"),
+     (_counting(1025), "d00278ae47eb27b3"), (_counting(2048), "e776b6028c7cd22a"), (_counting(2049), "5f4d72f40d7a5f82"), (_counting(3072), "b98cb0ff3623be03"), (_counting(31744), "62b6960e1a44bcc1")],
+    lambda c: F.left(M.blake3_hex(c), F.lit(16)),
+)
+_fixed("xxh3_vectors", [(b"", "2d06800538d394c2"), (b"a", "e6c632b61e964e1f"), (b"abc", "78af5f94892f3950")], lambda c: M.xxh3_hex(c))
 
-# -- compression and encodings: the way there and back gives the text
+# -- compression and encodings: the way there and back gives the text; what is decoded is made by others where SQL can tell
 _chain("gzip_gunzip", *_docs, lambda: pipeline().bytes().gzip(6).gunzip().utf8(), "text")
+#: A gzip stream ends in the length of what it holds.
+_each(
+    "gzip_length", *_docs, lambda c: F.right(F.hex(M.gzip(c.cast("binary"))), F.lit(8)),
+    "list_aggregate(list_transform(range(4), lambda i: lpad(upper(hex(CAST(strlen(text) AS BIGINT) >> (8 * i) & 255)), 2, '0')), 'string_agg', '')",
+)
 _chain("zstd_compress_decompress", *_docs, lambda: pipeline().bytes().zstd_compress(3).zstd_decompress().utf8(), "text")
 _chain("brotli_compress_decompress", *_docs, lambda: pipeline().bytes().brotli_compress(5).brotli_decompress().utf8(), "text")
 _each("base64_encode", *_docs, lambda c: M.base64_encode(c), "to_base64(encode(text))")
-_chain("base64_decode", *_docs, lambda: pipeline().base64_encode().base64_decode().utf8(), "text")
+_each("base64_decode", *_docs, lambda c: F.hex(M.base64_decode(F.replace(F.base64(c.cast("binary")), F.lit("\r\n"), F.lit("")))), "hex(encode(text))")
 _each("hex_encode", *_docs, lambda c: M.hex_encode(c), "lower(hex(text))")
-_chain("hex_decode", *_docs, lambda: pipeline().hex_encode().hex_decode().utf8(), "text")
+_each("hex_decode", *_docs, lambda c: F.sha2(M.hex_decode(F.hex(c.cast("binary"))), 256), "sha256(text)")
+#: Streams of the formats' own examples: two members and stored blocks (RFC 1952, 1951), a raw zstd block (RFC 8878), an uncompressed Brotli meta-block (RFC 7932).
+_STORED = bytes.fromhex("1f8b08000000000000ff" "010300fcff616263" "c2412435" "03000000")
+_fixed("gunzip_vectors", [(_STORED, "abc"), (_STORED + _STORED, "abcabc"), (bytes.fromhex("1f8b08080000000000ff612e747874000300" + "00000000" + "00000000"), "")], lambda c: M.gunzip(c).cast("string"))
+_fixed("zstd_vectors", [(bytes.fromhex("28b52ffd2003190000616263"), "abc"), (bytes.fromhex("28b52ffd2005" + "2b0000" + "7a"), "zzzzz"), (bytes.fromhex("28b52ffd2000010000"), "")], lambda c: M.zstd_decompress(c).cast("string"))
+_fixed("brotli_vectors", [(bytes.fromhex("0b018061626303"), "abc"), (bytes.fromhex("06"), "")], lambda c: M.brotli_decompress(c).cast("string"))
 
 # -- strings
 _each("lowercase", *_docs, lambda c: M.lowercase(c), "lower(text)")
 _each("uppercase", "part", "p_partkey", "p_name", lambda c: M.uppercase(c), "upper(p_name)")
-_each("uppercase_documents", *_docs, lambda c: M.uppercase(c))
-_each("trim", *_docs, lambda c: M.trim(F.concat(F.lit("  "), c, F.lit(" "))), "trim(text)")
+_each("uppercase_documents", *_docs, lambda c: M.uppercase(c), "upper(replace(replace(text, 'ß', 'SS'), 'ŉ', 'ʼN'))")
+_each("trim", *_docs, lambda c: M.trim(F.concat(F.lit(" \t\u00a0\u2003\n"), c, F.lit("\u3000\r \u2028"))), "trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(8195) || chr(12288) || chr(8232))")
 _each("normalize_nfc", *_docs, lambda c: M.normalize(c, "NFC"), "nfc_normalize(text)")
-for _form in ("NFD", "NFKC", "NFKD"):
-    _each(f"normalize_{_form.lower()}", *_docs, lambda c, form=_form: M.normalize(c, form))
+for _form, _sql in (("NFD", sql.decomposed("text")), ("NFKC", f"nfc_normalize({sql.decomposed('text', True)})"), ("NFKD", sql.decomposed("text", True))):
+    _each(f"normalize_{_form.lower()}", *_docs, lambda c, form=_form: M.normalize(c, form), _sql)
 _each("byte_len", *_docs, lambda c: M.byte_len(c), "CAST(strlen(text) AS INTEGER)")
 
 # -- JSON, CSV, JSON lines
-_each("json_validate", "events", "event_id", "props", lambda c: M.json_validate(c), "json_valid(props)")
+#: Every third text is broken, in three ways.
+_broken = lambda c: F.when(F.col("event_id") % 9 == 0, F.replace(c, F.lit("}"), F.lit(""))).when(F.col("event_id") % 9 == 3, F.concat(c, F.lit(","))).when(F.col("event_id") % 9 == 6, F.replace(c, F.lit('"'), F.lit("'"))).otherwise(c)
+_each(
+    "json_validate", "events", "event_id", "props", lambda c: M.json_validate(_broken(c)),
+    "json_valid(CASE event_id % 9 WHEN 0 THEN replace(props, '}', '') WHEN 3 THEN props || ',' WHEN 6 THEN replace(props, chr(34), chr(39)) ELSE props END)",
+)
 _each("json_pluck", "events", "event_id", "props", lambda c: M.json_pluck(c, "k"), "json_extract_string(props, '$.k')")
 _chain("json_pluck_stage", "events", "event_id", "props", lambda: pipeline().json_pluck("k"), "json_extract_string(props, '$.k')")
 
@@ -148,7 +184,14 @@ _each("multi_replace", *_docs, lambda c: M.multi_replace(c, _WORDS, "#"), "regex
 _each(
     "multi_replace_each", "part", "p_partkey", "p_name", lambda c: M.multi_replace(c, ["a", "e"], ["1", "2"]), "replace(replace(p_name, 'a', '1'), 'e', '2')"
 )
-_each("multi_find", *_docs, lambda c: M.multi_find(c, _WORDS, case_insensitive=True))
+#: More words than a native alternation takes: these go through the automaton.
+_MANY = [*_WORDS, *(f"{a}{b}" for a in "abcdefgilmnoprstu" for b in "eaiou")]
+_each("multi_replace_many", *_docs, lambda c: M.multi_replace(c, _MANY, "#"), f"regexp_replace(text, '{'|'.join(sorted(_MANY, key=len, reverse=True))}', '#', 'g')")
+_fixed(
+    "multi_replace_vectors", [("xabcdx", "x2x"), ("ababcd", "12"), ("ABCD", "ABCD"), ("hello xhello", "5 x5"), ("xhe", "x4"), ("", "")],
+    lambda c: M.multi_replace(c, ["ab", "abcd", "bc", "he", "hello"], ["1", "2", "3", "4", "5"]),
+)
+_each("multi_find", *_docs, lambda c: M.multi_find(c, _WORDS, case_insensitive=True), sql.matches("text", _WORDS, True))
 _each("multi_find_count", *_docs, lambda c: F.size(M.json_list(M.multi_find(c, _WORDS), "struct<p:int,s:int,e:int>")), "CAST(len(regexp_extract_all(text, 'over|the|and|er')) AS INTEGER)")
 _MAIL = r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}"
 _each("regex_test", *_docs, lambda c: M.regex_test(c, _MAIL), f"regexp_matches(text, '{_MAIL}')")
@@ -185,6 +228,26 @@ _each("markdown_to_html", *_docs, lambda c: M.markdown_to_html(c))
 _each("markdown_to_html_all", *_docs, lambda c: M.markdown_to_html(c, footnotes=True, smart_punct=True, unsafe=True))
 _each("markdown_heading", "nation", "n_nationkey", "n_name", lambda c: M.markdown_to_html(F.concat(F.lit("# *"), c, F.lit("*"))), "'<h1><em>' || n_name || '</em></h1>' || chr(10)")
 
+_fixed(
+    "sanitize_vectors",
+    [('<b>k</b><script>x()</script><i onclick="y()">z</i><style>p{}</style>', "<b>k</b><i>z</i>"), ('<a href="https://e.org" target=_top>x</a>', '<a href="https://e.org" rel="noopener noreferrer">x</a>'),
+     ('<a href="javascript:alert(1)">y</a>', '<a rel="noopener noreferrer">y</a>'), ("a<!-- s -->b", "ab"), ("<form><p lang=de title=t class=c>q</p></form>", '<p lang="de" title="t">q</p>'), ("1 < 2 & 3", "1 &lt; 2 &amp; 3")],
+    lambda c: M.sanitize_html(c),
+)
+_fixed(
+    "html_to_text_vectors", [("<h2>T</h2><p>Some <b>bold</b> text<p>next", "## T\n\nSome **bold** text\n\nnext\n"), ("<blockquote>q</blockquote>", "> q\n"), ("<ul><li>a<li>b</ul>", "* a\n* b\n"), ("", "")],
+    lambda c: M.html_to_text(c, 60),
+)
+#: Examples of the CommonMark and GFM specifications.
+_fixed(
+    "markdown_vectors",
+    [("# foo", "<h1>foo</h1>\n"), ("Foo *bar*\n=========", "<h1>Foo <em>bar</em></h1>\n"), ("- foo\n***\n- bar", "<ul>\n<li>foo</li>\n</ul>\n<hr />\n<ul>\n<li>bar</li>\n</ul>\n"),
+     ("> bar\nbaz\n> foo", "<blockquote>\n<p>bar\nbaz\nfoo</p>\n</blockquote>\n"), ("*foo**bar**baz*", "<p><em>foo<strong>bar</strong>baz</em></p>\n"), ("[foo [bar](/uri)](/uri)", '<p>[foo <a href="/uri">bar</a>](/uri)</p>\n'),
+     ("``foo`bar``", "<p><code>foo`bar</code></p>\n"), ("[foo]: /url 'title'\n\n[foo]", '<p><a href="/url" title="title">foo</a></p>\n'), ("    a simple\n      indented code block", "<pre><code>a simple\n  indented code block\n</code></pre>\n"),
+     ("- a\n- b\n\n- c", "<ul>\n<li>\n<p>a</p>\n</li>\n<li>\n<p>b</p>\n</li>\n<li>\n<p>c</p>\n</li>\n</ul>\n"), ("~~Hi~~ Hello, ~there~ world!", "<p><del>Hi</del> Hello, <del>there</del> world!</p>\n"), ("foo&nbsp;bar\\*", "<p>foo\u00a0bar*</p>\n")],
+    lambda c: M.markdown_to_html(c),
+)
+
 # -- tokens
 _each("count_tokens", *_docs, lambda c: M.count_tokens(c, ENCODING))
 _each("truncate_tokens", *_docs, lambda c: M.truncate_tokens(c, ENCODING, 64))
@@ -209,7 +272,7 @@ def _pair(name: str, make: Callable[[], Column], sql: str | None) -> None:
 _pair("levenshtein", lambda: M.levenshtein("a", "b"), "CAST(levenshtein(a.p_name, b.p_name) AS INTEGER)")
 _pair("similarity_jaro", lambda: F.round(M.similarity("a", "b", "jaro"), 9), "round(jaro_similarity(a.p_name, b.p_name), 9)")
 _pair("similarity_jaro_winkler", lambda: F.round(M.similarity("a", "b", "jaroWinkler"), 9), "round(jaro_winkler_similarity(a.p_name, b.p_name), 9)")
-_pair("similarity_sorensen_dice", lambda: M.similarity("a", "b", "sorensenDice"), None)
+_pair("similarity_sorensen_dice", lambda: F.round(M.similarity("a", "b", "sorensenDice"), 9), f"round({sql.dice('a.p_name', 'b.p_name')}, 9)")
 _pair(
     "similarity_normalized_levenshtein", lambda: F.round(M.similarity("a", "b", "normalizedLevenshtein"), 9), "round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 9)"
 )
@@ -227,24 +290,43 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", M.diff("a", "b", 3).alias("value"))
 
 
+_DIFFS = [
+    ("a\nb\nc\n", "a\nB\nc\n", "@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n"), ("same\n", "same\n", ""), ("", "x\n", "@@ -0,0 +1 @@\n+x\n"),
+    ("x", "x\n", "@@ -1 +1 @@\n-x\n\\ No newline at end of file\n+x\n"), ("1\n2\n3\n4\n5\n6\n7\n8\n", "1\n2\n3\n4\n5\n6\n7\n", "@@ -5,4 +5,3 @@\n 5\n 6\n 7\n-8\n"),
+]
+
+
+@query("diff_vectors", sql.values([(i, r[2]) for i, r in enumerate(_DIFFS)], "i", "value"))
+def diff_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_DIFFS)], "i int, a string, b string").select("i", M.diff("a", "b", 3).alias("value"))
+
+
 # -- sorts: the rank in the total order
 
 
 def _ranked(df: DataFrame, key: Column, *cols: str) -> DataFrame:
-    """Rank of each value in the order of key: counts of distinct keys are summed up, so that no task holds the table."""
+    """Rank of each value in the order of key, nulls last: counts of distinct keys are summed up, so that no task holds the table."""
     own = df.select(*cols, key.alias("k"))
+    order = F.col("k").asc_nulls_last()
     counts = own.groupBy("k").agg(F.count("*").alias("n"))
-    spread = counts.repartitionByRange("k").sortWithinPartitions("k").select("k", "n", F.spark_partition_id().alias("p"))
+    spread = counts.repartitionByRange(order).select("k", "n", F.spark_partition_id().alias("p"))
     per = spread.groupBy("p").agg(F.sum("n").alias("t"))
     base = per.select("p", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = spread.withColumn("below", within).join(base, "p").select("k", (F.col("base") + F.col("below") + 1).alias("rank"))
-    return own.join(ranks, "k").select(*cols, "rank")
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = spread.withColumn("below", within).join(base, "p").select(F.col("k").alias("own"), (F.col("base") + F.col("below") + 1).alias("rank"))
+    return own.join(ranks, F.col("k").eqNullSafe(F.col("own"))).select(*cols, "rank")
 
 
-@query("sort_numbers", "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) AS rank FROM orders")
+@query(
+    "sort_numbers",
+    """SELECT o_orderkey, rank() OVER (ORDER BY CASE o_orderkey % 40 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN -o_totalprice WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN 'inf'::DOUBLE WHEN 4 THEN -0.0 ELSE o_totalprice END) AS rank
+       FROM orders""",
+)
 def sort_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(_table(spark, sf_dir, "orders"), M.number_key("o_totalprice"), "o_orderkey")
+    """Prices, and among them negative ones, both infinities, negative zeros and NaN."""
+    odd = F.when(F.col("o_orderkey") % 40 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 40 == 1, -F.col("o_totalprice")).when(F.col("o_orderkey") % 40 == 2, F.lit(float("-inf")))
+    odd = odd.when(F.col("o_orderkey") % 40 == 3, F.lit(float("inf"))).when(F.col("o_orderkey") % 40 == 4, F.lit(-0.0)).otherwise(F.col("o_totalprice"))
+    return _ranked(_table(spark, sf_dir, "orders").withColumn("number", odd), M.number_key("number"), "o_orderkey")
 
 
 @query("sort_strings", "SELECT doc_id, rank() OVER (ORDER BY text) AS rank FROM documents")
@@ -255,11 +337,74 @@ def sort_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sources, terminals, modes
 
 
-@query("count_settled", "SELECT count(*) FILTER (regexp_matches(text, '[0-9]')) AS n FROM documents")
+def _items(spark: SparkSession, sf_dir: str, table: str, key: str, col: str) -> DataFrame:
+    """A table as a source of items, each with its key as its index."""
+    return _table(spark, sf_dir, table).select(F.col(key).cast("bigint").alias("item_index"), F.col(col).alias("value"))
+
+
+_documents_with_digits = "SELECT count(*) FILTER (regexp_matches(text, '[0-9]')) AS n FROM documents"
+
+
+@query("count_settled", _documents_with_digits)
 def count_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The count terminal in settled mode, as a DataFrame."""
-    df = pipeline().regex_extract("[0-9]").settled().to_df(_table(spark, sf_dir, "documents").select(F.col("text").alias("value")))
-    return df.agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n"))
+    """The count terminal in settled mode: the items that succeed."""
+    return spark.createDataFrame([(pipeline().regex_extract("[0-9]").settled().count(_items(spark, sf_dir, *_docs), spark),)], "n bigint")
+
+
+@query("raw_count", _documents_with_digits)
+def raw_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner of a plan as JSON text."""
+    plan = compile_plan(json.dumps({"stages": [{"op": "regexExtract", "pattern": "[0-9]"}], "mode": "settled", "terminal": {"kind": "count"}}), "str")
+    return spark.createDataFrame([(run_count(plan, _items(spark, sf_dir, *_docs), spark),)], "n bigint")
+
+
+_UPPER_NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS item_index, upper(n_name) AS value FROM nation"
+
+
+@query("run_collect", _UPPER_NATIONS)
+def run_collect_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collecting terminal: values in the order of the items."""
+    items = _items(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    keys = [r[0] for r in items.select("item_index").orderBy("item_index").collect()]
+    return spark.createDataFrame(list(zip(keys, pipeline().uppercase().run(items, spark))), "item_index bigint, value string")
+
+
+@query("raw_collect", _UPPER_NATIONS)
+def raw_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    keys = [r[0] for r in items.select("item_index").orderBy("item_index").collect()]
+    return spark.createDataFrame(list(zip(keys, run_collect(compile_plan('{"stages": [{"op": "uppercase"}]}', "str"), items, spark))), "item_index bigint, value string")
+
+
+@query("run_settled", "SELECT n_name LIKE '%AN%' AS ok, count(*) AS n FROM nation GROUP BY 1")
+def run_settled_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = compile_plan('{"stages": [{"op": "regexExtract", "pattern": "AN"}], "mode": "settled"}', "str")
+    got = run_settled(plan, _items(spark, sf_dir, "nation", "n_nationkey", "n_name"), spark)
+    return spark.createDataFrame([(r["ok"],) for r in got], "ok boolean").groupBy("ok").agg(F.count("*").alias("n"))
+
+
+@query("stream_items", _UPPER_NATIONS)
+def stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming terminal: items as their partitions are done."""
+    items = _items(spark, sf_dir, "nation", "n_nationkey", "n_name").repartition(4)
+    return spark.createDataFrame([(r["index"], r["value"]) for r in pipeline().uppercase().stream(items, spark)], "item_index bigint, value string")
+
+
+@query("write_files", "SELECT doc_id, sha256(lower(text)) AS value FROM documents")
+def write_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document, read again and hashed."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    folder = tempfile.mkdtemp(prefix="written-", dir=None if shared is None else shared.removeprefix("file://"))
+    paths = pipeline().lowercase().write_files(_items(spark, sf_dir, *_docs), folder, ".txt", spark)
+    names = spark.createDataFrame([(i, int(p.rpartition("/")[2].removesuffix(".txt"))) for i, p in enumerate(paths)], "item_index bigint, doc_id bigint")
+    return pipeline().sha256_hex().settled().to_df(files(paths), spark).join(names, "item_index").select("doc_id", "value")
+
+
+@query("levenshtein_list", "SELECT n_nationkey, CAST(levenshtein(n_name, 'FRANCE') AS INTEGER) AS value FROM nation")
+def levenshtein_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch call over two lists."""
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()
+    return spark.createDataFrame(list(zip([r[0] for r in rows], batch("levenshtein", [r[1] for r in rows], ["FRANCE"] * len(rows), spark=spark))), "n_nationkey int, value int")
 
 
 @query("raw_plan", "SELECT doc_id, sha256(lower(text)) AS value FROM documents")
@@ -275,10 +420,13 @@ def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("glob_files")
 def glob_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables' own files by a glob, hashed: (item_index, value, error)."""
-    return pipeline().sha256_hex().settled().to_df(files({"glob": f"{sf_dir}/{{region,nation}}.parquet"}), spark).select("item_index", "value", "error")
+    return pipeline().sha256_hex().settled().to_df(files({"glob": f"{sf_dir}/**/*.parquet"}), spark).select("item_index", "value", "error")
+
+
+_TABLES = sorted("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 
-@query("expand_glob")
+@query("expand_glob", sql.values([(f"/{t}.parquet",) for t in _TABLES], "path"))
 def glob_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p[len(sf_dir) :],) for p in expand_glob([f"{sf_dir}/*.parquet"])], "path string")
 

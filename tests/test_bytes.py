@@ -138,3 +138,16 @@ def test_crc32c_by_blocks_equals_bytes(data, more):
     for b in data:
         crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
     assert hashing.crc32c_value(data) == crc ^ 0xFFFFFFFF
+
+
+def test_native_xxh64_is_the_seedless_one(spark):
+    import random
+
+    r = random.Random(4)
+    items = [bytes(r.randrange(256) for _ in range(n)) for n in [*range(70), 1000, 4097]]
+    assert batch("xxh64Hex", items, spark=spark) == [xxhash.xxh64_hexdigest(b, 0) for b in items]
+    from millrace import functions as M
+
+    texts = ["", "é", "x" * 99]
+    df = spark.createDataFrame([(None,), *((t,) for t in texts)], "t string")
+    assert {r[0] for r in df.select(M.xxh64_hex("t")).collect()} == {None, *(xxhash.xxh64_hexdigest(t.encode(), 0) for t in texts)}

@@ -183,3 +183,17 @@ def test_threads(spark):
     for bad in (0, 1025, 1.5):
         with pytest.raises(InvalidArg):
             configure_threads(bad)
+
+
+def test_stream_gives_items_as_they_are_done(spark):
+    """The first partition is slow: the items of the others are there before it."""
+    from pyspark.sql import functions as F
+
+    slow = F.udf(lambda i: __import__("time").sleep(4) or "slow" if i < 10 else "quick", "string")
+    df = spark.range(0, 40, 1, 4).select(F.col("id").alias("item_index"), slow(F.col("id")).alias("value"))
+    df = df.where("item_index = 0 or item_index >= 10")
+    got = list(pipeline().uppercase().stream(df, spark))
+    assert {g["index"] for g in got} == {0, *range(10, 40)} and got[-1] == {"index": 0, "value": "SLOW"}
+    some = pipeline().uppercase().stream(spark.range(8).select(F.col("id").alias("item_index"), F.lit("x").alias("value")), spark)
+    assert next(some)["value"] == "X"
+    some.close()

@@ -90,3 +90,23 @@ def test_foreign_constructs_are_refused(bad):
 @pytest.mark.parametrize("good", ["[(?=]", "\\(\\?=", "(?i)a", "(?:a)", "[+*]+", "a+?", "(?x: a )"])
 def test_lookalikes_are_not(good):
     assert isinstance(search.compiled(good), regex.Pattern)
+
+
+def test_native_alternation_and_automaton_agree(spark):
+    """Lists of 64 and of 65 patterns take different ways: the same matches come out, the longest at the leftmost place."""
+    import random
+
+    from millrace.functions import search
+
+    r = random.Random(6)
+    patterns = sorted({"".join(r.choices("abc", k=r.randint(1, 5))) for _ in range(400)})
+    r.shuffle(patterns)
+    texts = ["".join(r.choices("abcd ", k=200)) for _ in range(30)] + [""]
+    for n in (64, 65):
+        kernel = search.multi_replace(patterns[:n], "#")
+        assert (kernel.native is not None) == (n <= search.NATIVE_PATTERNS)
+        ordered = sorted(patterns[:n], key=len, reverse=True)
+        import re
+
+        want = [re.sub("|".join(ordered), "#", t) for t in texts]
+        assert [kernel.item(t) for t in texts] == want == batch("multiReplace", texts, patterns[:n], "#", spark=spark)

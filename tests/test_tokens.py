@@ -60,3 +60,19 @@ def test_a_named_encoding_is_never_stood_in_for(monkeypatch, tmp_path):
     monkeypatch.setenv(tokens.FOLDER_VARIABLE, str(tmp_path))
     with pytest.raises(InvalidArg, match="cl100k_base"):
         KERNELS["countTokens"]("cl100k_base")
+
+
+def test_windows_by_table_are_those_by_token_bytes():
+    import random
+
+    enc = tokens.encoder(ENC)
+    assert tokens.lengths(ENC).tolist() == [len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)]
+    r = random.Random(3)
+    for _ in range(40):
+        t = "".join(r.choices(["word ", "é", "日本", "👩‍👩‍👧", "\n", "12", " x"], k=r.randint(0, 60)))
+        ids = enc.encode_ordinary(t)
+        assert tokens._ids(ENC, t).tolist() == ids
+        for most in (1, 3, 7):
+            cut = b"".join(enc.decode_tokens_bytes(ids[:most])).decode("utf-8", "ignore") if len(ids) > most else t
+            assert tokens.truncate_tokens(ENC, most).item(t) == cut
+            assert "".join(tokens.chunks(t, ENC, most, 0)) == t
