@@ -93,14 +93,16 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def bounded_rows(df: DataFrame, key: str | tuple[str, ...], by: str, most: int, seed: int = 0) -> DataFrame:
+def bounded_rows(df: DataFrame, key: str | tuple[str, ...], by: str, most: int, seed: int = 0, classes: int = 500) -> DataFrame:
     """About ``most`` rows of each value of ``by`` at any table size (never above twice that, but for chance).
 
     One narrow pass counts each value; a second keeps rows whose hash of ``key`` falls under
     the share wanted, so that what reaches the driver is bounded whatever the size of df. Rows of equal
-    keys (one column or several) are kept or left together.
+    keys (one column or several) are kept or left together. Of more values than ``classes`` those of the most rows
+    are taken (ties: the smaller value), so that neither the counts nor the sample grow with stray values.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.col("count").desc(), by).limit(classes)
+    counts = {r[0]: r[1] for r in counts.collect()}
     if not counts:
         return df.limit(0)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * most / n))])

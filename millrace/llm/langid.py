@@ -27,6 +27,8 @@ from .common import bounded_rows, code_points, released, segment_sums, slices
 ORDER = 4
 #: Labelled texts of each language that are fitted on, at most about this many.
 TRAIN_PER_LANGUAGE = 400
+#: Languages that have a model; of more, those of the most labelled rows.
+MOST_LANGUAGES = 200
 #: Share of held-out texts left out at either side when a limit is calibrated.
 FALSE_REJECTION = 0.001
 SLICE_BYTES = 1 << 20
@@ -217,7 +219,7 @@ class LanguageModels:
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, order: int = ORDER) -> LanguageModels:
     """Models from a bounded sample of the rows whose ``lang`` is known; whole texts."""
     known = docs.select(F.col("doc_id").alias("k"), F.col("lang").alias("l"), F.col("text").alias("t")).where("l is not null and t is not null")
-    rows = bounded_rows(known, ("k", "t"), "l", per_language).toPandas()
+    rows = bounded_rows(known, ("k", "t"), "l", per_language, classes=MOST_LANGUAGES).toPandas()
     texts = {name: part.sort_values(["k", "t"])["t"].tolist() for name, part in rows.groupby("l")}
     return LanguageModels(texts, order)
 
@@ -254,7 +256,8 @@ def identify(docs: DataFrame, models: LanguageModels | None = None) -> DataFrame
 
     Null, empty and letterless texts have no language: predicted_lang and cross_entropy are null
     and accepted is false. Letters are those of all planes, with the marks that go with them. The same text always gets the same answer, so repeated rows agree; a tie
-    between languages goes to the first name. Without labelled rows every text is rejected. Other
+    between languages goes to the first name. Of more labels than MOST_LANGUAGES those of the most rows have
+    models, and the texts of the others are judged by these. Without labelled rows every text is rejected. Other
     columns of docs are ignored, whatever their names; an empty table gives an empty result.
     """
     models = models or fit(docs)

@@ -1,12 +1,17 @@
 """The pipeline, and the corpus queries through the entry module."""
 
+import base64
+import hashlib
 import random
 import re
 from pathlib import Path
 
 import pytest
+import tiktoken
 from helpers import DOCS_DDL, documents
-from test_quality import bad, good
+from test_langid import plain_decisions
+from test_neardup import brute_groups
+from test_quality import bad, brute_probability, good
 
 import __spark_entry__
 import corpus_pipeline
@@ -59,6 +64,41 @@ def test_run_equals_the_operators_one_by_one(spark, sf_dir):
     assert len({d for d, *_ in left(three)} & set(range(240))) >= 170
 
 
+def test_run_equals_a_version_by_plain_loops(spark, sf_dir):
+    """Every stage by loops over rows in memory; of the operators only the fitted quality model is taken over."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    rows = [r for r in rows if r[1] and r[1].split() and brute_probability(model, r[1]) >= quality.KEEP_FROM]
+    decided = plain_decisions([r[:3] for r in rows if r[2]], {r[1] for r in rows})
+    rows = [r for r in rows if decided[r[1]][2]]
+    groups = defaultdict(list)
+    for root, r in zip(brute_groups(rows, 0.5), rows):
+        groups[root].append(r)
+    rows = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
+    key = lambda r: hashlib.md5(f"{mixing.SEED}|{'' if r[0] is None else r[0]}|{r[1]}".encode()).hexdigest()
+    size = lambda r: len(re.findall("[^ \t\n\r]+", r[1]))
+    paced = []
+    for s in {r[3] or "" for r in rows}:
+        spent = 0
+        for r in sorted((r for r in rows if (r[3] or "") == s), key=key):
+            spent += size(r)
+            paced.append((spent / mixing.TARGET_WEIGHTS.get(s, mixing.DEFAULT_WEIGHT), s, key(r), r))
+    budget, spent, want = int(sum(map(size, rows)) * mixing.BUDGET_SHARE), 0, []
+    for *_, r in sorted(paced, key=lambda p: p[:3]):
+        spent += size(r)
+        if spent > budget:
+            break
+        want.append(r)
+    with open(bpe.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("plain", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = [(r["doc_id"], r["text"], r["source"], list(r["token_ids"])) for r in corpus_pipeline.run(spark, sf_dir).collect()]
+    assert len(want) > 50 and sorted(got, key=repr) == sorted(((r[0], r[1], r[3], enc.encode_ordinary(r[1])) for r in want), key=repr)
+
+
 def test_stages_return_the_columns_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "mixing", "bpe"]

@@ -1,4 +1,8 @@
+import functools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +55,89 @@ def plain_probability(texts, gram, order, alphabet):
     return p(gram)
 
 
+def plain_model(texts, order, alphabet):
+    """The same over texts that are led by a space, as a function of grams that remembers."""
+    counts = {order: Counter(g for t in texts for g in plain_grams(t, order))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    once = {n: Counter(c.values()) for n, c in counts.items()}
+    discount = {n: c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5 for n, c in once.items()}
+    total, fan = {n: Counter() for n in counts}, {n: Counter() for n in counts}
+    for n, cs in counts.items():
+        for g, c in cs.items():
+            total[n][g[:-1]] += c
+            fan[n][g[:-1]] += 1
+    alphabet = max(alphabet, len(counts[1])) + 1
+
+    @functools.cache
+    def p(g):
+        n, d = len(g), discount[len(g)]
+        if n == 1:
+            return max(counts[1][g] - d, 0) / total[1][""] + d * len(counts[1]) / total[1][""] / alphabet
+        if not fan[n][g[:-1]]:
+            return p(g[1:])
+        return (max(counts[n][g] - d, 0) + d * fan[n][g[:-1]] * p(g[1:])) / total[n][g[:-1]]
+
+    return p
+
+
+def plain_symbols(t):
+    return re.sub(" +", " ", " " + "".join(c.lower() if c.isalpha() else " " for c in t))
+
+
+def plain_grams(t, order):
+    padded = " " * (order - 1) + plain_symbols(t)
+    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+
+
+def plain_decisions(labelled, texts):
+    """{text: (language, bits, accepted)} by loops: labelled rows (id, text, language) that are all fitted on."""
+    own = {lang: [t for _, t, k in sorted((r for r in labelled if r[1] and r[2] == lang), key=lambda r: (r[0] is None, r[0], r[1]))] for lang in sorted({r[2] for r in labelled})}
+    held = {k: v[::5] if len(v) >= 10 else v for k, v in own.items()}
+    fit = {k: [t for i, t in enumerate(v) if i % 5] if len(v) >= 10 else v for k, v in own.items()}
+    order = langid.ORDER
+    alphabet = len({c for v in fit.values() for t in v for c in plain_symbols(t)})
+    models = {k: plain_model(v, order, alphabet) for k, v in fit.items()}
+    letters = lambda t: sum(c != " " for c in plain_symbols(t))
+    bits = lambda t, k: -sum(math.log2(models[k](g)) for g in plain_grams(t, order)) / len(plain_symbols(t))
+    limit, spread = {}, {}
+    for k in own:
+        h, n = np.array([bits(t, k) for t in held[k]]), np.array([letters(t) for t in held[k]])
+        mean = sum(h * np.sqrt(n)) / sum(np.sqrt(n))
+        spread[k] = math.sqrt(np.mean((h - mean) ** 2 * n))
+        most = max(np.quantile(h - 3 * spread[k] / np.sqrt(n), 1 - langid.FALSE_REJECTION), mean)
+        others = [bits(t, k) for j in own if j != k for t in held[j]]
+        least = np.quantile(others, langid.FALSE_REJECTION) if others else 0.0
+        limit[k] = (most + least) / 2 if least > most else 1.5 * most
+    out = {}
+    for t in texts:
+        if not t or not letters(t):
+            out[t] = (None, None, False)
+            continue
+        k = min(own, key=lambda k: (bits(t, k), k))
+        out[t] = (k, bits(t, k), bits(t, k) <= limit[k] + 3 * spread[k] / math.sqrt(letters(t)))
+    return out
+
+
+def test_the_whole_result_is_that_of_plain_loops(spark):
+    """Fitting, limits, entropies, languages and decisions of a small table."""
+    labelled = [(i, text(lang, 4 + i % 9, i), lang) for i, lang in enumerate([*WORDS] * 14)] + [(100 + i, text("aa", 6, 500 + i), "dd") for i in range(4)]
+    others = [(200 + i, t, None) for i, t in enumerate(["tolo wecht", "zzqj qjzz", "", "12 %", "XIZÉ, ïxé!", "mekx salq tomi", text("bb", 300, 1)])]
+    want = plain_decisions(labelled, {t for _, t, _ in labelled + others})
+    got = langid.identify(frame(spark, labelled + others)).collect()
+    assert len(got) == len(labelled) + len(others)
+    for r, (_, t, _) in zip(sorted(got, key=lambda r: r["doc_id"]), sorted(labelled + others)):
+        k, bits, ok = want[t]
+        assert r["predicted_lang"] == k and (bits is None) == (r["cross_entropy"] is None) and r["accepted"] == ok, t
+        assert bits is None or r["cross_entropy"] == pytest.approx(bits, rel=1e-4)
+
+
+def test_stray_labels_do_not_grow_the_sample(spark):
+    rows = [(i, text("aa", 9, i), "aa") for i in range(30)] + [(100 + i, text("bb", 9, i), f"stray{i}") for i in range(60)]
+    sample = langid.bounded_rows(frame(spark, rows), "doc_id", "lang", 50, classes=3).groupBy("lang").count().collect()
+    assert {(r["lang"], r["count"]) for r in sample} == {("aa", 30), ("stray0", 1), ("stray1", 1)}
+
+
 def test_probabilities_are_those_of_the_definition():
     texts = [text("aa", 12, i) for i in range(4)]
     model = langid.KneserNey(langid.grams(*langid.symbols(texts), 3), 3)
