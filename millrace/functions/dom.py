@@ -2,7 +2,8 @@
 
 Covered: implied html, head, body and tbody; void, raw-text and escapable raw-text elements; implied
 ends of p, li, dt, dd, option and table parts; formatting elements left open are taken up again in the next block
-(misnested ends close up to their start). Not covered: foster parenting, foreign content, template contents.
+(misnested ends close up to their start); what a table cannot hold goes before it; self-closing tags count inside svg
+and math, and HTML blocks end these. Not covered: template contents.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ CLOSES_P = frozenset(
     "li main menu nav ol p plaintext pre search section summary table ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold rows and cells alone, and what may begin in them.
+_ROWS = frozenset("table tbody thead tfoot tr".split())
+_IN_ROWS = frozenset("caption colgroup col tbody thead tfoot tr td th form script style template".split())
+_FOREIGN = ("svg", "math")
+#: HTML that ends an svg or math element it begins in.
+_BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup "
+    "table tt u ul var".split()
+)
 _SCOPE = frozenset("applet caption html table td th marquee object template".split())
 # every repetition is possessive: what a tag has taken is never given back, so that a tag without an end fails in one pass
 _TOKEN = re.compile(
@@ -147,9 +157,24 @@ class _Builder:
             self.html.add(self.body)
             self.stack = _Stack([self.root, self.html, self.body])
 
+    def place(self, child: Element | str) -> None:
+        """Add a node where it belongs: before the table, if the innermost open element holds rows and cells alone."""
+        top = self.stack[-1]
+        if top.tag in _ROWS and (isinstance(child, str) or child.tag not in _IN_ROWS) and (k := self.find({"table"}, {"html"})) > 0:
+            table = self.stack[k]
+            above = table.parent or self.stack[k - 1]
+            at = len(above.children) - 1
+            while at > 0 and above.children[at] is not table:
+                at -= 1
+            if not isinstance(child, str):
+                child.parent = above
+            above.children.insert(max(at, 0), child)
+        else:
+            top.add(child)
+
     def open(self, tag: str, attrs: dict[str, str]) -> Element:
         e = Element(tag, attrs)
-        self.stack[-1].add(e)
+        self.place(e)
         self.stack.append(e)
         return e
 
@@ -195,7 +220,7 @@ class _Builder:
             self.stack[-1].add(s)
             return
         self.take_up()
-        self.stack[-1].add(s)
+        self.place(s)
 
     def raw(self, tag: str, attrs: dict[str, str], s: str) -> None:
         if self.body is None and (tag in HEAD or tag == "title"):
@@ -207,7 +232,16 @@ class _Builder:
             e.add(s)
         self.stack[-1].add(e)
 
-    def start(self, tag: str, attrs: dict[str, str]) -> None:
+    def start(self, tag: str, attrs: dict[str, str], closed: bool = False) -> None:
+        if any(self.stack.count[t] for t in _FOREIGN):
+            k = max(self.find({t}, {"html"}) for t in _FOREIGN)
+            if not any(e.tag in ("foreignobject", "desc", "title") for e in self.stack[k + 1 :]):
+                if tag not in _BREAKS_OUT:
+                    self.open(tag, attrs)
+                    if closed:
+                        self.stack.pop()
+                    return
+                self.pop_to(k)
         if tag == "html":
             self._html()
             if not self.fragment:
@@ -258,7 +292,7 @@ class _Builder:
         if tag not in CLOSES_P and tag not in ("tr", "tbody", "thead", "tfoot", "td", "th"):
             self.take_up()
         self.open(tag, attrs)
-        if tag in VOID:
+        if tag in VOID or (closed and tag in _FOREIGN):
             self.stack.pop()
 
     def _table(self, tag: str) -> None:
@@ -310,6 +344,10 @@ class _Builder:
                 else:
                     self._part(own, k)
             return
+        if tag in _ROWS:  # these end a cell that is open in them
+            if (k := self.find({tag}, {"html", "table"} - {tag})) > 0:
+                self.pop_to(k)
+            return
         tags = _HEADINGS if tag in _HEADINGS else {tag}
         if (k := self.find(tags, _SCOPE - {tag})) > 0:
             self.pop_to(k)
@@ -360,7 +398,7 @@ def parse(source: str, fragment: bool = False) -> Element:
                     inner = inner[1:]
                 b.raw(tag, attrs, unescape(inner) if tag in ESCAPABLE else inner)
             else:
-                b.start(tag, attrs)
+                b.start(tag, attrs, m["attrs"].endswith("/"))
                 eat_newline = tag in ("pre", "listing")
                 continue
         elif m["end"] is not None:

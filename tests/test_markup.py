@@ -27,6 +27,12 @@ def extract(selector, what="text", **options):
         ("a<br/>b<img src=x>c</br>", '<html><head></head><body>a<br>b<img src="x">c<br></body></html>'),
         ("<p>a < b &lt; &copy; &#233; &nope;", "<html><head></head><body><p>a &lt; b &lt; © é &amp;nope;</p></body></html>"),
         ("<dl><dt>a<dd>b<dt>c</dl></p>", "<html><head></head><body><dl><dt>a</dt><dd>b</dd><dt>c</dt></dl><p></p></body></html>"),
+        ("<table>x<tr><b>y</b><td>1", "<html><head></head><body>x<b>y</b><table><tbody><tr><td>1</td></tr></tbody></table></body></html>"),
+        ("<p><table><tr><td>1</table>z", "<html><head></head><body><p></p><table><tbody><tr><td>1</td></tr></tbody></table>z</body></html>"),
+        ("<svg><path d=m /><g><circle/></g></svg><p>a", '<html><head></head><body><svg><path d="m"></path><g><circle></circle></g></svg><p>a</p></body></html>'),
+        ("<svg><g><div>x</div>y", "<html><head></head><body><svg><g></g></svg><div>x</div>y</body></html>"),
+        ("<svg><foreignObject><p>x</p></foreignObject></svg>z", "<html><head></head><body><svg><foreignobject><p>x</p></foreignobject></svg>z</body></html>"),
+        ("<a href=x/>l</a><br/>", '<html><head></head><body><a href="x/">l</a><br></body></html>'),
         ("<h1>a<h2>b", "<html><head></head><body><h1>a</h1><h2>b</h2></body></html>"),
     ],
 )
