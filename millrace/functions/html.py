@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Mapping, Sequence
 
 from ..errors import Fault, InvalidArg
@@ -298,11 +299,15 @@ def html_to_text(width: int | None = None) -> Kernel:
     width = integer("htmlToText: width", 80 if width is None else width, 1, 1000, "htmlToText: width must be 1-1000")
 
     def run(s: str) -> str:
-        t = _Text()
+        t, limit = _Text(), sys.getrecursionlimit()
         try:
+            # three calls a level: some 30,000 levels, which take about as many kilobytes
+            sys.setrecursionlimit(max(limit, 100_000))
             lines = t.block(dom.parse(s), width)
         except RecursionError:
             raise Fault("nesting is too deep") from None
+        finally:
+            sys.setrecursionlimit(limit)
         if t.links:
             lines += ["", *(f"[{i}]: {href}" for i, href in enumerate(t.links, 1))]
         return "".join(line + "\n" for line in lines)

@@ -120,10 +120,11 @@ def run_count(plan: Compiled, source: Source, spark: SparkSession | None = None)
     return n["ok"]
 
 
-def run_write_files(plan: Compiled, source: Source, spark: SparkSession | None = None) -> list[str]:
-    """Item i at {dir}/{i}{ext} on a file system that all executors share; returns the paths written.
+def writing_frame(plan: Compiled, source: Source, spark: SparkSession | None = None) -> DataFrame:
+    """(item_index, path, error): a lazy frame whose rows are there once their files are. Nothing is gathered on the driver.
 
-    A file is written under another name first, so that a task may run twice.
+    Item i is written at {dir}/{i}{ext} on a file system that all executors share, under another name first, so that a
+    task may run twice.
     """
     if plan.terminal.get("kind") != "writeFiles":
         raise InvalidArg("runPipelineWriteFiles needs a plan whose terminal is writeFiles, with a dir")
@@ -150,8 +151,12 @@ def run_write_files(plan: Compiled, source: Source, spark: SparkSession | None =
                 out.append((i, path, error))
             yield pd.DataFrame(out, columns=["item_index", "path", "error"])
 
-    rows = settled_frame(source, plan, spark).select("item_index", "value", "error").mapInPandas(write, "item_index bigint, path string, error string").collect()
-    rows.sort(key=lambda r: r[0])
+    return settled_frame(source, plan, spark).select("item_index", "value", "error").mapInPandas(write, "item_index bigint, path string, error string")
+
+
+def run_write_files(plan: Compiled, source: Source, spark: SparkSession | None = None) -> list[str]:
+    """Write the items as :func:`writing_frame` says; the paths written, in the order of items."""
+    rows = sorted(writing_frame(plan, source, spark).collect(), key=lambda r: r[0])
     if plan.mode == "failFast":
         for r in rows:
             if r["error"] is not None:
@@ -241,12 +246,19 @@ class Pipeline:
     def count(self, source: Source, spark: SparkSession | None = None) -> int:
         return run_count(self._ready({"kind": "count"}), source, spark)
 
-    def write_files(self, source: Source, dir: str, ext: str = "", spark: SparkSession | None = None) -> list[str]:  # noqa: A002
+    def _writing(self, dir: str, ext: str) -> Compiled:  # noqa: A002
         if not isinstance(dir, str) or not dir:
             raise InvalidArg("writeFiles: dir must be a non-empty string")
         if not isinstance(ext, str):
             raise InvalidArg("writeFiles: ext must be a string")
-        return run_write_files(self._ready({"kind": "writeFiles", "dir": dir, "ext": ext}), source, spark)
+        return self._ready({"kind": "writeFiles", "dir": dir, "ext": ext})
+
+    def write_files(self, source: Source, dir: str, ext: str = "", spark: SparkSession | None = None) -> list[str]:  # noqa: A002
+        return run_write_files(self._writing(dir, ext), source, spark)
+
+    def written_files(self, source: Source, dir: str, ext: str = "", spark: SparkSession | None = None) -> DataFrame:  # noqa: A002
+        """write_files for more items than the driver can list: (item_index, path, error), written as it is read."""
+        return writing_frame(self._writing(dir, ext), source, spark)
 
     def stream(self, source: Source, spark: SparkSession | None = None) -> Iterator[dict]:
         return run_stream(self._ready(), source, spark)

@@ -6,6 +6,7 @@ import time
 import pytest
 
 from millrace import InvalidArg, ItemError, batch
+from millrace.errors import Fault
 from millrace.functions import KERNELS, dom, selectors
 
 PAGE = '<html><body><ul id="m"><li class="x y">One<li>Two</ul><p lang="en-GB">a <b>c</b></p><p>d</p><a href="https://a.io" data-k="v w">Go</a>'
@@ -113,6 +114,14 @@ def test_plain_text():
             KERNELS["htmlToText"](bad)
 
 
+def test_deeply_nested_pages():
+    n = 20_000
+    assert KERNELS["htmlToText"]().item("<div>" * n + "x") == "x\n"
+    assert clean("<div>" * n + "x").count("</div>") == n
+    with pytest.raises(Fault, match="too deep"):
+        KERNELS["htmlToText"]().item("<div>" * 60_000 + "x")
+
+
 def test_too_narrow_is_an_item_error(spark):
     with pytest.raises(ItemError, match="item 0: htmlToText"):
         batch("htmlToText", ["<ul><li>x</ul>"], 2, spark=spark)

@@ -197,3 +197,12 @@ def test_stream_gives_items_as_they_are_done(spark):
     some = pipeline().uppercase().stream(spark.range(8).select(F.col("id").alias("item_index"), F.lit("x").alias("value")), spark)
     assert next(some)["value"] == "X"
     some.close()
+
+
+def test_files_written_as_a_frame(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 6).select(F.col("id").alias("item_index"), F.when(F.col("id") != 4, F.concat(F.lit("n"), F.col("id"))).otherwise("x").alias("value"))
+    got = pipeline().regex_extract("n[0-9]").uppercase().settled().written_files(df, str(tmp_path / "out"), ".txt", spark).orderBy("item_index").collect()
+    assert [(r["item_index"], r["path"] is None, r["error"] is None) for r in got] == [(i, i == 4, i != 4) for i in range(6)]
+    assert [open(r["path"]).read() for r in got if r["path"]] == ["N0", "N1", "N2", "N3", "N5"]
