@@ -139,11 +139,10 @@ class UrlModel:
 def _with_suffix(pages: DataFrame) -> DataFrame:
     """(page_id, url, suffix, suffix_share): the share is counted over all rows that have a URL."""
     rows = pages.select("page_id", "url", F.when(F.col("url").rlike("\\S"), suffix_of(F.col("url"))).alias("suffix"))
-    counts = rows.where("suffix is not null").groupBy("suffix").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
     # written: its true size is known then, by which Spark broadcasts it or not; suffixes are few and hot
-    counts = written(counts.crossJoin(total).select("suffix", (F.col("n") / F.col("total")).alias("suffix_share")), "suffixes")
-    return rows.join(counts, "suffix", "left").select("page_id", "url", "suffix", "suffix_share")
+    counts = written(rows.where("suffix is not null").groupBy("suffix").agg(F.count("*").alias("n")), "suffixes")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return rows.join(counts, "suffix", "left").select("page_id", "url", "suffix", (F.col("n") / F.lit(total)).alias("suffix_share"))
 
 
 def _labels(labelled: DataFrame) -> DataFrame:
