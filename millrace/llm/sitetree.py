@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices, written
+from .common import Scratch, released, slices, written
 
 #: A branch is cut when no node in it is more important than this.
 THRESHOLD = 0.8
@@ -234,13 +234,13 @@ def _drawn(own: Column, evidence: float) -> Column:
     return 1 - (1 - own) * (F.col("m") - 1) / (F.col("m") - 1 + F.lit(evidence))
 
 
-def unimportant(counts: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA, evidence: float = EVIDENCE) -> DataFrame:
+def unimportant(counts: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA, evidence: float = EVIDENCE, scratch: Scratch | None = None) -> DataFrame:
     """(host, e): topmost elements below which, themselves included, nothing is important.
 
     counts has a row (host, p, e, x, kids, d, n) for each element at depth d and each of its styles (x with that many
     kids, -1 for none that counts) or contents (kids 0), which n pages have.
     """
-    n, m = F.col("n"), F.col("m")
+    n, m, written = F.col("n"), F.col("m"), (scratch or Scratch()).written
     # all that one page alone has is of importance 1: its styles are summed up with their element
     leaf, style, single = F.col("kids") == 0, F.col("kids") != 0, (F.col("kids") != 0) & (n == 1)
     element = counts.groupBy("host", "p", "e", "d").agg(
@@ -290,12 +290,14 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, evidence: float =
     host = host_of(F.col("url"))
     rows = pages.select("page_id", "url", "html", F.when(host.isNotNull(), F.xxhash64(host)).alias("host"), F.xxhash64("html").alias("content"))
     seen = rows.where("host is not null and html is not null")
-    copies = written(seen.groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    scratch = Scratch()  # tables that nothing reads any more once the branches to cut are written
+    copies = scratch.written(seen.groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     weight = 1 / F.coalesce(F.col("copies"), F.lit(1))
     node = seen.join(copies, ["host", "content"], "left").select("host", weight.alias("w"), F.explode(_nodes(F.col("html"))).alias("o")).select("host", "w", "o.*")
     # copies of a page have the same nodes, so that their weights add up to one
-    counts = written(node.groupBy("host", "p", "e", "x", "kids", "d").agg(F.round(F.sum("w")).cast("bigint").alias("n")), "nodes")
-    cut = written(unimportant(counts, threshold, evidence=evidence), "cuts")
+    counts = scratch.written(node.groupBy("host", "p", "e", "x", "kids", "d").agg(F.round(F.sum("w")).cast("bigint").alias("n")), "nodes")
+    cut = written(unimportant(counts, threshold, evidence=evidence, scratch=scratch), "cuts")
+    scratch.clear()
     if cut.count() <= most_sent:
         by_host: dict[int, set[int]] = {}
         for h, e in cut.collect():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash, written
+from .common import Scratch, unit_hash, written
 
 K = 10
 #: Rows whose id is divisible by this are the queries; ids that are no integers count by their hash.
@@ -266,14 +266,15 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, every: int = QUERY
     empty table gives an empty result.
     """
     spark, kind = vectors.sparkSession, vectors.schema["vec_id"].dataType.simpleString()
-    v = written(usable(vectors), "vectors")
+    scratch = Scratch()  # tables that the result does not read
+    v = scratch.written(usable(vectors), "vectors")
     n, values = v.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
     share = min(1.0, SAMPLE_ROWS / max(1, n), SAMPLE_VALUES / max(1, values))
     cells = Cells([r[0] for r in v.where(unit_hash(F.col("vec_id"), seed=8) < share).select("embedding").collect()], n, shard)
-    v = written(v.select("*", _assigned(spark.sparkContext.broadcast(cells), F.col("embedding")).alias("c")).select("vec_id", "embedding", "dim", "c.*"), "cells")
+    v = scratch.written(v.select("*", _assigned(spark.sparkContext.broadcast(cells), F.col("embedding")).alias("c")).select("vec_id", "embedding", "dim", "c.*"), "cells")
     # a cell of many vectors, such as thousands of copies, is spread over shards by a hash
     salts = F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("dim") / TREE_VALUES)).cast("int")
-    sizes = written(v.groupBy("dim", "cell").agg(salts.alias("salts"), F.max("dist").alias("radius")), "sizes")
+    sizes = scratch.written(v.groupBy("dim", "cell").agg(salts.alias("salts"), F.max("dist").alias("radius")), "sizes")
     for r in sizes.where(F.col("radius") < float("inf")).collect():  # as many rows as cells were fitted at most
         cells.radius.setdefault(r["dim"], np.full(len(cells.centres[r["dim"]]), -np.inf))[r["cell"]] = r["radius"]
     sent = spark.sparkContext.broadcast(cells)
@@ -287,7 +288,7 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, every: int = QUERY
     blocks = max(1, -(-(values // every) // BLOCK_VALUES))
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")
     near = _nearest(sent, F.col("embedding"), F.col("cell"))
-    asks = written(placed.where(is_query(v, every)).select("vec_id", "embedding", "dim", "cell", "salt", block.alias("block"), near.alias("near")), "queries")
+    asks = scratch.written(placed.where(is_query(v, every)).select("vec_id", "embedding", "dim", "cell", "salt", block.alias("block"), near.alias("near")), "queries")
     tile = ["dim", "cell", "salt", "block"]
 
     def meet(key: tuple, queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
@@ -295,9 +296,9 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, every: int = QUERY
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
         return _search(queries, tree["tree"].iloc[0], k)
 
-    def search(asked: DataFrame) -> DataFrame:
+    def search(asked: DataFrame, keep=scratch.written) -> DataFrame:
         """What the shards that are asked know; only their trees move, once for each block of queries."""
-        asked = written(asked.select(*tile, "vec_id", "embedding", "floor"), "asked")
+        asked = keep(asked.select(*tile, "vec_id", "embedding", "floor"), "asked")
         own = asked.select(*tile).distinct().join(trees, ["dim", "cell", "salt"]).toDF("d", "c", "s", "b", "tree")
         return asked.groupBy(*tile).cogroup(own.groupBy("d", "c", "s", "b")).applyInPandas(meet, f"query_id {kind}, neighbor_id {kind}, score double")
 
@@ -310,10 +311,11 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, every: int = QUERY
         rows = rows.join(sizes.drop("radius"), ["dim", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         return rows.where("cell <> home or salt <> home_salt")
 
-    first = written(_best(search(asks.withColumn("floor", F.lit(float("-inf")))), k), "best")
+    first = scratch.written(_best(search(asks.withColumn("floor", F.lit(float("-inf")))), k), "best")
     second = search(opened(F.array_intersect("near", "may"), first))
     second = written(_best(first.drop("rank").union(second), k), "best")
-    third = search(opened(F.array_except("may", "near"), second))
+    third = search(opened(F.array_except("may", "near"), second), written)
+    scratch.clear()
     return _best(second.drop("rank").union(third), k).select("query_id", "rank", "neighbor_id", "score")
 
 
