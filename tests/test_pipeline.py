@@ -206,3 +206,14 @@ def test_files_written_as_a_frame(spark, tmp_path):
     got = pipeline().regex_extract("n[0-9]").uppercase().settled().written_files(df, str(tmp_path / "out"), ".txt", spark).orderBy("item_index").collect()
     assert [(r["item_index"], r["path"] is None, r["error"] is None) for r in got] == [(i, i == 4, i != 4) for i in range(6)]
     assert [open(r["path"]).read() for r in got if r["path"]] == ["N0", "N1", "N2", "N3", "N5"]
+
+
+def test_tables_are_found_as_files_and_as_folders(spark, tmp_path):
+    from millrace.queries import QUERIES
+
+    for name in ("a.parquet", "b.parquet/part-0.parquet", "b.parquet/part-1.parquet", "b.parquet/_SUCCESS", "c.parquet/k=1/part-0.parquet", "d.csv"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"")
+    for at in (str(tmp_path), f"{tmp_path}/"):
+        assert sorted(r["path"] for r in QUERIES["expand_glob"](spark, at).collect()) == ["/a.parquet", "/b.parquet", "/c.parquet"]
