@@ -110,3 +110,22 @@ def test_native_alternation_and_automaton_agree(spark):
 
         want = [re.sub("|".join(ordered), "#", t) for t in texts]
         assert [kernel.item(t) for t in texts] == want == batch("multiReplace", texts, patterns[:n], "#", spark=spark)
+
+
+def test_a_batch_is_worked_on_in_slices(monkeypatch):
+    """An Arrow batch may be large: the Python values of a few megabytes of it are held at a time, whatever its rows."""
+    import pyarrow as pa
+
+    from millrace.functions import kernel
+
+    sizes = []
+    given = kernel.run_items
+    monkeypatch.setattr(kernel, "run_items", lambda kernels, *columns: (sizes.append(sum(len(v or "") for v in columns[0])), given(kernels, *columns))[1])
+    monkeypatch.setattr(kernel, "_typed", lambda function, arity, returns: type("Udf", (), {"asNondeterministic": lambda self: function, "__call__": lambda self, *a: function(*a)})())
+    texts = ["the end " * 20_000, None, "", "x"] * 100 + ["over " * 2_000_000] + ["the"]
+    want = [None if t is None else t.replace("the", "#").replace("over", "#") for t in texts]
+    replace = KERNELS["multiReplace"](["the", "over"], ["#", "#"])
+    out = kernel.settled_udf([replace])(pa.array(texts))
+    assert out.field("value").to_pylist() == kernel.strict_udf(replace)(pa.array(texts)).to_pylist() == want and out.field("error").null_count == len(texts)
+    assert len(sizes) >= 10 and sorted(sizes)[-3] <= kernel.AT_ONCE and max(sizes) == 10_000_000
+    assert list(kernel.slices(pa.array([], pa.string()))) == [] and kernel.strict_udf(replace)(pa.array([], pa.string())).to_pylist() == []
