@@ -151,3 +151,23 @@ def test_native_xxh64_is_the_seedless_one(spark):
     texts = ["", "é", "x" * 99]
     df = spark.createDataFrame([(None,), *((t,) for t in texts)], "t string")
     assert {r[0] for r in df.select(M.xxh64_hex("t")).collect()} == {None, *(xxhash.xxh64_hexdigest(t.encode(), 0) for t in texts)}
+
+
+@pytest.mark.parametrize("op", ["sha256Hex", "blake3Hex", "xxh3Hex", "xxh64Hex", "crc32Hex", "crc32cHex"])
+def test_digests_of_files_in_bounded_memory(op):
+    """The same as of the bytes, a megabyte of which is read at a time."""
+    import io
+    import random
+
+    asked = []
+
+    class File(io.BytesIO):
+        def read(self, n=-1):
+            asked.append(n)
+            return super().read(n)
+
+    m, kernel = 1 << 20, KERNELS[op]()
+    for n in (0, 1, 1024, m - 1, m, m + 1, 2 * m + 1, 3 * m, 3 * m + 5000, 5 * m + 1024):
+        data = random.Random(n).randbytes(n)
+        assert kernel.stream(File(data)) == kernel.item(data)
+    assert 0 < min(asked) and max(asked) <= m

@@ -217,3 +217,21 @@ def test_tables_are_found_as_files_and_as_folders(spark, tmp_path):
         p.write_bytes(b"")
     for at in (str(tmp_path), f"{tmp_path}/"):
         assert sorted(r["path"] for r in QUERIES["expand_glob"](spark, at).collect()) == ["/a.parquet", "/b.parquet", "/c.parquet"]
+
+
+def test_files_are_read_one_after_another(spark, tmp_path):
+    """Digests are of whole files, results are in the order of the paths, a file that fails does not stop the others."""
+    data = [b"", b"x" * 3_000_000, b"y" * (5 << 20), b"\xff\xfe", "é".encode()]
+    for i, d in enumerate(data):
+        (tmp_path / f"{i}.bin").write_bytes(d)
+        (tmp_path / f"{i}.gz").write_bytes(gzip.compress(d))
+    paths = [str(tmp_path / f"{i}.bin") for i in range(5)]
+    sha = [hashlib.sha256(d).hexdigest() for d in data]
+    assert pipeline().sha256_hex().run(files(paths), spark) == sha
+    assert pipeline().sha256_hex().uppercase().run(files(paths), spark) == [s.upper() for s in sha]
+    assert pipeline().gunzip().sha256_hex().run(files([p.replace(".bin", ".gz") for p in paths]), spark) == sha
+    out = pipeline().utf8().normalize("NFD").settled().run(files([*paths[2:], str(tmp_path / "ghost")]), spark)
+    assert [r["ok"] for r in out] == [True, False, True, False] and out[2]["value"] == "e\u0301"
+    assert out[1]["error"].startswith("item 1: utf8: ") and out[3]["error"].startswith("item 3: readFile ")
+    plan = pipeline().sha256_hex().settled().to_df(files(paths), spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "sha2" not in plan
