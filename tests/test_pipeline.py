@@ -235,3 +235,27 @@ def test_files_are_read_one_after_another(spark, tmp_path):
     assert out[1]["error"].startswith("item 1: utf8: ") and out[3]["error"].startswith("item 3: readFile ")
     plan = pipeline().sha256_hex().settled().to_df(files(paths), spark)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "sha2" not in plan
+
+
+def test_files_are_written_and_read_without_the_driver(spark, tmp_path):
+    from millrace.queries import QUERIES
+
+    texts = ["One", None, "", "ÄB" * 3_000_000, *("x" * i for i in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["write_files"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["value"] for r in df.collect()} == {i: None if t is None else hashlib.sha256(t.lower().encode()).hexdigest() for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Pandas" not in plan and "ExistingRDD" not in plan and "Join" not in plan
+    with pytest.raises(InvalidArg, match="item_index bigint"):
+        files(spark.range(1))
+    (tmp_path / "a").write_bytes(b"a")
+    df = spark.createDataFrame([(7, str(tmp_path / "a")), (8, str(tmp_path / "ghost"))], "item_index bigint, path string")
+    got = pipeline().sha256_hex().settled().to_df(files(df), spark).orderBy("item_index").collect()
+    assert got[0]["value"] == hashlib.sha256(b"a").hexdigest() and got[1]["error"].startswith("readFile ") and got[1]["item_index"] == 8
+    with pytest.raises(Exception, match="item 0: writeFiles: "):  # its folder is gone
+        folder = tmp_path / "gone"
+        frame = pipeline().trim().written_files(["a"], str(folder), spark=spark)
+        folder.rmdir()
+        from millrace.plans.compile import strict
+
+        frame.select(strict(F.col("path"), F.col("error"), F.col("item_index"), "string")).collect()
