@@ -136,3 +136,44 @@ def test_numbers_in_total_order(spark):
 def test_strings_in_scalar_order(spark):
     words = ["b", "｡", "\U00010000", "Z", "ä", "a", ""]
     assert batch("sortStrings", words, spark=spark) == sorted(words)
+
+
+def plain_damerau(a, b):
+    """The recurrence over a whole table, each transposition from the last row and column that match."""
+    d = {(i, j): max(i, j) if i >= 0 and j >= 0 else len(a) + len(b) for i in range(-1, len(a) + 1) for j in range(-1, len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            k = max((k for k in range(1, i) if a[k - 1] == b[j - 1]), default=0)
+            m = max((m for m in range(1, j) if b[m - 1] == a[i - 1]), default=0)
+            d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1, d[k - 1, m - 1] + i - k + j - m - 1)
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé🚀\0", max_size=9), st.text("abcé🚀\0", max_size=9)), max_size=12))
+def test_transpositions_side_by_side(some):
+    want = [plain_damerau(a, b) for a, b in some]
+    a, b = [p[0] for p in some], [p[1] for p in some]
+    assert [pairs.damerau(x, y) for x, y in some] == want and pairs.damerau_many(a, b) == want
+    full = [i for i, p in enumerate(some) if all(p)]
+    if full:
+        assert pairs._side_by_side([a[i] for i in full], [b[i] for i in full]) == [want[i] for i in full]
+    assert pairs.similarity("normalizedDamerau").batch(a, b) == [pairs.similarity("normalizedDamerau").item(x, y) for x, y in some]
+
+
+def test_transpositions_of_many_and_of_long_texts():
+    """Ten thousand pairs of names, and two long texts, in little time and memory."""
+    import random
+    import time
+    import tracemalloc
+
+    r = random.Random(8)
+    names = [" ".join(r.choice(["large", "ring", "hot", "bolt", "steel", "washer", "small"]) for _ in range(4)) for _ in range(10_001)]
+    start = time.perf_counter()
+    got = pairs.damerau_many(names[:-1], names[1:])
+    assert time.perf_counter() - start < 3
+    assert got[:50] == [plain_damerau(a, b) for a, b in zip(names[:50], names[1:51])]
+    tracemalloc.start()
+    assert pairs.damerau("ab" * 300, "ba" * 300) == 2
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
